@@ -102,7 +102,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int =
 def alignments(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """(doc_id, item, shift, words) that may hold an exact match, from the stored index."""
     items = stored(items_of(benchmark), "items")
-    plan = stored(probes(items, counts(docs, items), size), "probes")
+    plan = stored(probes(items, stored(counts(docs, items), "counts"), size), "probes")
     index = stored(index_of(docs, plan), "postings")
     found = _intersect(index, plan, 0)
     return found.join(small(items), "item").select("doc_id", "item", "shift", "words")
