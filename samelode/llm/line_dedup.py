@@ -10,10 +10,11 @@ words, as hashed keys. Equal variants link:
  - the same variant with the same word position and length left out: a substitution;
  - a variant of one line that equals another whole line: an insertion or deletion.
 A group of equal variants is reduced to its earliest line by partial aggregation, so no pairs within it are made, and
-each link to an earliest line is verified on the words themselves.
+each link to an earliest line is verified on the words themselves. Of long halves the outer eight words are compared,
+which lets through no less.
 
 Null and empty texts have no lines to drop and come back as they are; repeated rows (same doc_id and text) are one
-document, each row coming back alike; an empty table gives an empty table; all input columns are kept as they are but
+document, each row coming back alike; rows of a null doc_id come back as they are; an empty table gives an empty table; all input columns are kept as they are but
 for text and, where present, n_chars.
 """
 
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from samelode.llm.common import stored
 
-ID = ["d", "t", "pos"]
 #: Most rows that are broadcast; beyond it, joins shuffle.
-SMALL = 100_000
+SMALL = 200_000
+#: Most words of a half that are compared.
+HALF = 8
+LINE = ["h1", "place"]
 
 
 def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
@@ -35,37 +38,40 @@ def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(d, t, pos, line, n): the lines of `least` words or more; d and t identify a document, t being a hash of its text."""
-    n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    """(d, t, pos, place, line, n): the lines of `least` words or more. d and t identify a document, t being a hash of its text; place orders lines by doc_id and number."""
+    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
     return (
         docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .withColumn("n", n)
         .filter(F.col("n") >= least)
+        .withColumn("place", place.cast("decimal(32,0)"))
     )
 
 
-def _line_key() -> list[Column]:
-    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+def _h1() -> Column:
+    return F.xxhash64("line").alias("h1")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, halves): each distinct line with its earliest place and the keys of its halves."""
+def facts_of(lines: DataFrame) -> DataFrame:
+    """(h1, h2, place, d, t, pos, p1, s1, p2, s2): each line's hashes and the keys of its first and last halves; for even n also of those it shares with a line one word shorter."""
     upto = lambda n: F.call_function("substring_index", F.col("line"), F.lit(" "), n)
-    halves = []
-    for h in (F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")):
-        halves += [F.xxhash64(F.lit(0), h, upto(h)), F.xxhash64(F.lit(1), h, upto(-h))]
-    return (
-        lines.select(*_line_key(), F.struct(*ID).alias("first"), F.array_distinct(F.array(*halves)).alias("halves"))
-        .groupBy("h1", "h2")
-        .agg(F.min("first").alias("first"), F.first("halves").alias("halves"))
-    )
+    a, b = (F.least(F.lit(HALF), F.floor(x / 2).cast("int")) for x in (F.col("n"), F.col("n") - 1))
+    again = lambda key: F.when(a != b, key)
+    key = lambda side, h: F.xxhash64(F.lit(side), h, upto(h if side == 0 else -h))
+    return lines.select(_h1(), F.xxhash64(F.lit(1), "line").alias("h2"), "place", "d", "t", "pos", key(0, a).alias("p1"), key(1, a).alias("s1"), again(key(0, b)).alias("p2"), again(key(1, b)).alias("s2"))
+
+
+def distinct_lines(facts: DataFrame) -> DataFrame:
+    """(h1, h2, place, c, p1, s1, p2, s2): each distinct line with its earliest place and its number of places."""
+    return facts.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("c"), *[F.min(k).alias(k) for k in ("p1", "s1", "p2", "s2")])
 
 
 def candidates(known: DataFrame) -> DataFrame:
-    """(d, t, pos) of the distinct lines that share a half with another."""
-    keys = known.select("first", F.explode("halves").alias("half"))
+    """(h1, place) of the distinct lines that share a half with another."""
+    keys = known.select(*LINE, F.explode(F.array("p1", "s1", "p2", "s2")).alias("half")).filter("half is not null")
     shared = keys.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    return keys.join(shared, "half", "left_semi").select("first.*").distinct()
+    return keys.join(small(stored(shared, "shared-halves")), "half", "left_semi").select(*LINE).distinct()
 
 
 def variants(cands: DataFrame) -> DataFrame:
@@ -75,12 +81,12 @@ def variants(cands: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    words = cands.select(*ID, F.posexplode(F.split("line", " ")).alias("j", "w")).select(*ID, "j", F.xxhash64("w", "j").alias("g0"), F.xxhash64("w", F.col("j") - 1).alias("g1"))
-    line = Window.partitionBy(*ID)
+    words = cands.select(*LINE, F.posexplode(F.split("line", " ")).alias("j", "w")).select(*LINE, "j", F.xxhash64("w", "j").alias("g0"), F.xxhash64("w", F.col("j") - 1).alias("g1"))
+    line = Window.partitionBy(*LINE)
     before = line.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     w = words.select(
-        *ID,
+        *LINE,
         "j",
         F.coalesce(F.bit_xor("g0").over(before), F.lit(0).cast("long")).alias("left"),
         F.bit_xor("g1").over(upto).alias("own"),
@@ -90,22 +96,17 @@ def variants(cands: DataFrame) -> DataFrame:
     )
     key = F.col("left").bitwiseXOR(F.col("all1").bitwiseXOR(F.col("own")))
     rows = F.array(F.struct(key.alias("key"), (F.col("n") - 1).cast("int").alias("m"), F.col("j").alias("j")), F.struct(F.col("all0").alias("key"), F.col("n").cast("int").alias("m"), F.lit(-1).alias("j")))
-    return w.select(F.struct(*ID).alias("first"), F.explode(F.when(F.col("j") == 0, rows).otherwise(F.slice(rows, 1, 1))).alias("v")).select("v.*", "first")
+    return w.select(*LINE, F.explode(F.when(F.col("j") == 0, rows).otherwise(F.slice(rows, 1, 1))).alias("v")).select("v.*", *LINE)
 
 
 def links(var: DataFrame) -> DataFrame:
-    """(first, witness): lines with the earliest line of each kind of equal variant, where that is earlier."""
-    by_place = var.groupBy("key", "m", "j").agg(F.min("first").alias("least"), F.count("*").alias("c"))
-    both = stored(by_place, "variants")
-    spot = both.groupBy("key", "m").agg(F.min(F.when(F.col("j") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("j") >= 0, F.col("least"))).alias("cut"), F.sum("c").alias("all"))
-    # of each group with more than one line: what its members are held against
-    held = (
-        both.join(spot.filter("all > 1"), ["key", "m"])
-        .select("key", "m", "j", F.when(F.col("j") >= 0, F.array("least", "whole")).otherwise(F.array("cut")).alias("w"))
-        .withColumn("w", F.filter("w", lambda x: x.isNotNull()))
-        .filter(F.size("w") > 0)
-    )
-    return var.join(held, ["key", "m", "j"]).select("first", F.explode("w").alias("witness")).filter(F.col("witness") < F.col("first")).distinct()
+    """(h1, place, witness): lines with the place of the earliest line of each kind of equal variant, where that is earlier."""
+    whole, cut = F.when(F.col("j") < 0, F.col("place")), F.when(F.col("j") >= 0, F.col("place"))
+    equal = var.groupBy("key", "m").agg(F.count("*").alias("c"), F.min(whole).alias("whole"), F.min(cut).alias("cut")).filter("c > 1").drop("c")
+    members = stored(var.join(small(stored(equal, "equal")), ["key", "m"]), "members")
+    spot = members.groupBy("key", "m", "j").agg(F.min("place").alias("least"))
+    against = F.when(F.col("j") >= 0, F.array("least", "whole")).otherwise(F.array("cut"))
+    return members.join(small(spot), ["key", "m", "j"]).select(*LINE, F.explode(against).alias("witness")).filter(F.col("witness") < F.col("place")).distinct()
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -120,22 +121,24 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """(d, t, pos): first places of the distinct lines that have an earlier line within one edit."""
-    cands = stored(candidates(known), "halved")
-    texts = stored(lines.select(*ID, "line").join(small(cands), [c for c in ID], "left_semi").dropDuplicates(ID), "candidates")
-    found = stored(links(variants(texts)), "links")
-    one = texts.select(F.struct(*ID).alias("first"), F.split("line", " ").alias("a"))
-    two = texts.select(F.struct(*ID).alias("witness"), F.split("line", " ").alias("b"))
-    return found.join(one, "first").join(two, "witness").filter(within_one(F.col("a"), F.col("b"))).select("first.*").distinct()
+    """(h1, place): the distinct lines that have an earlier line within one edit."""
+    cands = stored(candidates(known), "candidates")
+    texts = stored(lines.select(_h1(), "place", "line").join(small(cands), LINE, "left_semi").dropDuplicates(LINE), "candidate-lines")
+    found = stored(links(stored(variants(texts), "variants")), "links")
+    one = texts.select(*LINE, F.split("line", " ").alias("a")).join(small(found), LINE)
+    two = texts.select(F.col("place").alias("witness"), F.split("line", " ").alias("b"))
+    return one.join(two, "witness").filter(within_one(F.col("a"), F.col("b"))).select(*LINE).distinct()
 
 
 def removed(docs: DataFrame, least: int = 5) -> DataFrame:
     """(d, t, gone): the numbers of the lines that go, for each document that loses any."""
     lines = lines_of(docs, least)
-    known = stored(distinct_lines(lines), "lines")
-    near = near_lines(lines, known).withColumn("near", F.lit(True))
-    first = known.select("h1", "h2", "first.*").join(near, ID, "left").select("h1", "h2", F.struct(*ID).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    dup = lines.select(*_line_key(), *ID).join(first, ["h1", "h2"]).filter(F.col("near") | (F.struct(*ID) != F.col("first")))
+    facts = stored(facts_of(lines), "facts")
+    known = stored(distinct_lines(facts), "lines")
+    near = stored(near_lines(lines, known), "near").withColumn("near", F.lit(True))
+    # only lines with several places or an earlier neighbour can go
+    bad = stored(known.join(small(near), LINE, "left").filter("c > 1 or near").select("h1", "h2", F.col("place").alias("first"), "near"), "repeated")
+    dup = facts.select("h1", "h2", "place", "d", "t", "pos").join(small(bad), ["h1", "h2"]).filter(F.col("near") | (F.col("place") != F.col("first")))
     return dup.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
@@ -144,7 +147,7 @@ def dedup(docs: DataFrame, least: int = 5) -> DataFrame:
     gone = stored(removed(docs, least), "gone")
     text = F.col("text")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), text)
-    joined = row.join(small(gone.withColumnsRenamed({"d": "gd", "t": "gt"})), F.col("d").eqNullSafe(F.col("gd")) & (F.col("t") == F.col("gt")), "left").select("doc", "text", "gone")
+    joined = row.join(small(gone.withColumnsRenamed({"d": "gd", "t": "gt"})), (F.col("d") == F.col("gd")) & (F.col("t") == F.col("gt")), "left").select("doc", "text", "gone")
     # explode works the lines out once for each row
     split = joined.select("doc", "text", "gone", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"))
     # runs of kept lines between those that go
