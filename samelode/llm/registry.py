@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_ngram_join", "q_secrets", "q_vptree", "q_decontam", "q_byte_bpe", "q_line_dedup")
+MODULES = ("q_ngram_join", "q_pii", "q_quality", "q_secrets", "q_vptree", "q_decontam", "q_byte_bpe", "q_line_dedup")
 
 
 def queries() -> dict:
