@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the memory of Python workers and of the Arrow buffers: rows of whole texts or whole sets are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local default only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,7 +63,7 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of runs of rows of about `limit` bytes of UTF-8 text; a longer text comes alone and whole."""
     text = batch.column("text")
     ids = batch.column("doc_id").to_pylist()

@@ -6,14 +6,14 @@ A document's set is its distinct shingles of `n` words as 64-bit hashes; two set
    that puts rare shingles first; the filters hold for any order all documents share.
 2. Documents with equal sets form classes; only the class of the smallest doc_id goes on, with its prefix: the first
    |x| - ceil(t |x| / 100) + 1 shingles. Linked sets share one of these.
-3. Each shared prefix shingle links its documents to its first document (candidates: a star, not all pairs), filtered
+3. Each shared prefix shingle pairs its documents with the one where it stands first (a star, not all pairs), filtered
    by length, position and suffix and verified on the whole sets, once for each pair.
 4. Components of these links are formed. A second round takes every other pair under a shared shingle whose documents
    are in different components; pairs inside a component cannot change the result. So a group of many near copies is
    never expanded into all its pairs, and no link between components is lost.
 
-The suffix filter counts each set's shingles in 16 fixed ranges of hashes; half the sum of differences bounds the
-overlap from above.
+The suffix filter is a sketch of 512 parities, one for each range of hashes: two sets differ in at least as many shingles
+as their sketches in bits, and linked sets of these sizes may differ in only so many.
 
 Null and empty texts have empty sets and link with nothing; repeated rows are one document; an empty table gives an
 empty table; extra columns are ignored.
@@ -23,19 +23,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.llm.common import LOWER, Rolling, combine, id_text, slices, stored, word_bounds
+from samelode.llm.common import LOWER, Rolling, combine, id_text, slices, small_batches, stored, word_bounds
 from samelode.llm.components import components
 
 BUCKETS = 1 << 21
 CHUNKS = 64
-RANGES = 16
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 #: Most rows that are broadcast; beyond it, joins shuffle.
 SMALL = 300_000
 
@@ -105,7 +107,7 @@ def counted(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def records(docs: DataFrame, n: int, t: int, order) -> DataFrame:
-    """(doc_id, size, k1, k2, prefix, ranges) of every document: its set's size, two keys that equal sets share, its prefix in the common order and its counts by range of hashes. order: a broadcast of counted()."""
+    """(doc_id, size, k1, k2, prefix, sketch) of every document: its set's size, two keys that equal sets share, its prefix in the common order and its parity sketch. order: a broadcast of counted()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, counts = Rolling(), order.value
@@ -117,13 +119,14 @@ def records(docs: DataFrame, n: int, t: int, order) -> DataFrame:
                 ranked = grams[np.argsort(counts[_bucket(grams)], kind="stable")][:keep]
                 mixed = (grams ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 k1, k2 = int(np.bitwise_xor.reduce(grams)) if size else 0, int((mixed ^ (mixed >> np.uint64(31))).sum(dtype=np.uint64))
-                per = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES)
+                odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+                per = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 for c, v in zip(cols, (doc, size, k1 - (1 << 64) if k1 >> 63 else k1, k2 - (1 << 64) if k2 >> 63 else k2, ranked.view(np.int64), per)):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=["doc_id", "size", "k1", "k2", "prefix", "ranges"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=["doc_id", "size", "k1", "k2", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, k1 long, k2 long, prefix array<long>, ranges array<int>")
+    return docs.mapInArrow(run, "doc_id long, size long, k1 long, k2 long, prefix array<long>, sketch array<long>")
 
 
 def _least_overlap(a: Column, b: Column, t: int) -> Column:
@@ -132,21 +135,24 @@ def _least_overlap(a: Column, b: Column, t: int) -> Column:
 
 
 def _filters(a: str, b: str, t: int) -> Column:
-    """Length and positional filters on two postings."""
+    """Length and positional filters on two postings. Before a common shingle at most as many are common as either document has shared ones there, after it as many as are left."""
     c = lambda s, x: F.col(f"{s}.{x}")
     sa, sb, pa_, pb = c(a, "size"), c(b, "size"), c(a, "pos"), c(b, "pos")
     length = 100 * F.least(sa, sb) >= t * F.greatest(sa, sb)
-    bound = F.least(pa_, pb) + 1 + F.least(sa - pa_ - 1, sb - pb - 1)
+    bound = F.least(c(a, "before"), c(b, "before")) + 1 + F.least(sa - pa_ - 1, sb - pb - 1)
     return length & (bound >= _least_overlap(sa, sb, t))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
-    """The pairs (u, v) whose sets link: suffix filter, then the whole sets."""
-    side = reps.select("doc_id", "size", "ranges")
-    u, v = side.select(*[F.col(c).alias(f"u_{c}") for c in side.columns]), side.select(*[F.col(c).alias(f"v_{c}") for c in side.columns])
-    both = pairs.join(u, F.col("u") == F.col("u_doc_id")).join(v, F.col("v") == F.col("v_doc_id"))
-    most = F.aggregate(F.zip_with("u_ranges", "v_ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
-    kept = stored(both.filter(most >= _least_overlap(F.col("u_size"), F.col("v_size"), t)).select("u", "v"), "candidates")
+def _suffix(a: str, b: str, t: int) -> Column:
+    """Suffix filter on two documents: their sketches may not differ in more bits than linked sets differ in shingles."""
+    c = lambda s, i: F.col(f"{s}.sketch")[i]
+    bits = [F.bit_count(c(a, i).bitwiseXOR(c(b, i))) for i in range(SKETCH)]
+    sizes = F.col(f"{a}.size") + F.col(f"{b}.size")
+    return reduce(Column.__add__, bits) <= sizes - 2 * _least_overlap(F.col(f"{a}.size"), F.col(f"{b}.size"), t)
+
+
+def _verified(kept: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets link."""
     wanted = kept.select(F.explode(F.array("u", "v")).alias("w")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,32 +177,39 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: int
 
 def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, DataFrame]:
     """(doc_id, size, class) of every document, and the verified links (u, v) between classes that join components; a class is the smallest doc_id with that set."""
+    small_batches(docs.sparkSession)
     docs = id_text(docs).filter("doc_id is not null")
     order = docs.sparkSession.sparkContext.broadcast(counted(docs, n))
     rec = stored(records(docs, n, t, order), "records")
-    rep = rec.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("class"))
-    member = stored(rec.select("doc_id", "size", "k1", "k2").join(rep, ["size", "k1", "k2"]).select("doc_id", "size", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class")), "members")
-    own = member.filter("doc_id = class and size > 0").select("doc_id", "size").distinct()
-    reps = stored(rec.join(own, ["doc_id", "size"], "left_semi").dropDuplicates(["doc_id", "size"]), "classes")
-    posts = reps.select("doc_id", "size", F.posexplode("prefix").alias("pos", "gram"))
-    shared = stored(posts.groupBy("gram").agg(F.count("*").alias("c"), F.min("doc_id").alias("star")).filter("c > 1").drop("c"), "shared")
-    posts = stored(posts.join(shared, "gram"), "postings")
-
-    # first round: each document against the first document of its shared shingles
-    star = posts.filter("doc_id = star").select("gram", "doc_id", "size", "pos")
-    a, b = star.alias("a"), posts.filter("doc_id <> star").alias("b")
-    first = stored(b.join(a, (F.col("a.gram") == F.col("b.gram")) & _filters("a", "b", t)).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "first-pairs")
-    links = stored(_verified(first, reps, docs, n, t), "first-links")
+    equal = ["size", "k1", "k2"]
+    reps = stored(rec.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    rep = reps.select(*equal, F.col("doc_id").alias("class"))
+    member = stored(rec.select("doc_id", *equal).join(rep, equal).select("doc_id", "size", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class")).distinct(), "members")
+    posts = reps.filter("size > 0").select("doc_id", "size", F.posexplode("prefix").alias("pos", "gram"))
+    shared = posts.select("gram").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    place = Window.partitionBy("doc_id").orderBy("pos")
+    posts = stored(posts.join(shared, "gram", "left_semi").withColumn("before", F.row_number().over(place) - 1), "postings")
+    sketches = reps.select("doc_id", "size", "sketch")
+
+    # first round: under each shared shingle, all documents against the one where it stands first; that one has the
+    # fewest rare shingles of its own, so it is the middle of a group of near copies if any is
+    star = posts.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "size", "before")).alias("s")).select("gram", "s.*")
+    a, b = star.alias("a"), posts.alias("b")
+    hit = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") != F.col("b.doc_id")) & _filters("a", "b", t)
+    first = b.join(a, hit).select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
+    first = first.join(sketches.alias("p"), F.col("u") == F.col("p.doc_id")).join(sketches.alias("q"), F.col("v") == F.col("q.doc_id"))
+    first = stored(first.filter(_suffix("p", "q", t)).select("u", "v"), "first-pairs")
+    links = stored(_verified(first, docs, n, t), "first-links")
 
     # second round: all other pairs between different components
     comp = stored(components(links), "components")
-    named = posts.join(comp.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").select("gram", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("comp"))
+    named = posts.join(comp.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").select("gram", "doc_id", "size", "pos", "before", F.coalesce("component", "doc_id").alias("comp"))
     mixed = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    left = stored(named.join(mixed, "gram", "left_semi"), "mixed")
+    left = stored(named.join(mixed, "gram", "left_semi").join(sketches.select("doc_id", "sketch"), "doc_id"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    cond = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _filters("x", "y", t)
+    cond = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _filters("x", "y", t) & _suffix("x", "y", t)
     more = x.join(y, cond).select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    return member, links.unionByName(_verified(stored(more, "second-pairs"), reps, docs, n, t))
+    return member, links.unionByName(_verified(stored(more, "second-pairs"), docs, n, t))
 
 
 def joined(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
