@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_ngram_join", "q_pii", "q_quality", "q_secrets", "q_vptree", "q_decontam", "q_recurrent_lm", "q_byte_bpe", "q_line_dedup")
+MODULES = ("q_ngram_join", "q_pii", "q_quality", "q_secrets", "q_vptree", "q_decontam", "q_recurrent_lm", "q_byte_bpe", "q_line_dedup", "q_suffix_dedup")
 
 
 def queries() -> dict:
