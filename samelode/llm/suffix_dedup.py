@@ -10,7 +10,8 @@ column-wise construction works on what can repeat at all:
 3. What is left are the spans at the edges of passages. They, and one copy of each repeated span of the same gram, are
    sorted column-wise: in blocks of whole gram groups, round j inserts the suffixes of length j of all strings at once
    by ranking the symbols before those of length j - 1 in the block's Burrows-Wheeler transform. In the final order equal
-   windows are neighbours, and their common prefixes are taken by comparing neighbours byte by byte.
+   windows are neighbours, and their common prefixes are taken by comparing neighbours byte by byte. Spans that share
+   neither the bytes before nor those after their gram with another of its spans cannot hold a repeat and are left out.
    A gram with more than `hot` such spans is not sorted in one task: its windows are hashed (two 64-bit hashes) and
    counted with partial aggregation instead.
 
@@ -22,6 +23,7 @@ an empty table gives an empty table; extra columns are ignored. Rows are told ap
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +64,7 @@ def window_minima(grams: np.ndarray, w: int) -> np.ndarray:
 
 
 def spans(docs: DataFrame, least: int) -> DataFrame:
-    """(h, g, doc_id, th, a, w): the spans of each text: gram, hash of the span and its gram's place, first window, number of windows after it."""
+    """(h, g, doc_id, th, a, w, o): the spans of each text: gram, hash of the span and its gram's place, first window, number of windows after it, place of the gram after the first window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -86,13 +88,13 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
                 first, last = first[keep], last[keep]
                 p, who = place[first], owner[first]
                 g = rolling.of(sums, first, last + least) ^ ((p - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                out.append((grams[p].view(np.int64), g.view(np.int64), np.array(ids)[who], first - offs[who], last - first))
+                out.append((grams[p].view(np.int64), g.view(np.int64), np.array(ids)[who], first - offs[who], last - first, p - first))
             if out:
-                h, g, who, a, w = (np.concatenate(x) for x in zip(*out))
-                arrays = [pa.array(h), pa.array(g), b.column("doc_id").take(pa.array(who)), b.column("th").take(pa.array(who)), pa.array(a.astype(np.int32)), pa.array(w.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["h", "g", "doc_id", "th", "a", "w"])
+                h, g, who, a, w, o = (np.concatenate(x) for x in zip(*out))
+                arrays = [pa.array(h), pa.array(g), b.column("doc_id").take(pa.array(who)), b.column("th").take(pa.array(who)), pa.array(a.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(o.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["h", "g", "doc_id", "th", "a", "w", "o"])
 
-    return docs.mapInArrow(run, "h long, g long, doc_id long, th long, a int, w int")
+    return docs.mapInArrow(run, "h long, g long, doc_id long, th long, a int, w int, o int")
 
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +174,19 @@ _FOUND = "doc_id long, th long, lo int, hi int"
 
 
 def _edges(strings: DataFrame, least: int, block: int) -> DataFrame:
-    """Intervals (doc_id, th, lo, hi) of the windows that repeat, from (h, doc_id, th, a, data, copy), grouped and sorted by h; blocks hold whole groups."""
+    """Intervals (doc_id, th, lo, hi) of the windows that repeat, from (h, doc_id, th, a, o, data, copy), grouped and sorted by h; blocks hold whole groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = (least - GRAM) // 2
+
+        def sides(r: tuple) -> list[tuple]:
+            # a window reaches at least half of its other bytes to the left or to the right of its gram, and equal windows share them
+            h, data, o = r[0], r[4], r[6]
+            return [(h, 0, data[o - half : o])] * (o >= half) + [(h, 1, data[o + GRAM : o + GRAM + half])] * (len(data) >= o + GRAM + half)
+
         def solve(rows: list) -> pd.DataFrame:
+            seen = Counter(k for r in rows for k in sides(r))
+            rows = [r for r in rows if any(seen[k] > 1 for k in sides(r))]
             out = []
             for r, starts in zip(rows, repeated_windows([r[4] for r in rows], least)):
                 if not r[5]:
@@ -184,7 +195,7 @@ def _edges(strings: DataFrame, least: int, block: int) -> DataFrame:
 
         held, size, h = [], 0, None
         for b in batches:
-            for r in zip(b["h"], b["doc_id"], b["th"], b["a"], b["data"], b["copy"]):
+            for r in zip(b["h"], b["doc_id"], b["th"], b["a"], b["data"], b["copy"], b["o"]):
                 if r[0] != h and size >= block:
                     yield solve(held)
                     held, size = [], 0
@@ -219,16 +230,16 @@ def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 20, hot: int =
     grams = every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     rows = stored(every.join(grams, "h", "left_semi"), "shared-spans")
     drop_stored(every)
-    equal = rows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "w")).alias("one"))
+    equal = rows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "w", "o")).alias("one"))
     equal = stored(equal, "equal-spans")
     settled = rows.join(equal.filter("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("doc_id", "th", F.col("a").alias("lo"), (F.col("a") + F.col("w") + least).alias("hi"))
     open_ = equal.filter("c = 1").groupBy("h").agg(F.count("*").alias("n"))
     wanted = stored(equal.join(open_, "h").select("h", "n", (F.col("c") > 1).alias("copy"), "one.*"), "open-spans")
-    asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "copy", "a", "w")).alias("spans"))
+    asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "copy", "a", "w", "o")).alias("spans"))
     asked = asked.withColumnsRenamed({"doc_id": "d", "th": "t"})
     text = docs.join(small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(DOC)
     text = text.select("doc_id", "th", F.encode("text", "utf-8").alias("raw"), F.explode("spans").alias("s"))
-    cut = text.select("s.h", "s.n", "doc_id", "th", "s.a", "s.copy", F.expr(f"substring(raw, s.a + 1, s.w + {least})").alias("data"))
+    cut = text.select("s.h", "s.n", "doc_id", "th", "s.a", "s.o", "s.copy", F.expr(f"substring(raw, s.a + 1, s.w + {least})").alias("data"))
     strings = stored(cut, "open-strings")
     edges = _edges(strings.filter(F.col("n") <= hot).drop("n"), least, block)
     if wanted.filter(F.col("n") > hot).limit(1).count():
