@@ -10,7 +10,7 @@ made on the driver with a bounded number of windows; then rounds of local descen
 windows, each from the common weights, and the weights are averaged by numbers of windows. Scoring reads each whole
 text; the hidden state is carried from window to window, so a text's score is its full log-likelihood.
 
-The `KNOWN` most frequent words' counts are broadcast; the counts of rarer words reach the texts by a join.
+At most `KNOWN` words' counts, the most frequent, are broadcast; the counts of rarer words reach the texts by a join.
 
 Null and empty texts are their end token alone; repeated rows each get their score; an empty table gives an empty table,
 and without training texts every word is unknown; extra columns are ignored.
@@ -112,15 +112,24 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, known: int = KNOWN) -> Lexicon:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(known).select("word", "open", "c").toPandas()
-    words, c = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.float64)
+    # the least count whose words all fit in the table, from a histogram of a few hundred steps
+    step = F.floor(F.log2("c") * 8)
+    held, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > known:
+            break
+        least = r["s"]
+    top = counts.filter(step >= least).select("word", "open", "c").toArrow()
+    order = np.lexsort((top["word"].to_numpy(), -top["c"].to_numpy()))
+    words, c, kinds = (top[k].to_numpy()[order] for k in ("word", "c", "open"))
+    words, c = words.view(np.uint64), c.astype(np.float64)
     mass = np.full(OPEN, 0.1)
     for r in counts.groupBy("open").agg(F.sum(F.col("c") + 0.1).alias("s")).collect():
         mass[r["open"]] += r["s"]
-    head = top.iloc[:VOCAB]
-    np.subtract.at(mass, head["open"].to_numpy(np.int64), head["c"].to_numpy(np.float64) + 0.1)
+    np.subtract.at(mass, kinds[:VOCAB], c[:VOCAB] + 0.1)
     order = np.argsort(words)
-    return Lexicon(words[order], order.astype(np.int32), np.log10(c[order] + 0.1).astype(np.float64), np.log10(np.maximum(mass, 0.1)), int(total["n"]), int(total["v"]))
+    return Lexicon(words[order], order.astype(np.int32), np.log10(c[order] + 0.1), np.log10(np.maximum(mass, 0.1)), int(total["n"]), int(total["v"]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
