@@ -85,6 +85,7 @@ class Tree:
 
         if len(queries) and len(self.unit):
             visit(self.root, np.arange(len(queries)))
+        at[~np.isfinite(best)] = -1
         return best, at
 
     @staticmethod

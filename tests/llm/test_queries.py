@@ -1,0 +1,16 @@
+"""Queries of the corpus operators against their SQL."""
+
+import pytest
+
+from samelode.llm import registry
+
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(name, same):
+    same(QUERIES[name], SQL[name])
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
