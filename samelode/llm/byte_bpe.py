@@ -64,7 +64,7 @@ def stitch(texts: list[str], offsets: list[int], bounds: list[list[int]], patter
     return [*pieces, text]
 
 
-def _ids_row(doc_id: int, ids: np.ndarray, enc) -> tuple:
+def _ids_row(doc_id: int | str | None, ids: np.ndarray, enc) -> tuple:
     raw = ids.astype("<u4").tobytes()
     return doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(enc.decode_bytes(ids.tolist())).hexdigest()
 
@@ -111,34 +111,34 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 60_000,
     step = chunk - overlap
     n = F.length("text")
     few = base.filter(n <= chunk).select("doc_id", "text").mapInArrow(short, schema)
-    # chunks of long texts: a row each, dealt over all tasks
+    # chunks of long texts: a row each, dealt over all tasks; ids go as text, as pandas has no null among whole numbers
     last = F.ceil((n - chunk) / F.lit(float(step))).cast("int")
     chunks = (
         base.filter(n > chunk)
-        .select("key", "doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-        .select("key", "doc_id", "k", (F.col("k") * step).cast("long").alias("off"), F.expr(f"substring(text, k * {step} + 1, {chunk})").alias("piece"))
+        .select("key", F.col("doc_id").cast("string").alias("doc"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+        .select("key", "doc", "k", (F.col("k") * step).cast("long").alias("off"), F.expr(f"substring(text, k * {step} + 1, {chunk})").alias("piece"))
         .repartition(F.col("key"), F.col("k"))
     )
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [(np.asarray(boundaries(t, pattern), np.int64) + o) for t, o in zip(b["piece"], b["off"])]
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"], "k": b["k"], "off": b["off"], "piece": b["piece"], "bounds": [x.tobytes() for x in found]})
+            yield pd.DataFrame({"key": b["key"], "doc": b["doc"], "k": b["k"], "off": b["off"], "piece": b["piece"], "bounds": [x.tobytes() for x in found]})
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
         pieces = stitch(rows["piece"].tolist(), rows["off"].tolist(), [np.frombuffer(x, np.int64).tolist() for x in rows["bounds"]], pattern)
-        return pd.DataFrame({"key": key[0], "doc_id": rows["doc_id"].iloc[0], "j": range(len(pieces)), "piece": pieces})
+        return pd.DataFrame({"key": key[0], "doc": rows["doc"].iloc[0], "j": range(len(pieces)), "piece": pieces})
 
     def pieces_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(ranks_path, pattern)
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"], "j": b["j"], "ids": [np.asarray(enc.encode_to_numpy(t), "<u4").tobytes() for t in b["piece"]]})
+            yield pd.DataFrame({"key": b["key"], "doc": b["doc"], "j": b["j"], "ids": [np.asarray(enc.encode_to_numpy(t), "<u4").tobytes() for t in b["piece"]]})
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(rows.sort_values("j")["ids"]), "<u4")
-        return pd.DataFrame([_ids_row(int(rows["doc_id"].iloc[0]), ids, encoding(ranks_path, pattern))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([_ids_row(rows["doc"].iloc[0], ids, encoding(ranks_path, pattern))], columns=["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    stitched = chunks.mapInPandas(bounds, "key long, doc_id long, k int, off long, piece string, bounds binary").groupBy("key").applyInPandas(join, "key long, doc_id long, j int, piece string")
-    many = stitched.repartition(F.col("key"), F.col("j")).mapInPandas(pieces_ids, "key long, doc_id long, j int, ids binary").groupBy("key").applyInPandas(whole, schema)
-    return few.unionByName(many)
+    stitched = chunks.mapInPandas(bounds, "key long, doc string, k int, off long, piece string, bounds binary").groupBy("key").applyInPandas(join, "key long, doc string, j int, piece string")
+    many = stitched.repartition(F.col("key"), F.col("j")).mapInPandas(pieces_ids, "key long, doc string, j int, ids binary").groupBy("key").applyInPandas(whole, schema.replace("doc_id long", "doc string"))
+    return few.unionByName(many.withColumn("doc", F.col("doc").cast("long")).withColumnRenamed("doc", "doc_id"))

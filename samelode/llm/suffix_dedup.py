@@ -170,7 +170,8 @@ def merged(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + least).tolist()))
 
 
-_FOUND = "doc_id long, th long, lo int, hi int"
+#: Ids go as text through pandas, which has no null among whole numbers.
+_FOUND = "doc_id string, th long, lo int, hi int"
 
 
 def _edges(strings: DataFrame, least: int, block: int) -> DataFrame:
@@ -191,7 +192,7 @@ def _edges(strings: DataFrame, least: int, block: int) -> DataFrame:
             for r, starts in zip(rows, repeated_windows([r[4] for r in rows], least)):
                 if not r[5]:
                     out += [(r[1], r[2], r[3] + lo, r[3] + hi) for lo, hi in merged(starts, least)]
-            return pd.DataFrame(out, columns=["doc_id", "th", "lo", "hi"]).astype({"th": "int64", "lo": "int32", "hi": "int32", "doc_id": "Int64"})
+            return pd.DataFrame(out, columns=["doc_id", "th", "lo", "hi"]).astype({"th": "int64", "lo": "int32", "hi": "int32"})
 
         held, size, h = [], 0, None
         for b in batches:
@@ -217,9 +218,9 @@ def _counted(strings: DataFrame, least: int) -> DataFrame:
             for doc, th, a, data, copy in zip(b["doc_id"], b["th"], b["a"], b["data"], b["copy"]):
                 x = np.frombuffer(data, np.uint8)
                 s = np.arange(len(x) - least + 1)
-                yield pd.DataFrame({"x": one.of(one.sums(x), s, s + least).view(np.int64), "y": two.of(two.sums(x), s, s + least).view(np.int64), "doc_id": pd.array([doc] * len(s), "Int64"), "th": th, "s": (a + s).astype(np.int32), "copy": copy})
+                yield pd.DataFrame({"x": one.of(one.sums(x), s, s + least).view(np.int64), "y": two.of(two.sums(x), s, s + least).view(np.int64), "doc_id": [doc] * len(s), "th": th, "s": (a + s).astype(np.int32), "copy": copy})
 
-    rows = strings.mapInPandas(run, "x long, y long, doc_id long, th long, s int, copy boolean")
+    rows = strings.mapInPandas(run, "x long, y long, doc_id string, th long, s int, copy boolean")
     twice = rows.groupBy("x", "y").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     return rows.filter("not copy").join(twice, ["x", "y"], "left_semi").select("doc_id", "th", F.col("s").alias("lo"), (F.col("s") + least).alias("hi"))
 
@@ -239,11 +240,12 @@ def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 20, hot: int =
     asked = asked.withColumnsRenamed({"doc_id": "d", "th": "t"})
     text = docs.join(small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(DOC)
     text = text.select("doc_id", "th", F.encode("text", "utf-8").alias("raw"), F.explode("spans").alias("s"))
-    cut = text.select("s.h", "s.n", "doc_id", "th", "s.a", "s.o", "s.copy", F.expr(f"substring(raw, s.a + 1, s.w + {least})").alias("data"))
+    cut = text.select("s.h", "s.n", F.col("doc_id").cast("string").alias("doc_id"), "th", "s.a", "s.o", "s.copy", F.expr(f"substring(raw, s.a + 1, s.w + {least})").alias("data"))
     strings = stored(cut, "open-strings")
     edges = _edges(strings.filter(F.col("n") <= hot).drop("n"), least, block)
     if wanted.filter(F.col("n") > hot).limit(1).count():
         edges = edges.unionByName(_counted(strings.filter(F.col("n") > hot).drop("n"), least))
+    edges = edges.withColumn("doc_id", F.col("doc_id").cast("long"))
     return stored(settled.unionByName(edges).groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats")
 
 
