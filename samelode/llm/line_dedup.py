@@ -144,10 +144,11 @@ def removed(docs: DataFrame, least: int = 5) -> DataFrame:
 
 def dedup(docs: DataFrame, least: int = 5) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines, n_removed and kept in front: (n_lines, n_removed, doc)."""
-    gone = stored(removed(docs, least), "gone")
+    gone = stored(removed(docs, least), "gone").withColumnsRenamed({"d": "gd", "t": "gt"})
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 5 * SMALL
     text = F.col("text")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), text)
-    joined = row.join(small(gone.withColumnsRenamed({"d": "gd", "t": "gt"})), (F.col("d") == F.col("gd")) & (F.col("t") == F.col("gt")), "left").select("doc", "text", "gone")
+    joined = row.join(F.broadcast(gone) if few else gone, (F.col("d") == F.col("gd")) & (F.col("t") == F.col("gt")), "left").select("doc", "text", "gone")
     # explode works the lines out once for each row
     split = joined.select("doc", "text", "gone", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"))
     # runs of kept lines between those that go
