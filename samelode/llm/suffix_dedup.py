@@ -29,20 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samelode.llm.common import Rolling, drop_stored, id_text, slices, small_batches, stored
 
 GRAM = 32
 DOC = ["doc_id", "th"]
-#: Most rows that are broadcast; beyond it, joins shuffle.
-SMALL = 300_000
+#: Most intervals or spans, in all rows, that are broadcast; beyond it, joins shuffle.
+SMALL = 1 << 20
 
 
-def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
-    """df, marked for broadcast if it has at most `bound` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def small(df: DataFrame, col: str, bound: int = SMALL) -> DataFrame:
+    """df, marked for broadcast if its arrays `col` hold at most `bound` entries; no row's array is empty."""
+    return F.broadcast(df) if (df.agg(F.sum(F.size(col))).first()[0] or 0) <= bound else df
 
 
 def _numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -225,7 +225,7 @@ def _counted(strings: DataFrame, least: int) -> DataFrame:
     return rows.filter("not copy").join(twice, ["x", "y"], "left_semi").select("doc_id", "th", F.col("s").alias("lo"), (F.col("s") + least).alias("hi"))
 
 
-def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 20, hot: int = 50_000) -> DataFrame:
+def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 18, hot: int = 50_000) -> DataFrame:
     """(doc_id, th, runs): for each text (doc_id, text, th) with repeated strings, intervals (lo, hi) in bytes that cover them."""
     every = stored(spans(docs, least), "spans")
     grams = every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
@@ -238,7 +238,7 @@ def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 20, hot: int =
     wanted = stored(equal.join(open_, "h").select("h", "n", (F.col("c") > 1).alias("copy"), "one.*"), "open-spans")
     asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "copy", "a", "w", "o")).alias("spans"))
     asked = asked.withColumnsRenamed({"doc_id": "d", "th": "t"})
-    text = docs.join(small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(DOC)
+    text = docs.join(small(asked, "spans"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(DOC)
     text = text.select("doc_id", "th", F.encode("text", "utf-8").alias("raw"), F.explode("spans").alias("s"))
     cut = text.select("s.h", "s.n", F.col("doc_id").cast("string").alias("doc_id"), "th", "s.a", "s.o", "s.copy", F.expr(f"substring(raw, s.a + 1, s.w + {least})").alias("data"))
     strings = stored(cut, "open-strings")
@@ -246,7 +246,12 @@ def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 20, hot: int =
     if wanted.filter(F.col("n") > hot).limit(1).count():
         edges = edges.unionByName(_counted(strings.filter(F.col("n") > hot).drop("n"), least))
     edges = edges.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return stored(settled.unionByName(edges).groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats")
+    # touching intervals become one before they are gathered
+    order = Window.partitionBy(*DOC).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = settled.unionByName(edges).withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("lo")).cast("int"))
+    one = apart.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*DOC, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return stored(one.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -269,7 +274,7 @@ def cleaned(docs: DataFrame, least: int = 200) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = keyed(docs)
     runs = repeats(docs, least).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    joined = docs.join(small(runs), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "runs")
+    joined = docs.join(small(runs, "runs"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
