@@ -1,27 +1,61 @@
-"""Lookups by offset: stabbing, as-of and overlap; each has an equality on the file, so it is a hash or merge join."""
+"""Lookups by offset: stabbing, as-of and overlap.
+
+An extent of up to 2^v bytes overlaps two bins of that width at most, so lookups are equality joins on file, level and bin:
+a file with a third of all extents and all points is spread over its bins and not paired with itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_LEVEL = "cast(ceil(log2(greatest(len, 1))) as int)"
+
+
+def _binned(extents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Extents with level v and bin b, a row for each bin; and the levels that occur (one row, 64 at most)."""
+    rows = extents.filter("len > 0")
+    binned = rows.withColumn("v", F.expr(_LEVEL)).withColumn("b", F.expr("explode(array_distinct(array(shiftright(loff, v), shiftright(loff + len - 1, v))))"))
+    return binned, rows.agg(F.collect_set(F.expr(_LEVEL)).alias("vs"))
+
 
 def extent_at(points: DataFrame, extents: DataFrame) -> DataFrame:
     """(fileid, x, loff, len): the extent that holds offset x of the file."""
-    return points.join(extents, "fileid").filter("loff <= x and x < loff + len").select("fileid", "x", "loff", "len")
+    binned, levels = _binned(extents)
+    p = points.crossJoin(F.broadcast(levels)).select("fileid", "x", F.explode("vs").alias("v")).withColumn("b", F.expr("shiftright(x, v)"))
+    return p.join(binned, ["fileid", "v", "b"]).filter("loff <= x and x < loff + len").select("fileid", "x", "loff", "len")
 
 
 def extent_asof(points: DataFrame, extents: DataFrame) -> DataFrame:
-    """(fileid, x, loff): the first extent that ends at x or later; it may begin after x."""
-    return points.join(extents, "fileid").filter("loff + len - 1 >= x").groupBy("fileid", "x").agg(F.min("loff").alias("loff"))
+    """(fileid, x, loff): the first extent that ends at x or later; it may begin after x. One sort of points and extents by place, no pairs."""
+    ends = extents.filter("len > 0").select("fileid", (F.col("loff") + F.col("len") - 1).alias("x"), "loff", F.lit(0).alias("side"))
+    asked = points.select("fileid", "x", F.lit(None).cast("long").alias("loff"), F.lit(1).alias("side")).distinct()
+    back = Window.partitionBy("fileid").orderBy(F.desc("x"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ends.unionByName(asked).withColumn("loff", F.min("loff").over(back)).filter("side = 1 and loff is not null").select("fileid", "x", "loff")
+
+
+def _overlaps(wanted: DataFrame, extents: DataFrame) -> DataFrame:
+    """Rows of wanted (fileid, lo, hi) with each extent that they overlap, once: at the first bin that both touch."""
+    binned, levels = _binned(extents)
+    w = wanted.filter("lo < hi").crossJoin(F.broadcast(levels)).withColumn("v", F.explode("vs")).drop("vs")
+    w = w.withColumn("b", F.expr("explode(sequence(shiftright(lo, v), shiftright(hi - 1, v)))"))
+    hit = w.join(binned, ["fileid", "v", "b"]).filter("loff < hi and loff + len > lo")
+    return hit.filter(F.expr("b = greatest(shiftright(lo, v), shiftright(loff, v))")).drop("v", "b")
 
 
 def shared_bytes(wanted: DataFrame, extents: DataFrame) -> DataFrame:
-    """(fileid, lo, hi, shared): bytes of [lo, hi) in shared, allocated extents."""
-    hit = extents.filter("shared and not delalloc").select("fileid", "loff", "len")
-    on = (wanted["fileid"] == hit["fileid"]) & (hit["loff"] < wanted["hi"]) & (hit["loff"] + hit["len"] > wanted["lo"])
-    part = F.least(hit["loff"] + hit["len"], wanted["hi"]) - F.greatest(hit["loff"], wanted["lo"])
-    return wanted.join(hit, on, "left").groupBy(wanted["fileid"], wanted["lo"], wanted["hi"]).agg(F.coalesce(F.sum(part), F.lit(0)).alias("shared"))
+    """(fileid, lo, hi, shared): bytes of [lo, hi) in shared, allocated extents; a range that is asked for twice is answered once."""
+    asked = wanted.select("fileid", "lo", "hi").distinct()
+    hit = _overlaps(asked, extents.filter("shared and not delalloc").select("fileid", "loff", "len"))
+    found = hit.groupBy("fileid", "lo", "hi").agg(F.sum(F.least(F.col("loff") + F.col("len"), F.col("hi")) - F.greatest("loff", "lo")).alias("shared"))
+    return asked.join(found, ["fileid", "lo", "hi"], "left").select("fileid", "lo", "hi", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def outside_ignored(parts: DataFrame, extents: DataFrame) -> DataFrame:
+    """Parts (fileid, loff, len) that no extent with `ignored` set overlaps: what a scan reads."""
+    asked = parts.select("fileid", F.col("loff").alias("lo"), (F.col("loff") + F.col("len")).alias("hi")).distinct()
+    skipped = _overlaps(asked, extents.filter("ignored").select("fileid", "loff", "len")).select("fileid", F.col("lo").alias("loff"), (F.col("hi") - F.col("lo")).alias("len")).distinct()
+    return parts.join(skipped, ["fileid", "loff", "len"], "left_anti")
 
 
 def shared_per_file(extents: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ query("shared_per_file", lambda t: ranges.shared_per_file(t.line_extents), "sele
 # Ranges
 query("extent_at_offset", lambda t: ranges.extent_at(t.points, t.line_extents), _sql("lx", "select fileid, x, loff, len from lx join le using (fileid) where loff <= x and x < loff + len"))
 query("extent_asof", lambda t: ranges.extent_asof(t.points, t.line_extents), _sql("lx", "select fileid, x, min(loff) as loff from lx join le using (fileid) where loff + len - 1 >= x group by all"))
-query("shared_bytes", lambda t: ranges.shared_bytes(t.points.select("fileid", F.col("x").alias("lo"), (F.col("x") + 90).alias("hi")), t.line_extents), _sql("lx", "select lx.fileid, x as lo, x + 90 as hi, coalesce(sum(least(loff + len, x + 90) - greatest(loff, x)), 0)::bigint as shared from lx left join le on lx.fileid = le.fileid and shared and not delalloc and loff < x + 90 and loff + len > x group by all"))
+query("shared_bytes", lambda t: ranges.shared_bytes(t.points.select("fileid", F.col("x").alias("lo"), (F.col("x") + 90).alias("hi")), t.line_extents), _sql("lx", "select lx.fileid, x as lo, x + 90 as hi, coalesce(sum(case when le.fileid is not null then least(loff + len, x + 90) - greatest(loff, x) end), 0)::bigint as shared from lx left join le on lx.fileid = le.fileid and shared and not delalloc and loff < x + 90 and loff + len > x group by all"))
 # Requests
 query("dedupe_plan", lambda t: t.planned.withColumn("rn", F.col("rn").cast("long")), _sql("f e de pe", "select len, digest, rn, case when rn = 1 then 'target' else 'dest' end as role, fileid, loff from pe"))
 query("dedupe_requests", lambda t: requests.requests(t.planned), _sql("f e de pe", "select len, digest, ((rn - 2) // 119)::bigint as request, count(*) as n_dest from pe where rn > 1 group by all"))
