@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samelode.functions.scalars import rounded_down
+from samelode.sources.corpus import numbered
+
 #: Destinations of a request next to its target, and files of a chunk.
 DESTINATIONS, CHUNK = 119, 120
 
 
 def plan(members: DataFrame) -> DataFrame:
     """(len, digest, rn, role, fileid, loff): the first member by (fileid, loff) is the target of its group."""
-    rn = F.row_number().over(Window.partitionBy("len", "digest").orderBy("fileid", "loff"))
-    return members.withColumn("rn", rn).select("len", "digest", "rn", F.when(F.col("rn") == 1, "target").otherwise("dest").alias("role"), "fileid", "loff")
+    return numbered(members, "fileid", "loff", within=("len", "digest")).select("len", "digest", "rn", F.when(F.col("rn") == 1, "target").otherwise("dest").alias("role"), "fileid", "loff")
 
 
 def requests(planned: DataFrame) -> DataFrame:
@@ -22,6 +24,18 @@ def requests(planned: DataFrame) -> DataFrame:
 
 def chunks(listed: DataFrame) -> DataFrame:
     """(grp, chunk, target, n_dest) of listed groups (grp, ord, path): in reverse order, each chunk with its own target; a chunk of one does nothing."""
-    rn = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("ord")))
-    cut = listed.withColumn("rn", rn).withColumn("chunk", F.floor((F.col("rn") - 1) / CHUNK).cast("long"))
+    back = numbered(listed.withColumn("_back", -F.col("ord")), "_back", within=("grp",))
+    cut = back.withColumn("chunk", F.floor((F.col("rn") - 1) / CHUNK).cast("long"))
     return cut.groupBy("grp", "chunk").agg(F.max_by("path", "ord").alias("target"), (F.count("*") - 1).alias("n_dest")).filter("n_dest > 0")
+
+
+def outcome(planned: DataFrame, blocksize: int) -> DataFrame:
+    """(len, digest, fileid, loff, status, bytes) of each destination if the plan were carried out: lengths are rounded down to whole
+    filesystem blocks, so a member shorter than one block is passed on as it is."""
+    return planned.filter("rn > 1").select("len", "digest", "fileid", "loff", F.lit(0).alias("status"), rounded_down(F.col("len"), blocksize).cast("long").alias("bytes"))
+
+
+def gained(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(bytes): by how much the shared bytes (fileid, lo, hi, shared) of all ranges went up; ranges that lost some count as 0."""
+    both = before.join(after.withColumnRenamed("shared", "now"), ["fileid", "lo", "hi"])
+    return both.agg(F.coalesce(F.sum(F.greatest(F.col("now") - F.col("shared"), F.lit(0))), F.lit(0)).cast("long").alias("bytes"))

@@ -13,13 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str, name: str = "rn") -> DataFrame:
-    """df with the place of each row in the order of `key`, from 1: ranges are numbered in parallel and shifted by the sizes of the ranges before."""
-    ranged = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    return ranged.withColumn("_r", place).join(F.broadcast(before), "_p").withColumn(name, (F.col("_r") + F.col("_b")).cast("long")).drop("_p", "_r", "_b")
+def in_ranges(df: DataFrame, key) -> DataFrame:
+    """df with `_p`, the place of `key` (unique, or nearly so) among bounds from a bounded sample of the keys. It hangs on the keys alone,
+    so every scan and every repeated task puts a row into the same range; the sample only balances them. Nulls come first."""
+    n = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    picks = df.select(key.alias("_k")).filter("_k is not null").orderBy(F.xxhash64("_k")).limit(32 * n).agg(F.array_sort(F.collect_list("_k")).alias("_s"))
+    bounds = picks.select(F.expr("filter(_s, (x, j) -> j > 0 and j % 32 = 0)").alias("_s"))
+    return df.withColumn("_k", key).crossJoin(F.broadcast(bounds)).withColumn("_p", F.expr("size(filter(_s, x -> x <= _k))")).drop("_s", "_k")
+
+
+def numbered(df: DataFrame, *keys: str, name: str = "rn", within: tuple = ()) -> DataFrame:
+    """df with the place of each row in the order of the keys, from 1, in the table or in each group of `within`: ranges are numbered
+    in parallel and shifted by the sizes of the ranges before, so that no group, however large, is sorted by one task."""
+    ranged = in_ranges(df, F.struct(*keys))
+    sizes = ranged.groupBy(*within, "_p").agg(F.count("*").alias("_n"))
+    before = sizes.select(*within, "_p", (F.sum("_n").over(Window.partitionBy(*within).orderBy("_p")) - F.col("_n")).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(*within, "_p").orderBy(*keys))
+    return ranged.withColumn("_r", place).join(before, [*within, "_p"]).withColumn(name, (F.col("_r") + F.col("_b")).cast("long")).drop("_p", "_r", "_b")
 
 
 def assign_batches(files: DataFrame, key: str = "fileid", batch: int = BATCH, base: int = 0) -> DataFrame:
@@ -77,10 +87,10 @@ def content_blocks(content: DataFrame, size: int) -> DataFrame:
 def closed_groups(lines: DataFrame) -> DataFrame:
     """(grp, ord, path) of a stream of paths (ord, line) in which a blank line ends a group; a group left open is not listed."""
     blank = (F.col("line") == "").cast("int")
-    split = numbered(lines, "ord").repartitionByRange("rn").withColumn("_p", F.spark_partition_id())
+    split = in_ranges(lines, F.col("ord"))
     ends = split.groupBy("_p").agg(F.sum(blank).alias("_n"))
     before = ends.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    upto = Window.partitionBy("_p").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("_p").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grp = split.withColumn("_r", F.sum(blank).over(upto)).join(F.broadcast(before), "_p").withColumn("grp", (F.col("_r") + F.col("_b") + 1).cast("int"))
     closed = ends.agg(F.sum("_n").alias("closed"))
     return grp.filter("line <> ''").crossJoin(F.broadcast(closed)).filter("grp <= closed").select("grp", "ord", F.col("line").alias("path"))
