@@ -75,3 +75,25 @@ def first_device(source: Column) -> Column:
 def rounded_down(length: Column, blocksize: int) -> Column:
     """A length down to whole filesystem blocks, if it is longer than one."""
     return F.when(length > blocksize, length - length % blocksize).otherwise(length)
+
+
+def num_digits(number: Column) -> Column:
+    """Decimal digits of a whole number; 0 has none."""
+    return F.when(number == 0, 0).otherwise(F.length(F.abs(number).cast("string")))
+
+
+def ignored(flags: Column, mask: int) -> Column:
+    """Whether any bit of the mask is set; unknown flags are not ignored."""
+    return F.coalesce(flags.bitwiseAND(mask) != 0, F.lit(False))
+
+
+def parse_options(text: str, known: dict[str, bool]) -> dict[str, bool]:
+    """Comma-separated switches over their defaults; a `no` before a name turns it off, an unknown name is an error."""
+    chosen = dict(known)
+    for word in filter(None, text.split(",")):
+        on = word in known
+        name = word if on else word.removeprefix("no")
+        if name not in known:
+            raise ValueError(f"unknown option {word}")
+        chosen[name] = on
+    return chosen

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,11 @@ def top_hashes(rows: DataFrame, files: DataFrame, n: int | None = 10) -> DataFra
     return agg if n is None else agg.orderBy(F.desc("n"), "digest").limit(n)
 
 
+def places(top: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(digest, filename, loff): every place of the listed digests, whichever their number."""
+    return rows.join(top.select("digest"), "digest", "left_semi").join(files.select("fileid", "filename"), "fileid").select("digest", "filename", "loff")
+
+
 def blocks_by_file(dups: DataFrame) -> DataFrame:
     """(digest, fileid, n, loffs): places of each duplicate digest in each file, in order."""
     return dups.groupBy("digest", "fileid").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("loff")), lambda x: x.cast("string")), ",").alias("loffs"))
@@ -91,8 +96,9 @@ def blocks_by_file(dups: DataFrame) -> DataFrame:
 
 def clean_deduped(members: DataFrame) -> DataFrame:
     """Members of each group with one left of those that already share storage (equal poff other than 0); groups of one then go."""
-    place = Window.partitionBy("len", "digest", "poff").orderBy("fileid", "loff")
-    left = members.withColumn("r", F.row_number().over(place)).filter("poff = 0 or r = 1").drop("r")
+    rows = members.select("len", "digest", "fileid", "loff", "poff")
+    first = rows.filter("poff <> 0").groupBy("len", "digest", "poff").agg(F.min(F.struct("fileid", "loff")).alias("m")).select("len", "digest", "m.fileid", "m.loff", "poff")
+    left = rows.filter("poff = 0").unionByName(first)
     keep = left.groupBy("len", "digest").agg(F.count("*").alias("c")).filter("c > 1").select("len", "digest")
     return left.join(keep, ["len", "digest"], "left_semi").select("len", "digest", "fileid", "loff", "poff")
 
@@ -105,3 +111,14 @@ def verify(members: DataFrame, content: DataFrame) -> DataFrame:
 def after_dedupe(extents: DataFrame, files: DataFrame, n: int | None = None) -> DataFrame:
     """Extents after a whole-file stage: those of the files that it dealt with are gone."""
     return extents.join(duplicate_files(files, n).select("fileid").distinct(), "fileid", "left_anti").select("fileid", "loff", "len", "poff", "digest")
+
+
+def grown(members: DataFrame, physical: DataFrame) -> DataFrame:
+    """Members (len, digest, fileid, loff) whose physical extent (fileid, loff, plen) is shorter than the length of their group."""
+    return members.join(physical.select("fileid", "loff", "plen"), ["fileid", "loff"]).filter(F.col("plen") < F.col("len"))
+
+
+def shared_places(members: DataFrame, physical: DataFrame) -> DataFrame:
+    """(len, digest, poff, n): storage that several members of a group already share, by the stored physical offset."""
+    rows = members.select("len", "digest", "fileid", "loff").join(physical.select("fileid", "loff", "poff"), ["fileid", "loff"])
+    return rows.filter("poff <> 0").groupBy("len", "digest", "poff").agg(F.count("*").alias("n")).filter("n > 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samelode.sources.corpus import numbered
+
 DEFAULTS = {"hash_type": "md5", "block_size": "131072", "dedupe_sequence": "0", "version_major": "4", "version_minor": "1"}
 
 
@@ -19,8 +21,6 @@ def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new replace old ones of the same (ino, subvol) or the same filename; they get new ids and no digest yet."""
     top = old.agg(F.coalesce(F.max("fileid"), F.lit(0)).alias("top"))
     left = old.join(new.select("ino", "subvol"), ["ino", "subvol"], "left_anti").join(new.select("filename"), "filename", "left_anti")
-    from samelode.sources.corpus import numbered
-
     fresh = numbered(new, "filename").crossJoin(F.broadcast(top))
     fresh = fresh.select((F.col("top") + F.col("rn")).alias("fileid"), "filename", "ino", "subvol", "size", "mtime", F.lit(None).cast("string").alias("digest"))
     return left.select("fileid", "filename", "ino", "subvol", "size", "mtime", "digest").unionByName(fresh)
@@ -72,3 +72,14 @@ def on_locked_fs(listing: DataFrame, uuid: str | None = None) -> DataFrame:
         return listing.filter(F.col("fs_uuid") == uuid)
     first = listing.agg(F.min_by("fs_uuid", "ord").alias("first"))
     return listing.crossJoin(F.broadcast(first)).filter(F.col("fs_uuid") == F.col("first")).drop("first")
+
+
+def config_put(stored: DataFrame, put: DataFrame) -> DataFrame:
+    """(keyname, keyval) after writing the keys of put over stored ones."""
+    return stored.select("keyname", "keyval").join(put.select("keyname"), "keyname", "left_anti").unionByName(put.select("keyname", "keyval"))
+
+
+def insert_extents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Extents with those of new put in the place of old ones of the same (fileid, loff, len); empty ones are left out."""
+    fresh = new.filter("len > 0").select(old.columns)
+    return old.join(fresh.select("fileid", "loff", "len"), ["fileid", "loff", "len"], "left_anti").select(old.columns).unionByName(fresh)

@@ -122,12 +122,15 @@ query("dupe_groups", lambda t: dupes.groups(t.dup_extents), _sql("f e de", "sele
 query("group_totals", lambda t: dupes.totals(dupes.groups(t.dup_extents)), _sql("f e de", "select count(distinct (len, digest)) as num_dupes, count(*) as num_extents from de"))
 query("reclaimable_bytes", lambda t: dupes.reclaimable(dupes.groups(t.dup_extents)), _sql("f e de", "select len, digest, (len * (count(*) - 1))::bigint as bytes from de group by len, digest"))
 query("clean_deduped", lambda t: dupes.clean_deduped(t.dup_extents), _sql("f e de", "select len, digest, fileid, loff, poff from (select *, count(*) over (partition by len, digest) as c from (select *, row_number() over (partition by len, digest, poff order by fileid, loff) as r from de) where poff = 0 or r = 1) where c > 1"))
+query("shared_places", lambda t: dupes.shared_places(t.dup_extents, t.extents), _sql("f e de", "select len, digest, poff, count(*) as n from de where poff <> 0 group by all having count(*) > 1"))
+query("grown_members", lambda t: dupes.grown(t.dup_extents.select("len", "digest", "fileid", "loff"), t.extents.select("fileid", "loff", F.expr("case when fileid % 3 = 0 then len - 1 else len end").alias("plen"))).select("len", "digest", "fileid", "loff", "plen"), _sql("f e de", "select len, digest, fileid, loff, len - 1 as plen from de where fileid % 3 = 0"))
 query("verify_groups", lambda t: dupes.verify(t.dup_files, t.docs.select(F.col("doc_id").alias("fileid"), F.sha2("text", 256).alias("proof"))), _sql("f df", "select df.digest, size, count(distinct sha256(text)) as n_contents from df join documents on doc_id = fileid group by all"))
 query("post_dedupe_state", lambda t: dupes.after_dedupe(t.extents, t.files), _sql("f e df", "select fileid, loff, len, poff, digest from e where fileid not in (select fileid from df)"))
 # Statistics
 query("top_block_hashes", lambda t: dupes.frequencies(t.blocks), _sql("b", "select digest, count(*) as n from b group by digest having count(*) > 1"))
 query("top_extent_hashes", lambda t: dupes.frequencies(t.extents), _sql("e", "select digest, count(*) as n from e group by digest having count(*) > 1"))
 query("top_n_hashes", lambda t: dupes.top_hashes(t.extents, t.files, 10), _sql("e", "select digest, count(*) as n, count(distinct fileid) as n_files from e group by digest having count(*) > 1 order by n desc, digest limit 10"))
+query("hash_places", lambda t: dupes.places(dupes.top_hashes(t.extents, t.files, 10), t.extents, t.files), _sql("f e", "select e.digest, filename, loff from e join f using (fileid) where e.digest in (select digest from e group by digest having count(*) > 1 order by count(*) desc, digest limit 10)"))
 query("hashfile_stats", lambda t: t.blocks.agg(F.count("*").alias("n_blocks")).crossJoin(t.extents.agg(F.count("*").alias("n_extents"))).crossJoin(t.files.agg(F.count("*").alias("n_files"))), _sql("f e b", "select (select count(*) from b) as n_blocks, (select count(*) from e) as n_extents, (select count(*) from f) as n_files"))
 query("max_dedupe_seq", lambda t: t.files.agg(F.max("dedupe_seq").alias("max_seq")), _sql("f", "select max(dedupe_seq) as max_seq from f"))
 query("blocks_by_file", lambda t: dupes.blocks_by_file(t.dup_blocks), _sql("b db", "select digest, fileid, count(*) as n, string_agg(loff::varchar, ',' order by loff) as loffs from db group by all"))
@@ -136,9 +139,20 @@ query("shared_per_file", lambda t: ranges.shared_per_file(t.line_extents), "sele
 query("extent_at_offset", lambda t: ranges.extent_at(t.points, t.line_extents), _sql("lx", "select fileid, x, loff, len from lx join le using (fileid) where loff <= x and x < loff + len"))
 query("extent_asof", lambda t: ranges.extent_asof(t.points, t.line_extents), _sql("lx", "select fileid, x, min(loff) as loff from lx join le using (fileid) where loff + len - 1 >= x group by all"))
 query("shared_bytes", lambda t: ranges.shared_bytes(t.points.select("fileid", F.col("x").alias("lo"), (F.col("x") + 90).alias("hi")), t.line_extents), _sql("lx", "select lx.fileid, x as lo, x + 90 as hi, coalesce(sum(case when le.fileid is not null then least(loff + len, x + 90) - greatest(loff, x) end), 0)::bigint as shared from lx left join le on lx.fileid = le.fileid and shared and not delalloc and loff < x + 90 and loff + len > x group by all"))
+query(
+    "shared_gain",
+    lambda t: requests.gained(*[ranges.shared_bytes(t.points.select("fileid", F.col("x").alias("lo"), (F.col("x") + 90).alias("hi")), e) for e in (t.line_extents, t.line_extents.withColumn("shared", F.expr("shared or loff % 2 = 0")))]),
+    _sql("lx", "select coalesce(sum(least(loff + len, x + 90) - greatest(loff, x)), 0)::bigint as bytes from lx join le on lx.fileid = le.fileid and not shared and loff % 2 = 0 and not delalloc and loff < x + 90 and loff + len > x"),
+)
+query(
+    "outside_ignored",
+    lambda t: ranges.outside_ignored(t.points.select("fileid", F.col("x").alias("loff"), F.lit(20).cast("long").alias("len")), t.line_extents.withColumn("ignored", scalars.ignored(F.col("len") * 256, 0xA00) & F.col("shared"))),
+    _sql("lx", "select fileid, x as loff, 20::bigint as len from lx where not exists (select 1 from le where le.fileid = lx.fileid and (len * 256) & 2560 <> 0 and shared and loff < x + 20 and loff + len > x)"),
+)
 # Requests
 query("dedupe_plan", lambda t: t.planned.withColumn("rn", F.col("rn").cast("long")), _sql("f e de pe", "select len, digest, rn, case when rn = 1 then 'target' else 'dest' end as role, fileid, loff from pe"))
 query("dedupe_requests", lambda t: requests.requests(t.planned), _sql("f e de pe", "select len, digest, ((rn - 2) // 119)::bigint as request, count(*) as n_dest from pe where rn > 1 group by all"))
+query("dedupe_outcome", lambda t: requests.outcome(t.planned, 64), _sql("f e de pe", "select len, digest, fileid, loff, 0::int as status, case when len > 64 then len - len % 64 else len end::bigint as bytes from pe where rn > 1"))
 query("fdupes_requests", lambda t: requests.chunks(t.dup_files.select(F.concat_ws(":", "digest", "size").alias("grp"), F.col("fileid").alias("ord"), F.col("filename").alias("path"))), _sql("f df", "select * from (select grp, ((rn - 1) // 120)::bigint as chunk, max_by(filename, fileid) as target, count(*) - 1 as n_dest from (select digest || ':' || size as grp, fileid, filename, row_number() over (partition by digest, size order by fileid desc) as rn from df) group by all) where n_dest > 0"))
 # Filters
 query("exclude_files", lambda t: t.files.filter(~scalars.excluded(F.col("filename"), ["/src1/*", "*/fr/?", "src2/e[ns]/*7"])).select("filename"), _sql("f", "select filename from f where not regexp_matches(filename, '^/src1/.*$') and not regexp_matches(filename, '^/.*/fr/.$') and not regexp_matches(filename, '^/src2/e[ns]/.*7$')"))
@@ -157,6 +171,12 @@ query("prune_unscanned", lambda t: state.prune_unscanned(t.files.withColumn("dig
 query("update_poff", lambda t: state.update_poff(t.extents, t.extents.filter("fileid % 4 = 0").select("fileid", "loff", (F.col("poff") + 7).alias("poff"))), _sql("e", "select fileid, loff, len, case when fileid % 4 = 0 then poff + 7 else poff end as poff, digest from e"))
 query("remove_hashes", lambda t: state.without_files(t.blocks, t.files.filter("fileid % 4 = 0")), _sql("b", "select * from b where fileid % 4 <> 0"))
 query("remove_file_cascade", lambda t: state.without_files(t.extents, t.files.filter(F.col("filename").rlike("^/src3/"))), _sql("f e", "select fileid, loff, len, poff, digest from e where fileid not in (select fileid from f where filename like '/src3/%')"))
+query("insert_extents", lambda t: state.insert_extents(t.extents.filter("fileid % 2 = 0"), t.extents.withColumn("len", F.expr("case when loff % 3 = 0 then 0 else len end"))), _sql("e", "select fileid, loff, len, poff, digest from e where fileid % 2 = 0 or loff % 3 <> 0"))
+query(
+    "config_put",
+    lambda t: state.config(state.config_put(t.docs.limit(0).selectExpr("'' as keyname", "'' as keyval"), t.files.agg(F.max("dedupe_seq").cast("string").alias("keyval")).select(F.lit("dedupe_sequence").alias("keyname"), "keyval"))),
+    _sql("f", "select * from (values ('hash_type', 'md5'), ('block_size', '131072'), ('version_major', '4'), ('version_minor', '1')) v(keyname, keyval) union all select 'dedupe_sequence', max(dedupe_seq)::varchar from f"),
+)
 query("rename_file", lambda t: state.rename(t.files, t.files.filter("fileid % 50 = 0").select("fileid", F.concat(F.lit("/moved/"), F.col("fileid").cast("string")).alias("new_name"))), _sql("f", "select fileid, case when fileid % 50 = 0 then '/moved/' || fileid else filename end as filename from f"))
 # Partial matches
 query("partial_seeds", lambda t: partial.seeds(_unique(t), t.numbered), None)
@@ -169,6 +189,9 @@ query("all_extent_groups", lambda t: dupes.groups(t.dup_extents.select("len", "d
 query("parse_size", lambda t: t.docs.select(F.col("doc_id").alias("fileid"), scalars.parse_size(F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(u) for u in ("", "b", "K", "m", "G", "t", "P", "x")]), (F.col("doc_id") % 8 + 1).cast("int")))).alias("bytes")), _sql("f sz", "select fileid, case u when '' then fileid when 'b' then fileid when 'K' then fileid * 1024 when 'm' then fileid * 1048576 when 'G' then fileid * 1073741824 when 't' then fileid * 1099511627776 when 'P' then fileid * 1125899906842624 end::bigint as bytes from st"))
 query("pretty_size", lambda t: t.docs.select("doc_id", scalars.pretty_size(F.col("n_chars") * F.col("doc_id") * F.col("doc_id")).alias("pretty")), "with s as (select doc_id, n_chars * doc_id * doc_id as s from documents) select doc_id, case when s >= 1125899906842624 then printf('%.1fPB', (s // 1099511627776) / 1024.0) when s >= 1099511627776 then printf('%.1fTB', (s // 1073741824) / 1024.0) when s >= 1073741824 then printf('%.1fGB', (s // 1048576) / 1024.0) when s >= 1048576 then printf('%.1fMB', (s // 1024) / 1024.0) when s >= 1024 then printf('%.1fKB', s / 1024.0) else s::varchar end as pretty from s")
 query("short_ids", lambda t: t.files.select("fileid", scalars.short_id(F.col("digest")).alias("id")), _sql("f", "select fileid, digest[1:8] as id from f"))
+query("num_digits", lambda t: t.docs.select("doc_id", scalars.num_digits(F.col("doc_id") * F.col("n_chars")).cast("long").alias("digits")), "select doc_id, case when doc_id * n_chars = 0 then 0 else length((doc_id * n_chars)::varchar) end::bigint as digits from documents")
+query("aligned_lengths", lambda t: t.docs.select("doc_id", scalars.rounded_down(F.col("n_chars"), 256).cast("long").alias("len")), "select doc_id, case when n_chars > 256 then n_chars - n_chars % 256 else n_chars end::bigint as len from documents")
+query("first_device", lambda t: t.docs.select("doc_id", scalars.first_device(F.concat_ws(":", "source", "lang")).alias("device")), "select doc_id, string_split(source || ':' || lang, ':')[1] as device from documents")
 
 
 def _unique(t: Tables) -> DataFrame:

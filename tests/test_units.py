@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from samelode.functions import scalars
-from samelode.operators import dupes, partial, state
+from samelode.operators import dupes, partial, ranges, requests, state
 from samelode.sources import corpus
 from samelode.streaming import batches
 
@@ -104,3 +104,74 @@ def test_stream(spark, tmp_path):
 def test_empty_tables(spark):
     files = spark.createDataFrame([], "fileid long, filename string, size long, digest string, flags int, dedupe_seq int")
     assert dupes.duplicate_files(files).count() == 0 and dupes.duplicate_files(files, 1).count() == 0
+
+
+def test_numbers_do_not_hang_on_the_columns_read(spark):
+    """Many rows in few partitions: sampled bounds would differ between the scans of a plan."""
+    df = spark.range(0, 300_000, 1, 3).select((F.col("id") * 7 % 300_007).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    got = corpus.numbered(df, "k").select("rn", "wide", "k")
+    assert got.agg(F.count("*").alias("n"), F.countDistinct("rn").alias("d"), F.max("rn").alias("m")).first() == (300_000, 300_000, 300_000)
+    ranked = got.orderBy("k").select("rn").toPandas()["rn"].tolist()
+    assert ranked == list(range(1, 300_001))
+
+
+def test_numbers_in_hot_groups(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 100).cast("string"))).alias("digest"), F.lit(8).cast("long").alias("len"), F.col("id").alias("fileid"), F.lit(0).cast("long").alias("loff"))
+    by = defaultdict(list)
+    for r in requests.plan(rows).collect():
+        by[r["digest"]].append((r["fileid"], r["rn"], r["role"]))
+    for members in by.values():
+        members.sort()
+        assert [m[1] for m in members] == list(range(1, len(members) + 1))
+        assert [m[2] for m in members] == ["target"] + ["dest"] * (len(members) - 1)
+    n_dest = {(r["digest"], r["request"]): r["n_dest"] for r in requests.requests(requests.plan(rows)).collect()}
+    assert n_dest["hot", 0] == 119 and sum(v for (d, _), v in n_dest.items() if d == "hot") == 1666
+
+
+def test_numbers_with_nulls_ties_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (5, 3), (5, 4), (1, 5)], "k long, x int")
+    got = sorted((r["rn"], r["k"]) for r in corpus.numbered(df, "k").collect())
+    assert got == [(1, None), (2, None), (3, 1), (4, 5), (5, 5)]
+    assert corpus.numbered(df.filter("x > 9"), "k").count() == 0
+
+
+def test_ranges_like_brute_force(spark):
+    r = random.Random(9)
+    ext, pts = [], []
+    for f in range(6):
+        at = 0
+        for _ in range(r.randrange(0, 30)):
+            at += r.choice([0, 0, 3, 50])
+            n = r.choice([1, 1, 2, 7, 64, 100, 1000])
+            ext.append((f, at, n, r.random() < 0.6, r.random() < 0.3))
+            at += n
+        pts += [(f, x) for x in {r.randrange(0, 3000) for _ in range(15)}]
+    e = spark.createDataFrame(ext, "fileid long, loff long, len long, shared boolean, delalloc boolean")
+    p = spark.createDataFrame(pts, "fileid long, x long")
+    assert sorted(map(tuple, ranges.extent_at(p, e).collect())) == sorted((f, x, a, n) for f, x in pts for g, a, n, _, _ in ext if f == g and a <= x < a + n)
+    want = sorted((f, x, min(a for g, a, n, _, _ in ext if f == g and a + n - 1 >= x)) for f, x in pts if any(f == g and a + n - 1 >= x for g, a, n, _, _ in ext))
+    assert sorted(map(tuple, ranges.extent_asof(p, e).collect())) == want
+    w = p.select("fileid", F.col("x").alias("lo"), (F.col("x") + (F.col("x") % 200)).alias("hi"))
+    want = sorted((f, x, x + x % 200, sum(max(0, min(a + n, x + x % 200) - max(a, x)) for g, a, n, s, d in ext if f == g and s and not d)) for f, x in pts)
+    assert sorted(map(tuple, ranges.shared_bytes(w.union(w), e).collect())) == want
+    parts = w.select("fileid", F.col("lo").alias("loff"), (F.col("hi") - F.col("lo")).alias("len"))
+    want = sorted((f, x, x % 200) for f, x in pts if not any(f == g and s and a < x + x % 200 and a + n > x and x % 200 for g, a, n, s, _ in ext))
+    assert sorted(map(tuple, ranges.outside_ignored(parts, e.withColumnRenamed("shared", "ignored")).collect())) == want
+
+
+def test_options():
+    known = {"same": True, "partial": False, "only_whole_files": False}
+    assert scalars.parse_options("nosame,partial", known) == {"same": False, "partial": True, "only_whole_files": False}
+    assert scalars.parse_options("", known) == known
+    try:
+        scalars.parse_options("fast", known)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_flags_and_digits(spark):
+    for v, want in ((0, 0), (7, 1), (1000, 4)):
+        assert one(spark, scalars.num_digits(F.lit(v))) == want
+    for v, want in ((None, False), (0x200, True), (0x800, True), (0x400, False)):
+        assert one(spark, scalars.ignored(F.lit(v).cast("int"), 0xA00)) is want
