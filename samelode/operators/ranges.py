@@ -1,7 +1,8 @@
 """Lookups by offset: stabbing, as-of and overlap.
 
 An extent of up to 2^v bytes overlaps two bins of that width at most, so lookups are equality joins on file, level and bin:
-a file with a third of all extents and all points is spread over its bins and not paired with itself.
+a file with a third of all extents and all points is spread over its bins and not paired with itself. Extents of up to 64
+bytes share the finest bins, which hold 64 of them at most.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LEVEL = "cast(ceil(log2(greatest(len, 1))) as int)"
+_LEVEL = "cast(ceil(log2(greatest(len, 64))) as int)"
 
 
 def _binned(extents: DataFrame) -> tuple[DataFrame, DataFrame]:

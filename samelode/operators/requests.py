@@ -17,9 +17,12 @@ def plan(members: DataFrame) -> DataFrame:
     return numbered(members, "fileid", "loff", within=("len", "digest")).select("len", "digest", "rn", F.when(F.col("rn") == 1, "target").otherwise("dest").alias("role"), "fileid", "loff")
 
 
-def requests(planned: DataFrame) -> DataFrame:
-    """(len, digest, request, n_dest): a group's destinations in requests that share its target."""
-    return planned.filter("rn > 1").withColumn("request", F.floor((F.col("rn") - 2) / DESTINATIONS).cast("long")).groupBy("len", "digest", "request").agg(F.count("*").alias("n_dest"))
+def requests(members: DataFrame) -> DataFrame:
+    """(len, digest, request, n_dest): a group's destinations in requests that share its target, from the sizes of the groups alone;
+    the destination with number rn of the plan is in request (rn - 2) div 119."""
+    sizes = members.groupBy("len", "digest").agg((F.count("*") - 1).alias("n")).filter("n > 0")
+    cut = sizes.withColumn("request", F.expr(f"explode(sequence(0L, (n - 1) div {DESTINATIONS}))"))
+    return cut.select("len", "digest", "request", F.least(F.lit(DESTINATIONS), F.col("n") - DESTINATIONS * F.col("request")).alias("n_dest"))
 
 
 def chunks(listed: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ query(
 )
 # Requests
 query("dedupe_plan", lambda t: t.planned.withColumn("rn", F.col("rn").cast("long")), _sql("f e de pe", "select len, digest, rn, case when rn = 1 then 'target' else 'dest' end as role, fileid, loff from pe"))
-query("dedupe_requests", lambda t: requests.requests(t.planned), _sql("f e de pe", "select len, digest, ((rn - 2) // 119)::bigint as request, count(*) as n_dest from pe where rn > 1 group by all"))
+query("dedupe_requests", lambda t: requests.requests(t.dup_extents), _sql("f e de pe", "select len, digest, ((rn - 2) // 119)::bigint as request, count(*) as n_dest from pe where rn > 1 group by all"))
 query("dedupe_outcome", lambda t: requests.outcome(t.planned, 64), _sql("f e de pe", "select len, digest, fileid, loff, 0::int as status, case when len > 64 then len - len % 64 else len end::bigint as bytes from pe where rn > 1"))
 query("fdupes_requests", lambda t: requests.chunks(t.dup_files.select(F.concat_ws(":", "digest", "size").alias("grp"), F.col("fileid").alias("ord"), F.col("filename").alias("path"))), _sql("f df", "select * from (select grp, ((rn - 1) // 120)::bigint as chunk, max_by(filename, fileid) as target, count(*) - 1 as n_dest from (select digest || ':' || size as grp, fileid, filename, row_number() over (partition by digest, size order by fileid desc) as rn from df) group by all) where n_dest > 0"))
 # Filters

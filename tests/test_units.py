@@ -124,7 +124,7 @@ def test_numbers_in_hot_groups(spark):
         members.sort()
         assert [m[1] for m in members] == list(range(1, len(members) + 1))
         assert [m[2] for m in members] == ["target"] + ["dest"] * (len(members) - 1)
-    n_dest = {(r["digest"], r["request"]): r["n_dest"] for r in requests.requests(requests.plan(rows)).collect()}
+    n_dest = {(r["digest"], r["request"]): r["n_dest"] for r in requests.requests(rows).collect()}
     assert n_dest["hot", 0] == 119 and sum(v for (d, _), v in n_dest.items() if d == "hot") == 1666
 
 
