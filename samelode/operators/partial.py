@@ -33,8 +33,10 @@ def matches(found: DataFrame, blk: DataFrame, blocksize: int, literal: bool = Fa
     seed = ["o_file", "o_loff", "o_idx", "w_file", "w_loff", "w_idx", "ext_end"]
     o = blk.select(F.col("fileid").alias("o_file"), F.col("idx").alias("oi"), F.col("loff").alias("ol"), F.col("digest").alias("od"), F.col("blen").alias("ob"))
     w = blk.select(F.col("fileid").alias("w_file"), F.col("idx").alias("wi"), F.col("loff").alias("wl"), F.col("digest").alias("wd"), F.col("blen").alias("wb"))
-    pairs = found.join(w, "w_file").filter("wi >= w_idx and wl < ext_end").withColumn("k", F.col("wi") - F.col("w_idx"))
-    pairs = pairs.withColumn("oi", F.col("o_idx") + F.col("k")).join(o, ["o_file", "oi"])
+    # blocks lie a block or more apart, so an extent bounds the steps; joins by ordinal never pair a large file's seeds with all its blocks
+    steps = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"cast((ext_end - w_loff) div {blocksize} as int)"))))
+    steps = steps.withColumn("wi", F.col("w_idx") + F.col("k")).withColumn("oi", F.col("o_idx") + F.col("k"))
+    pairs = steps.join(w, ["w_file", "wi"]).filter("wl < ext_end").join(o, ["o_file", "oi"])
     step = Window.partitionBy(*seed).orderBy("k")
     upto = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = pairs.withColumn("m", F.col("od") == F.col("wd"))
