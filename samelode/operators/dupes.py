@@ -11,9 +11,11 @@ def keyed_in_batch(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame
 
     As no row is beyond n, some row is of batch n just if the largest is: one aggregation with partial sums.
     """
-    seen = rows if n is None else rows.filter(F.col("dedupe_seq") <= n)
-    agg = seen.filter(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_members"), F.max("dedupe_seq").alias("last"))
-    return agg.filter("n_members > 1") if n is None else agg.filter((F.col("n_members") > 1) & (F.col("last") == n))
+    some = F.col(keys[0]).isNotNull()
+    if n is None:
+        return rows.filter(some).groupBy(*keys).agg(F.count("*").alias("n_members")).filter("n_members > 1")
+    agg = rows.filter(some & (F.col("dedupe_seq") <= n)).groupBy(*keys).agg(F.count("*").alias("n_members"), F.max("dedupe_seq").alias("last"))
+    return agg.filter((F.col("n_members") > 1) & (F.col("last") == n))
 
 
 def _members(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
@@ -26,13 +28,14 @@ def duplicate_files(files: DataFrame, n: int | None = None) -> DataFrame:
     return _members(files.filter((F.col("flags").bitwiseAND(1)) == 0), ["digest", "size"], n).select("digest", "size", "fileid", "filename")
 
 
-def with_batch(parts: DataFrame, files: DataFrame) -> DataFrame:
-    return parts.join(files.select("fileid", "dedupe_seq"), "fileid")
+def with_batch(parts: DataFrame, files: DataFrame, n: int | None) -> DataFrame:
+    """Parts with the batch of their file; over all rows at once no batch is asked for, and each part has its file."""
+    return parts if n is None else parts.join(files.select("fileid", "dedupe_seq"), "fileid")
 
 
 def duplicate_extents(extents: DataFrame, files: DataFrame, n: int | None = None, after_whole_file: bool = False) -> DataFrame:
     """(digest, len, fileid, loff, poff); after_whole_file leaves out the extents of files that the whole-file stage deals with first."""
-    rows = with_batch(extents, files)
+    rows = with_batch(extents, files, n)
     if after_whole_file:
         rows = rows.join(duplicate_files(files, n).select("fileid").distinct(), "fileid", "left_anti")
     return _members(rows, ["digest", "len"], n).select("digest", "len", "fileid", "loff", "poff")
@@ -40,7 +43,7 @@ def duplicate_extents(extents: DataFrame, files: DataFrame, n: int | None = None
 
 def duplicate_blocks(blocks: DataFrame, files: DataFrame, n: int | None = None) -> DataFrame:
     """(digest, fileid, loff)."""
-    return _members(with_batch(blocks, files), ["digest"], n).select("digest", "fileid", "loff")
+    return _members(with_batch(blocks, files, n), ["digest"], n).select("digest", "fileid", "loff")
 
 
 def nondupe_extents(extents: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
         self.docs = corpus.table(spark, sf_dir, "documents")
 
-    files = property(lambda s: corpus.files(s.docs))
+    files = property(lambda s: corpus.files(s.docs, 0))
+    batched = property(lambda s: corpus.files(s.docs))
     extents = property(lambda s: corpus.extents(s.docs))
     blocks = property(lambda s: corpus.blocks(s.docs))
     dup_files = property(lambda s: dupes.duplicate_files(s.files))
@@ -111,7 +112,7 @@ query("nonzero_blocks", lambda t: t.docs.select("doc_id", F.encode(F.expr("case
 query("duplicate_files", lambda t: t.dup_files, _sql("f df", "select digest, size, fileid, filename from df"))
 query("duplicate_extents", lambda t: t.dup_extents, _sql("f e de", "select digest, len, fileid, loff, poff from de"))
 query("duplicate_blocks", lambda t: t.dup_blocks, _sql("b db", "select digest, fileid, loff from db"))
-query("duplicate_files_batch2", lambda t: dupes.duplicate_files(t.files, 2), _sql("f", "select digest, size, fileid, filename from f where dedupe_seq <= 2 and flags & 1 = 0 and (digest, size) in (select (digest, size) from f where dedupe_seq <= 2 and flags & 1 = 0 group by digest, size having count(*) > 1) and (digest, size) in (select (digest, size) from f where dedupe_seq = 2 and flags & 1 = 0)"))
+query("duplicate_files_batch2", lambda t: dupes.duplicate_files(t.batched, 2), _sql("f", "select digest, size, fileid, filename from f where dedupe_seq <= 2 and flags & 1 = 0 and (digest, size) in (select (digest, size) from f where dedupe_seq <= 2 and flags & 1 = 0 group by digest, size having count(*) > 1) and (digest, size) in (select (digest, size) from f where dedupe_seq = 2 and flags & 1 = 0)"))
 query("duplicate_extents_after_files", lambda t: dupes.duplicate_extents(t.extents, t.files, None, True), _sql("f e df", "select digest, len, fileid, loff, poff from e x where fileid not in (select fileid from df) and (digest, len) in (select (digest, len) from e where fileid not in (select fileid from df) group by digest, len having count(*) > 1)"))
 query("nondupe_extents", lambda t: dupes.nondupe_extents(t.extents), _sql("e", "select fileid, loff, len, poff, digest from e where digest in (select digest from e group by digest having count(*) = 1)"))
 query("find_blocks", lambda t: t.blocks.join(t.files.select("fileid", "filename"), "fileid").select("digest", "filename", "loff"), _sql("f b", "select b.digest, filename, loff from b join f using (fileid)"))
@@ -132,7 +133,7 @@ query("top_extent_hashes", lambda t: dupes.frequencies(t.extents), _sql("e", "se
 query("top_n_hashes", lambda t: dupes.top_hashes(t.extents, t.files, 10), _sql("e", "select digest, count(*) as n, count(distinct fileid) as n_files from e group by digest having count(*) > 1 order by n desc, digest limit 10"))
 query("hash_places", lambda t: dupes.places(dupes.top_hashes(t.extents, t.files, 10), t.extents, t.files), _sql("f e", "select e.digest, filename, loff from e join f using (fileid) where e.digest in (select digest from e group by digest having count(*) > 1 order by count(*) desc, digest limit 10)"))
 query("hashfile_stats", lambda t: t.blocks.agg(F.count("*").alias("n_blocks")).crossJoin(t.extents.agg(F.count("*").alias("n_extents"))).crossJoin(t.files.agg(F.count("*").alias("n_files"))), _sql("f e b", "select (select count(*) from b) as n_blocks, (select count(*) from e) as n_extents, (select count(*) from f) as n_files"))
-query("max_dedupe_seq", lambda t: t.files.agg(F.max("dedupe_seq").alias("max_seq")), _sql("f", "select max(dedupe_seq) as max_seq from f"))
+query("max_dedupe_seq", lambda t: t.batched.agg(F.max("dedupe_seq").alias("max_seq")), _sql("f", "select max(dedupe_seq) as max_seq from f"))
 query("blocks_by_file", lambda t: dupes.blocks_by_file(t.dup_blocks), _sql("b db", "select digest, fileid, count(*) as n, string_agg(loff::varchar, ',' order by loff) as loffs from db group by all"))
 query("shared_per_file", lambda t: ranges.shared_per_file(t.line_extents), "select l_orderkey as fileid, sum(l_quantity::bigint)::bigint as shared from lineitem where l_returnflag = 'R' group by 1")
 # Ranges
@@ -162,8 +163,8 @@ query("changed_files", lambda t: state.changes(t.listing, t.files).filter("statu
 query("renamed_files", lambda t: state.changes(t.listing, t.files).filter("status = 'renamed'"), _sql("f li", "select ls.ino, ls.subvol, ls.filename, 'renamed' as status from ls join f using (ino, subvol) where f.filename <> ls.filename and f.filename not in (select filename from ls)"))
 query("deleted_files", lambda t: state.deleted(t.files, t.listing), _sql("f li", "select fileid, filename from f where filename not in (select filename from ls)"))
 query("incremental_scan", lambda t: batches.incremental(t.listing, t.files), _sql("f li", "select ls.ino, ls.subvol, ls.filename, case when f.ino is null then 'new' when f.filename <> ls.filename and f.filename not in (select filename from ls) then 'renamed' else 'changed' end as status from ls left join f using (ino, subvol) where f.ino is null or f.filename <> ls.filename or f.size <> ls.size"))
-query("assign_batches", lambda t: t.files.select("fileid", "dedupe_seq"), _sql("f", "select fileid, dedupe_seq from f"))
-query("batch_duplicates", lambda t: batches.every_batch(t.files.filter("flags & 1 = 0"), ["digest", "size"], 4), _sql("f", "select n::int as batch, digest, size, count(*) as n_members from f, range(1, 5) r(n) where flags & 1 = 0 and dedupe_seq <= n group by all having count(*) > 1 and max(dedupe_seq) = n"))
+query("assign_batches", lambda t: t.batched.select("fileid", "dedupe_seq"), _sql("f", "select fileid, dedupe_seq from f"))
+query("batch_duplicates", lambda t: batches.every_batch(t.batched.filter("flags & 1 = 0"), ["digest", "size"], 4), _sql("f", "select n::int as batch, digest, size, count(*) as n_members from f, range(1, 5) r(n) where flags & 1 = 0 and dedupe_seq <= n group by all having count(*) > 1 and max(dedupe_seq) = n"))
 # State
 query("upsert_files", lambda t: state.upsert_files(t.files, t.listing), _sql("f li", "select fileid, filename, ino, subvol, size, mtime, digest from f where (ino, subvol) not in (select (ino, subvol) from ls) and filename not in (select filename from ls) union all select (select max(fileid) from f) + row_number() over (order by filename), filename, ino, subvol, size, mtime, null from ls"))
 query("mark_scanned", lambda t: state.mark_scanned(t.files.withColumn("digest", F.lit(None).cast("string")).withColumn("flags", F.lit(None).cast("int")), t.files.filter("fileid % 3 = 0")), _sql("f", "select fileid, case when fileid % 3 = 0 then digest end as digest, case when fileid % 3 = 0 then flags end as flags from f"))
@@ -174,7 +175,7 @@ query("remove_file_cascade", lambda t: state.without_files(t.extents, t.files.fi
 query("insert_extents", lambda t: state.insert_extents(t.extents.filter("fileid % 2 = 0"), t.extents.withColumn("len", F.expr("case when loff % 3 = 0 then 0 else len end"))), _sql("e", "select fileid, loff, len, poff, digest from e where fileid % 2 = 0 or loff % 3 <> 0"))
 query(
     "config_put",
-    lambda t: state.config(state.config_put(t.docs.limit(0).selectExpr("'' as keyname", "'' as keyval"), t.files.agg(F.max("dedupe_seq").cast("string").alias("keyval")).select(F.lit("dedupe_sequence").alias("keyname"), "keyval"))),
+    lambda t: state.config(state.config_put(t.docs.limit(0).selectExpr("'' as keyname", "'' as keyval"), t.batched.agg(F.max("dedupe_seq").cast("string").alias("keyval")).select(F.lit("dedupe_sequence").alias("keyname"), "keyval"))),
     _sql("f", "select * from (values ('hash_type', 'md5'), ('block_size', '131072'), ('version_major', '4'), ('version_minor', '1')) v(keyname, keyval) union all select 'dedupe_sequence', max(dedupe_seq)::varchar from f"),
 )
 query("rename_file", lambda t: state.rename(t.files, t.files.filter("fileid % 50 = 0").select("fileid", F.concat(F.lit("/moved/"), F.col("fileid").cast("string")).alias("new_name"))), _sql("f", "select fileid, case when fileid % 50 = 0 then '/moved/' || fileid else filename end as filename from f"))
