@@ -5,9 +5,9 @@ words of all training texts give the unigram base and the vocabulary: the `VOCAB
 size, by frequency. P(word) = P(class | state) * P(word | class, state); any other word belongs to one of a few open
 classes, told by its last byte and by whether it is ASCII, within which words follow their corpus counts.
 
-Training takes one window of `WINDOW` words from every training text, at a place that a hash of its id gives. A start is
-made on the driver with a bounded number of windows; then rounds of local descent run in all tasks at once on all
-windows, each from the common weights, and the weights are averaged by numbers of windows. Scoring reads each whole
+Training cuts every training text into consecutive windows of `WINDOW` words, which cover all its words. A start is made
+on the driver with a bounded number of windows; then rounds of local descent run in all tasks at once on all windows,
+each from the common weights, and the weights are averaged by numbers of windows. Scoring reads each whole
 text; the hidden state is carried from window to window, so a text's score is its full log-likelihood.
 
 At most `KNOWN` words' counts, the most frequent, are broadcast; the counts of rarer words reach the texts by a join.
@@ -263,27 +263,26 @@ class Gru:
 
 
 def window_table(docs: DataFrame, lex) -> DataFrame:
-    """(mix, ids): a window of each text, WINDOW + 1 numbers with -1 past the end, as bytes; mix is a hash of the id."""
+    """(mix, ids): the consecutive windows of each text, that cover all its words once: the number before the window, then up to WINDOW
+    numbers, -1 past the end of the text, as bytes; mix is a hash of the id and of the window's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for b in batches:
-            mixes, rows = [], []
             for ids, words, kinds, at in tokens(b, rolling):
-                picked, firsts = [], []
-                for i, doc in enumerate(ids):
-                    n, mix = int(at[i + 1] - at[i]), zlib.crc32(str(doc).encode() + b"window")
-                    first = mix % max(1, n - WINDOW + 1)
-                    picked.append((int(at[i]) + first, min(WINDOW, n - first), first))
-                    mixes.append(mix)
-                for start, n, first in picked:
-                    lo = start - 1 if first else start
-                    _, _, num = lex.value.look(words[lo : start + n], kinds[lo : start + n])
-                    row = np.full(WINDOW + 1, -1, np.int16)
-                    num = num if first else np.r_[VOCAB + OPEN, num]
-                    row[: len(num)] = num
-                    rows.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(mixes, pa.int64()), pa.array(rows, pa.binary())], names=["mix", "ids"])
+                _, _, num = lex.value.look(words, kinds)
+                num, count = num.astype(np.int16), -(-np.diff(at) // WINDOW)
+                doc = np.repeat(np.arange(len(ids)), count)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                hashes = np.array([zlib.crc32(str(i).encode() + b"window") for i in ids], np.int64)
+                for lo in range(0, len(doc), 1 << 14):
+                    d, k = doc[lo : lo + (1 << 14)], nth[lo : lo + (1 << 14)]
+                    place = (at[d] + k * WINDOW)[:, None] + np.arange(-1, WINDOW)
+                    rows = np.where(place < at[d + 1][:, None], num[np.minimum(place, len(num) - 1)], np.int16(-1))
+                    rows[k == 0, 0] = VOCAB + OPEN
+                    edges = np.arange(len(d) + 1, dtype=np.int32) * np.int32(rows.itemsize * (WINDOW + 1))
+                    blob = pa.BinaryArray.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(rows.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array((hashes[d] + k * 2654435761) % (1 << 32), pa.int64()), blob], names=["mix", "ids"])
 
     return docs.mapInArrow(run, "mix long, ids binary")
 

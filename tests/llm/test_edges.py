@@ -151,6 +151,22 @@ def test_language_model(docs, none):
     assert recurrent_lm.scored(none).count() == 0
 
 
+def test_language_model_windows_cover_every_word(spark, docs):
+    import numpy as np
+
+    def numbers(r):
+        return np.frombuffer(bytes(r["ids"]), np.int16)
+
+    ids = recurrent_lm.id_text(docs)
+    lexi = recurrent_lm.lexicon(recurrent_lm.word_counts(ids))
+    rows = [numbers(r) for r in recurrent_lm.window_table(ids, spark.sparkContext.broadcast(lexi)).collect()]
+    counts = {1: 1, 2: 1, 3: 3, 4: 30001, 5: 81, 6: 81, 7: 82, None: 81, 8: 1, 9: 3}
+    sizes = [counts[r["doc_id"]] for r in docs.select("doc_id").collect()]
+    assert len(rows) == sum(-(-n // recurrent_lm.WINDOW) for n in sizes)
+    assert sum(int((r[1:] >= 0).sum()) for r in rows) == sum(sizes) == lexi.total
+    assert sum(int(r[0]) == recurrent_lm.VOCAB + recurrent_lm.OPEN for r in rows) == len(sizes)
+
+
 def test_gru_gradients_agree_with_differences():
     import numpy as np
 
