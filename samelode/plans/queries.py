@@ -164,7 +164,7 @@ query("renamed_files", lambda t: state.changes(t.listing, t.files).filter("statu
 query("deleted_files", lambda t: state.deleted(t.files, t.listing), _sql("f li", "select fileid, filename from f where filename not in (select filename from ls)"))
 query("incremental_scan", lambda t: batches.incremental(t.listing, t.files), _sql("f li", "select ls.ino, ls.subvol, ls.filename, case when f.ino is null then 'new' when f.filename <> ls.filename and f.filename not in (select filename from ls) then 'renamed' else 'changed' end as status from ls left join f using (ino, subvol) where f.ino is null or f.filename <> ls.filename or f.size <> ls.size"))
 query("assign_batches", lambda t: t.batched.select("fileid", "dedupe_seq"), _sql("f", "select fileid, dedupe_seq from f"))
-query("batch_duplicates", lambda t: batches.every_batch(t.batched.filter("flags & 1 = 0"), ["digest", "size"], 4), _sql("f", "select n::int as batch, digest, size, count(*) as n_members from f, range(1, 5) r(n) where flags & 1 = 0 and dedupe_seq <= n group by all having count(*) > 1 and max(dedupe_seq) = n"))
+query("batch_duplicates", lambda t: batches.every_batch(t.batched.filter("flags & 1 = 0"), ["digest", "size"]), _sql("f", "select n::int as batch, digest, size, count(*) as n_members from f, range(1, 5) r(n) where flags & 1 = 0 and dedupe_seq <= n group by all having count(*) > 1 and max(dedupe_seq) = n"))
 # State
 query("upsert_files", lambda t: state.upsert_files(t.files, t.listing), _sql("f li", "select fileid, filename, ino, subvol, size, mtime, digest from f where (ino, subvol) not in (select (ino, subvol) from ls) and filename not in (select filename from ls) union all select (select max(fileid) from f) + row_number() over (order by filename), filename, ino, subvol, size, mtime, null from ls"))
 query("mark_scanned", lambda t: state.mark_scanned(t.files.withColumn("digest", F.lit(None).cast("string")).withColumn("flags", F.lit(None).cast("int")), t.files.filter("fileid % 3 = 0")), _sql("f", "select fileid, case when fileid % 3 = 0 then digest end as digest, case when fileid % 3 = 0 then flags end as flags from f"))

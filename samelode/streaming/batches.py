@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samelode.operators import dupes, state
@@ -15,9 +13,11 @@ def incremental(listing: DataFrame, files: DataFrame) -> DataFrame:
     return state.changes(listing, files).filter("status <> 'same'")
 
 
-def every_batch(rows: DataFrame, keys: list[str], last: int) -> DataFrame:
-    """(batch, keys, n_members) for every batch up to `last`: each group in each batch in which it gains a member."""
-    return reduce(DataFrame.unionByName, [dupes.keyed_in_batch(rows, keys, n).select(F.lit(n).alias("batch"), *keys, "n_members") for n in range(1, last + 1)])
+def every_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(batch, keys, n_members) for every batch: each group in each batch in which it gains a member, with its members up to then."""
+    new = rows.filter(F.col(keys[0]).isNotNull()).groupBy(*keys, F.col("dedupe_seq").alias("batch")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return new.select("batch", *keys, F.sum("_n").over(upto).alias("n_members")).filter("n_members > 1")
 
 
 def start(stream: DataFrame, state_dir: str, out_dir: str, checkpoint: str):

@@ -175,3 +175,10 @@ def test_flags_and_digits(spark):
         assert one(spark, scalars.num_digits(F.lit(v))) == want
     for v, want in ((None, False), (0x200, True), (0x800, True), (0x400, False)):
         assert one(spark, scalars.ignored(F.lit(v).cast("int"), 0xA00)) is want
+
+
+def test_every_batch_reports_all_batches(spark):
+    rows = [("a", 1, n) for n in (1, 5, 5, 9)] + [("b", 1, 7), ("c", 1, 2), ("c", 2, 6), (None, 1, 1), (None, 1, 6)]
+    df = spark.createDataFrame(rows, "digest string, size long, dedupe_seq int")
+    got = batches.every_batch(df, ["digest", "size"]).collect()
+    assert sorted((r["batch"], r["digest"], r["size"], r["n_members"]) for r in got) == [(5, "a", 1, 3), (9, "a", 1, 4)]
