@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those that are nothing else go."""
-    return line_dedup.cleaned(docs)
+    """Documents without repeated lines, short ones included; those that are nothing else go."""
+    return line_dedup.cleaned(docs, short=True)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A line of at least `least` words (pieces between single spaces) goes if an earlier line, by (doc_id, line number), is
 equal or within one word insertion, deletion or substitution; with five words or more that is a similarity of at least
-0.8. Shorter lines always stay. Being earlier is judged on all lines, whether or not the earlier one itself goes.
+0.8. Shorter lines stay, or with `short` go if an earlier line is equal, unless they are blank. Being earlier is judged on all lines, whether or not the earlier one itself goes.
 
 Lines first collapse to distinct lines. A line can have a neighbour within one edit only if another line has its first
 or its last half, so only lines with such a shared half emit variants: the line itself and the line without each of its
@@ -130,7 +130,15 @@ def near_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     return one.join(two, "witness").filter(within_one(F.col("a"), F.col("b"))).select(*LINE).distinct()
 
 
-def removed(docs: DataFrame, least: int = 5) -> DataFrame:
+def short_repeats(docs: DataFrame, least: int) -> DataFrame:
+    """(d, t, pos) of the non-blank lines of less than `least` words that have an equal earlier line."""
+    lines = lines_of(docs, 1).filter((F.col("n") < least) & F.col("line").rlike(r"\S"))
+    facts = stored(lines.select(_h1(), F.xxhash64(F.lit(1), "line").alias("h2"), "place", "d", "t", "pos"), "short-facts")
+    first = facts.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return facts.join(small(stored(first, "short-repeated")), ["h1", "h2"]).filter(F.col("place") != F.col("first")).select("d", "t", "pos")
+
+
+def removed(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
     """(d, t, gone): the numbers of the lines that go, for each document that loses any."""
     lines = lines_of(docs, least)
     facts = stored(facts_of(lines), "facts")
@@ -139,12 +147,14 @@ def removed(docs: DataFrame, least: int = 5) -> DataFrame:
     # only lines with several places or an earlier neighbour can go
     bad = stored(known.join(small(near), LINE, "left").filter("c > 1 or near").select("h1", "h2", F.col("place").alias("first"), "near"), "repeated")
     dup = facts.select("h1", "h2", "place", "d", "t", "pos").join(small(bad), ["h1", "h2"]).filter(F.col("near") | (F.col("place") != F.col("first")))
+    if short:
+        dup = dup.select("d", "t", "pos").unionByName(short_repeats(docs, least))
     return dup.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def dedup(docs: DataFrame, least: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines, n_removed and kept in front: (n_lines, n_removed, doc)."""
-    gone = stored(removed(docs, least), "gone").withColumnsRenamed({"d": "gd", "t": "gt"})
+    gone = stored(removed(docs, least, short), "gone").withColumnsRenamed({"d": "gd", "t": "gt"})
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 5 * SMALL
     text = F.col("text")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), text)
@@ -164,9 +174,9 @@ def dedup(docs: DataFrame, least: int = 5) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, least: int = 5) -> DataFrame:
+def cleaned(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
     """docs with the same columns: repeated lines out of text, n_chars (where present) after it, and documents gone that lost every word."""
-    out = dedup(docs, least)
+    out = dedup(docs, least, short)
     lost = (F.col("n_removed") > 0) & (F.trim("kept") == "")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.filter(~F.coalesce(lost, F.lit(False))).select(*[(F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col("doc")[c]) if c in new else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -264,6 +264,16 @@ def test_line_dedup_random(spark):
     assert {x["doc_id"]: x["kept"] for x in got} == want
 
 
+def test_line_dedup_short_repeats(spark):
+    import corpus_pipeline as p
+
+    long = "http://x/" + "y" * 300
+    rows = [(1, f"a b\n\n{long}\na b\n\none two three four five"), (2, f"new\n \n{long}\na b"), (2, f"new\n \n{long}\na b"), (3, f"{long}\na b"), (None, "a b")]
+    got = p.line_deduplication(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    want = [(1, f"a b\n\n{long}\n\none two three four five"), (2, "new\n "), (2, "new\n "), (None, "a b")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, want))
+
+
 def test_suffix_dedup(docs, none):
     got = suffix_dedup.cleaned(docs).collect()
     assert len(got) == len(ROWS)
