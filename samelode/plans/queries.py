@@ -73,6 +73,11 @@ class Tables:
         """A list of paths with blank lines: every fifth line ends a group."""
         return self.docs.select(F.col("doc_id").alias("ord"), F.expr("case when doc_id % 5 = 4 then '' else 'file' || doc_id end").alias("line"))
 
+    def zeroed(self, at: int, n: str) -> DataFrame:
+        """The documents; in every ninth, `n` characters from `at` on, as far as it goes, are zeros."""
+        text = f"concat(substring(text, 1, {at}), repeat(decode(unhex('00'), 'utf-8'), cast(least({n}, n_chars - {at}) as int)), substring(text, cast({at} + {n} + 1 as int)))"
+        return self.docs.withColumn("text", F.expr(f"case when doc_id % 9 = 0 and n_chars > {at} then {text} else text end"))
+
     @property
     def points(self) -> DataFrame:
         return corpus.table(self.spark, self.dir, "orders").select(F.col("o_orderkey").alias("fileid"), (F.lit(100) * (F.col("o_orderkey") % 7)).alias("x"))
@@ -85,6 +90,11 @@ class Tables:
         return corpus.table(self.spark, self.dir, "lineitem").selectExpr("l_orderkey as fileid", f"{running} as loff", f"{q} as len", "l_returnflag = 'R' as shared", "l_linestatus = 'O' as delalloc")
 
 
+def _nonzero(docs: DataFrame, size: int = corpus.BLOCK) -> DataFrame:
+    """(fileid, loff) of the chunks of whole texts that are not all zeros."""
+    return corpus.chunks(docs, size).filter(~scalars.is_zero(F.col("data"))).select("fileid", "loff")
+
+
 def query(name: str, make, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
     if sql:
@@ -107,7 +117,12 @@ query("file_digest", lambda t: t.files.select("fileid", "size", "digest"), _sql(
 query("extent_digest", lambda t: t.extents, _sql("e", "select fileid, loff, len, poff, digest from e"))
 query("block_digest", lambda t: t.blocks, _sql("b", "select * from b"))
 query("block_len", lambda t: t.blocks.join(t.files, "fileid").select("fileid", "loff", partial.block_len(F.col("size"), F.col("loff"), 256).alias("blen")), _sql("f b", "select fileid, loff, (case when loff + 256 <= size then 256 else size % 256 end)::bigint as blen from b join f using (fileid)"))
-query("nonzero_blocks", lambda t: t.docs.select("doc_id", F.encode(F.expr("case when doc_id % 9 = 0 then repeat(decode(unhex('00'), 'utf-8'), 64) else substring(text, 1, 64) end"), "utf-8").alias("data")).filter(~scalars.is_zero(F.col("data"))).select("doc_id"), "select doc_id from documents where doc_id % 9 <> 0")
+query("nonzero_blocks", lambda t: _nonzero(t.zeroed(0, "n_chars"), 64).select(F.col("fileid").alias("doc_id")).distinct(), "select doc_id from documents where doc_id % 9 <> 0")
+query(
+    "nonzero_block_places",
+    lambda t: _nonzero(t.zeroed(corpus.BLOCK, "256")),
+    "with z as (select doc_id, n_chars, case when doc_id % 9 = 0 and n_chars > 256 then substring(text, 1, 256) || repeat(chr(0), least(256, n_chars - 256)) || substring(text, 513) else text end as text from documents), c as (select doc_id as fileid, (i * 256)::bigint as loff, substring(text, (i * 256 + 1)::bigint, 256) as data from (select doc_id, text, unnest(range((n_chars + 255) // 256)) as i from z)) select fileid, loff from c where replace(data, chr(0), '') <> ''",
+)
 # Duplicates
 query("duplicate_files", lambda t: t.dup_files, _sql("f df", "select digest, size, fileid, filename from df"))
 query("duplicate_extents", lambda t: t.dup_extents, _sql("f e de", "select digest, len, fileid, loff, poff from de"))

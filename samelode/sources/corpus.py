@@ -65,11 +65,16 @@ def extents(docs: DataFrame) -> DataFrame:
     return ext.join(first, ["digest", "len"]).select("fileid", "loff", "len", F.when(F.col("fileid") % 10 == 0, F.col("first")).otherwise(own).alias("poff"), "digest")
 
 
-def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Fixed chunks with their digests; the last one is short."""
+def chunks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(fileid, loff, data): the fixed chunks of whole texts; the last one is short."""
     n = F.ceil(F.col("n_chars") / size).cast("int")
     cut = docs.filter("n_chars > 0").select(F.col("doc_id").alias("fileid"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return cut.select("fileid", (F.col("i") * size).cast("long").alias("loff"), F.md5(F.encode(F.substring("text", F.col("i") * size + 1, F.lit(size)), "utf-8")).alias("digest"))
+    return cut.select("fileid", (F.col("i") * size).cast("long").alias("loff"), F.encode(F.substring("text", F.col("i") * size + 1, F.lit(size)), "utf-8").alias("data"))
+
+
+def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Fixed chunks with their digests."""
+    return chunks(docs, size).select("fileid", "loff", F.md5("data").alias("digest"))
 
 
 def real_files(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:

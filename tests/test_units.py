@@ -182,3 +182,11 @@ def test_every_batch_reports_all_batches(spark):
     df = spark.createDataFrame(rows, "digest string, size long, dedupe_seq int")
     got = batches.every_batch(df, ["digest", "size"]).collect()
     assert sorted((r["batch"], r["digest"], r["size"], r["n_members"]) for r in got) == [(5, "a", 1, 3), (9, "a", 1, 4)]
+
+
+def test_zero_blocks_are_found_anywhere(spark):
+    from samelode.plans import queries
+
+    text = "a" * 64 + "\0" * 64 + "b" * 64 + "\0" * 10
+    df = spark.createDataFrame([(1, text, len(text)), (2, "\0" * 64 + "c", 65)], "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, queries._nonzero(df, 64).collect())) == [(1, 0), (1, 128), (2, 64)]
