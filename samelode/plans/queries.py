@@ -128,6 +128,7 @@ query("duplicate_files", lambda t: t.dup_files, _sql("f df", "select digest, siz
 query("duplicate_extents", lambda t: t.dup_extents, _sql("f e de", "select digest, len, fileid, loff, poff from de"))
 query("duplicate_blocks", lambda t: t.dup_blocks, _sql("b db", "select digest, fileid, loff from db"))
 query("duplicate_files_batch2", lambda t: dupes.duplicate_files(t.batched, 2), _sql("f", "select digest, size, fileid, filename from f where dedupe_seq <= 2 and flags & 1 = 0 and (digest, size) in (select (digest, size) from f where dedupe_seq <= 2 and flags & 1 = 0 group by digest, size having count(*) > 1) and (digest, size) in (select (digest, size) from f where dedupe_seq = 2 and flags & 1 = 0)"))
+query("duplicate_files_newest", lambda t: dupes.duplicate_files(t.batched, t.batched.agg(F.max("dedupe_seq")).first()[0]), _sql("f", "select digest, size, fileid, filename from f where flags & 1 = 0 and (digest, size) in (select (digest, size) from f where flags & 1 = 0 group by digest, size having count(*) > 1) and (digest, size) in (select (digest, size) from f where dedupe_seq = (select max(dedupe_seq) from f) and flags & 1 = 0)"))
 query("duplicate_extents_after_files", lambda t: dupes.duplicate_extents(t.extents, t.files, None, True), _sql("f e df", "select digest, len, fileid, loff, poff from e x where fileid not in (select fileid from df) and (digest, len) in (select (digest, len) from e where fileid not in (select fileid from df) group by digest, len having count(*) > 1)"))
 query("nondupe_extents", lambda t: dupes.nondupe_extents(t.extents), _sql("e", "select fileid, loff, len, poff, digest from e where digest in (select digest from e group by digest having count(*) = 1)"))
 query("find_blocks", lambda t: t.blocks.join(t.files.select("fileid", "filename"), "fileid").select("digest", "filename", "loff"), _sql("f b", "select b.digest, filename, loff from b join f using (fileid)"))
