@@ -5,10 +5,13 @@ words of all training texts give the unigram base and the vocabulary: the `VOCAB
 size, by frequency. P(word) = P(class | state) * P(word | class, state); any other word belongs to one of a few open
 classes, told by its last byte and by whether it is ASCII, within which words follow their corpus counts.
 
-Training cuts every training text into consecutive windows of `WINDOW` words, which cover all its words. A start is made
-on the driver with a bounded number of windows; then rounds of local descent run in all tasks at once on all windows,
-each from the common weights, and the weights are averaged by numbers of windows. Scoring reads each whole
-text; the hidden state is carried from window to window, so a text's score is its full log-likelihood.
+Training reads every word of every training text. A text is a sequence (one longer than `SPAN` words is several, each told
+the word before it); backpropagation is truncated to windows of `WINDOW` words, and the state goes on from window to
+window. The model starts as the unigram model of the corpus counts. One pass over all sequences follows, in `PARTS` parts:
+the sequences are dealt by a hash to groups of about `GROUP` words and to parts; for each part, every group starts from the
+common weights and reads its sequences in an order that hangs on them alone, and the weights are averaged by numbers of
+words. So the model does not hang on how the rows lie in files or partitions. Scoring reads each whole text; the hidden state is carried from window to
+window, so a text's score is its full log-likelihood.
 
 At most `KNOWN` words' counts, the most frequent, are broadcast; the counts of rarer words reach the texts by a join.
 
@@ -29,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samelode.llm.common import LOWER, Rolling, id_text, slices, small_batches, stored, word_bounds
+from samelode.llm.common import LOWER, Rolling, drop_stored, id_text, slices, small_batches, stored, word_bounds
 
 VOCAB, PER_CLASS, HIDDEN, WINDOW, KNOWN = 2048, 64, 24, 32, 1 << 20
+SPAN, GROUP, PARTS = 4096, 1 << 20, 4
 END = np.uint64(0x454E44)
 #: Kinds of last bytes: letters, digits, the common marks each alone, non-ASCII, others.
 _KIND = np.zeros(256, np.int64)
@@ -125,17 +129,13 @@ def lexicon(counts: DataFrame, known: int = KNOWN) -> Lexicon:
     words, c, kinds = (top[k].to_numpy()[order] for k in ("word", "c", "open"))
     words, c = words.view(np.uint64), c.astype(np.float64)
     mass = np.full(OPEN, 0.1)
-    for r in counts.groupBy("open").agg(F.sum(F.col("c") + 0.1).alias("s")).collect():
-        mass[r["open"]] += r["s"]
+    for r in counts.groupBy("open").agg(F.sum("c").alias("s"), F.count("*").alias("n")).collect():
+        mass[r["open"]] += r["s"] + 0.1 * r["n"]
     np.subtract.at(mass, kinds[:VOCAB], c[:VOCAB] + 0.1)
     order = np.argsort(words)
     return Lexicon(words[order], order.astype(np.int32), np.log10(c[order] + 0.1), np.log10(np.maximum(mass, 0.1)), int(total["n"]), int(total["v"]))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Gru:
     """Weights of the model; inputs are numbers of words, VOCAB + open class for others, and VOCAB + OPEN before a text."""
 
@@ -143,98 +143,151 @@ class Gru:
         self.w = w
 
     @classmethod
-    def start(cls, seed: int = 3) -> Gru:
+    def start(cls, lexi: Lexicon | None = None, seed: int = 3) -> Gru:
+        """Small random weights; with a lexicon, the biases make its unigram model."""
         r, h = np.random.default_rng(seed), HIDDEN
         f = lambda *s, k=0.1: (k * r.standard_normal(s)).astype(np.float32)
-        return cls({"in": f(VOCAB + OPEN + 1, 3 * h), "u": f(h, 3 * h, k=0.2), "wc": f(h, CLASSES + OPEN), "bc": np.zeros(CLASSES + OPEN, np.float32), "wo": f(VOCAB, h), "bo": np.zeros(VOCAB, np.float32)})
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        n = HIDDEN
-        g, hu = self.w["in"][x], h @ self.w["u"]
-        zr = _sigmoid(g[:, : 2 * n] + hu[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(g[:, 2 * n :] + r * hu[:, 2 * n :])
-        return c + z * (h - c), (x, h, z, r, c, hu[:, 2 * n :])
+        bc, bo = np.zeros(CLASSES + OPEN), np.zeros(VOCAB)
+        if lexi is not None and len(lexi.words):
+            counts = np.full(VOCAB, 0.1)
+            common = lexi.rank < VOCAB
+            counts[lexi.rank[common]] = 10 ** lexi.logs[common]
+            bo = np.log(counts)
+            bc = np.concatenate([np.log(counts.reshape(CLASSES, PER_CLASS).sum(axis=1)), lexi.mass * np.log(10)])
+            bo, bc = bo - np.repeat(bo.reshape(CLASSES, PER_CLASS).max(axis=1), PER_CLASS), bc - bc.max()
+        return cls({"in": f(VOCAB + OPEN + 1, 3 * h), "u": f(h, 3 * h, k=0.2), "wc": f(h, CLASSES + OPEN), "bc": bc.astype(np.float32), "wo": f(VOCAB, h), "bo": bo.astype(np.float32)})
+
+    def steps(self, xs: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """States before and after each step (steps, n, HIDDEN), the gates z, r, c and the recurrent part of c, of inputs (steps, n); at step t only the first sizes[t] rows go on."""
+        m, k = xs.shape[0], HIDDEN
+        w, u = self.w["in"].take(xs.ravel(), axis=0).reshape(m, xs.shape[1], 3 * k), self.w["u"]
+        hs = np.empty((m + 1, *h.shape), np.float32)
+        hs[0] = h
+        gates, part = np.zeros((m, len(h), 3 * k), np.float32), np.zeros((m, len(h), k), np.float32)
+        for t in range(m):
+            n = sizes[t]
+            old, new, g = hs[t, :n], hs[t + 1, :n], gates[t, :n]
+            hu = old @ u
+            zr = g[:, : 2 * k]
+            np.add(w[t, :n, : 2 * k], hu[:, : 2 * k], out=zr)
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            part[t, :n] = hu[:, 2 * k :]
+            c = g[:, 2 * k :]
+            np.multiply(zr[:, k:], hu[:, 2 * k :], out=c)
+            c += w[t, :n, 2 * k :]
+            np.tanh(c, out=c)
+            np.subtract(old, c, out=new)
+            new *= zr[:, :k]
+            new += c
+            hs[t + 1, n:] = hs[t, n:]
+        return hs, gates[:, :, : 2 * k], gates[:, :, 2 * k :], part
 
     def output(self, hs: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of P(id | state), an open class standing for all its words; with grads, adds the gradients and returns that of hs."""
         w = self.w
         cls = np.where(ids < VOCAB, ids // PER_CLASS, ids - VOCAB + CLASSES)
-        logits = hs @ w["wc"] + w["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        s = p.sum(axis=1)
         rows = np.arange(len(ids))
-        logp = logits[rows, cls] - np.log(s)
+        # logits stay within +-60, so that no row needs a maximum of its own
+        p = np.clip(hs @ w["wc"] + w["bc"], -60, 60)
+        logp = p[rows, cls].copy()
+        np.exp(p, out=p)
+        s = p @ np.ones(p.shape[1], p.dtype)
+        logp -= np.log(s)
         dh = None
         if grads is not None:
-            p /= -s[:, None]
+            p *= (-1 / s)[:, None]
             p[rows, cls] += 1
             grads["wc"] += hs.T @ p
             grads["bc"] += p.sum(axis=0)
             dh = p @ w["wc"].T
         order = np.argsort(cls, kind="stable")
         edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        one = np.ones(PER_CLASS, hs.dtype)
         for c in range(CLASSES):
             at = order[edge[c] : edge[c + 1]]
             if len(at):
                 block = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-                x = hs[at] @ w["wo"][block].T + w["bo"][block]
-                x -= x.max(axis=1, keepdims=True)
-                e = np.exp(x)
-                t = e.sum(axis=1)
+                mine = hs[at]
+                e = np.clip(mine @ w["wo"][block].T + w["bo"][block], -60, 60)
                 k, own = np.arange(len(at)), ids[at] - c * PER_CLASS
-                logp[at] += x[k, own] - np.log(t)
+                x = e[k, own].copy()
+                np.exp(e, out=e)
+                t = e @ one
+                logp[at] += x - np.log(t)
                 if grads is not None:
-                    e /= -t[:, None]
+                    e *= (-1 / t)[:, None]
                     e[k, own] += 1
-                    grads["wo"][block] += e.T @ hs[at]
+                    grads["wo"][block] += e.T @ mine
                     grads["bo"][block] += e.sum(axis=0)
                     dh[at] += e @ w["wo"][block]
         return logp, dh
 
-    def learn(self, windows: np.ndarray, rate: float, seed: int, batch: int = 128) -> None:
-        """One pass of descent over windows of inputs and targets (n, WINDOW + 1), -1 past the end of a text, by truncated backpropagation."""
-        n, sq = HIDDEN, {k: np.full_like(v, 1e-4) for k, v in self.w.items()}
-        for part in np.array_split(np.random.default_rng(seed).permutation(len(windows)), max(1, -(-len(windows) // batch))):
-            x, y = windows[part, :-1], windows[part, 1:]
-            live = y >= 0
-            steps = int(live.any(axis=0).sum())
-            if not steps:
-                continue
-            h, states, tape = np.zeros((len(part), n), np.float32), [], []
-            for t in range(steps):
-                h, kept = self.step(np.maximum(x[:, t], 0), h)
-                states.append(h)
-                tape.append(kept)
-            hs, mask = np.stack(states, 1), live[:, :steps]
-            g = {k: np.zeros_like(v) for k, v in self.w.items()}
-            _, dh = self.output(hs[mask], y[:, :steps][mask], g)
-            dhs = np.zeros_like(hs)
-            dhs[mask] = dh
-            back = np.zeros_like(h)
-            u = self.w["u"]
-            gates = []
-            for t in range(steps - 1, -1, -1):
-                d = dhs[:, t] + back
-                xt, prev, z, r, c, hn = tape[t]
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (prev - c) * z * (1 - z)
-                dr = dc * hn * r * (1 - r)
-                du = np.concatenate([dz, dr, dc * r], axis=1)
-                g["u"] += prev.T @ du
-                back = d * z + du @ u.T
-                gates.append((xt, np.concatenate([dz, dr, dc], axis=1)))
-            xs, ds = np.concatenate([a for a, _ in gates]), np.concatenate([b for _, b in gates])
-            order = np.argsort(xs, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(xs[order]) > 0])
-            g["in"][xs[order][first]] += np.add.reduceat(ds[order], first, axis=0)
-            for k, v in self.w.items():
-                grad = g[k] / len(part)
-                sq[k] += grad * grad
-                v += rate * grad / np.sqrt(sq[k])
-
-    def text_scores(self, texts: list[np.ndarray], batch: int = 384, block: int = 64) -> np.ndarray:
+    def learn(self, seqs: list[np.ndarray], rate: float, seed: int, batch: int = 128) -> None:
+        """One pass of descent over sequences (the number before, then the numbers to tell): those of like length go side by side, window after window, the state carried on."""
+        sq = {k: np.full_like(v, 1e-4) for k, v in self.w.items()}
+        order = np.argsort([-len(s) for s in seqs], kind="stable")
+        parts = np.array_split(order, max(1, -(-len(seqs) // batch)))
+        for p in np.random.default_rng(seed).permutation(len(parts)):
+            part = [seqs[i] for i in parts[p]]
+            sizes = np.array([len(s) - 1 for s in part])
+            h = np.zeros((len(part), HIDDEN), np.float32)
+            for t0 in range(0, int(sizes.max(initial=0)), WINDOW):
+                n = int((sizes > t0).sum())
+                rows = np.full((n, WINDOW + 1), -1, np.int64)
+                for j in range(n):
+                    x = part[j][t0 : t0 + WINDOW + 1]
+                    rows[j, : len(x)] = x
+                h[:n] = self.descend(rows, h[:n], rate, sq)
+
+    def descend(self, rows: np.ndarray, h: np.ndarray, rate: float, sq: dict[str, np.ndarray]) -> np.ndarray:
+        """One step on windows of inputs and targets (n, WINDOW + 1), -1 past the end of a sequence, longest first, from the states h; returns the states behind them."""
+        k, y = HIDDEN, rows[:, 1:]
+        sizes = (y >= 0).sum(axis=0)
+        m = int((sizes > 0).sum())
+        y, xs, live = np.ascontiguousarray(y[:, :m].T), np.ascontiguousarray(np.maximum(rows[:, :m], 0).T), (y[:, :m] >= 0).T
+        hs, zr, c, part = self.steps(xs, h, sizes)
+        g = {name: np.zeros_like(self.w[name]) for name in ("wc", "bc", "wo", "bo")}
+        _, dh = self.output(hs[1:][live], y[live], g)
+        dhs = np.zeros((m, *h.shape), np.float32)
+        dhs[live] = dh
+        z, r = zr[:, :, :k], zr[:, :, k:]
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (hs[:-1] - c) * z * (1 - z), part * r * (1 - r)
+        ds, du, u = np.zeros((m, len(h), 3 * k), np.float32), np.zeros((m, len(h), 3 * k), np.float32), np.ascontiguousarray(self.w["u"].T)
+        back = np.zeros_like(h)
+        for t in range(m - 1, -1, -1):
+            n = sizes[t]
+            d = dhs[t, :n] + back[:n]
+            dc = d * to_c[t, :n]
+            one, two = ds[t, :n], du[t, :n]
+            np.multiply(d, to_z[t, :n], out=one[:, :k])
+            np.multiply(dc, to_r[t, :n], out=one[:, k : 2 * k])
+            one[:, 2 * k :] = dc
+            two[:, : 2 * k] = one[:, : 2 * k]
+            np.multiply(dc, r[t, :n], out=two[:, 2 * k :])
+            d *= z[t, :n]
+            d += two @ u
+            back[:n] = d
+        g["u"] = hs[:-1].reshape(-1, k).T @ du.reshape(-1, 3 * k)
+        at = xs[live]
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.r_[True, np.diff(at) > 0])
+        inputs = np.add.reduceat(ds[live][order], first, axis=0)
+        scale = np.float32(1 / len(rows))
+        for name, grad in g.items():
+            grad *= scale
+            sq[name] += grad * grad
+            self.w[name] += np.float32(rate) * grad / np.sqrt(sq[name])
+        at, inputs = at[first], inputs * scale
+        seen = sq["in"][at] + inputs * inputs
+        sq["in"][at] = seen
+        self.w["in"][at] += np.float32(rate) * inputs / np.sqrt(seen)
+        return hs[m]
+
+    def text_scores(self, texts: list[np.ndarray], batch: int = 256, block: int = 32) -> np.ndarray:
         """Natural log-likelihood of each text's numbers, whole; the state goes on from block to block."""
         out = np.zeros(len(texts))
         order = np.argsort([len(t) for t in texts], kind="stable")[::-1]
@@ -244,95 +297,84 @@ class Gru:
             h = np.zeros((len(part), HIDDEN), np.float32)
             last = np.full(len(part), VOCAB + OPEN)
             for t0 in range(0, int(sizes[0]), block):
-                steps = min(block, int(sizes[0]) - t0)
-                n0 = int((sizes > t0).sum())
-                ids = np.full((n0, steps), -1)
-                for j in range(n0):
+                steps, n = min(block, int(sizes[0]) - t0), int((sizes > t0).sum())
+                ids = np.full((n, steps), -1)
+                for j in range(n):
                     x = texts[part[j]][t0 : t0 + steps]
                     ids[j, : len(x)] = x
-                states = np.zeros((n0, steps, HIDDEN), np.float32)
-                for t in range(steps):
-                    n = int((sizes[:n0] > t0 + t).sum())
-                    h[:n], _ = self.step(last[:n], h[:n])
-                    states[:n, t] = h[:n]
-                    last[:n] = ids[:n, t]
-                live = ids >= 0
-                logp, _ = self.output(states[live], ids[live])
-                out[part[:n0]] += np.bincount(np.nonzero(live)[0], logp.astype(np.float64), minlength=n0)
+                live = ids.T >= 0
+                xs = np.concatenate([last[None, :n], np.maximum(ids.T[:-1], 0)])
+                hs, *_ = self.steps(xs, h[:n], live.sum(axis=1))
+                h[:n], last[:n] = hs[steps], ids[:, -1]
+                logp, _ = self.output(hs[1:][live], ids.T[live])
+                out[part[:n]] += np.bincount(np.nonzero(live)[1], logp.astype(np.float64), minlength=n)
         return out
 
 
-def window_table(docs: DataFrame, lex) -> DataFrame:
-    """(mix, ids): the consecutive windows of each text, that cover all its words once: the number before the window, then up to WINDOW
-    numbers, -1 past the end of the text, as bytes; mix is a hash of the id and of the window's place."""
+def sequences(docs: DataFrame, lex, span: int = SPAN) -> DataFrame:
+    """(mix, n, ids): the sequences of each text, that tell all its words once: the number before, then at most `span` numbers, as
+    bytes; n counts them; mix is a hash of the id and of the sequence's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for b in batches:
             for ids, words, kinds, at in tokens(b, rolling):
                 _, _, num = lex.value.look(words, kinds)
-                num, count = num.astype(np.int16), -(-np.diff(at) // WINDOW)
-                doc = np.repeat(np.arange(len(ids)), count)
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                hashes = np.array([zlib.crc32(str(i).encode() + b"window") for i in ids], np.int64)
-                for lo in range(0, len(doc), 1 << 14):
-                    d, k = doc[lo : lo + (1 << 14)], nth[lo : lo + (1 << 14)]
-                    place = (at[d] + k * WINDOW)[:, None] + np.arange(-1, WINDOW)
-                    rows = np.where(place < at[d + 1][:, None], num[np.minimum(place, len(num) - 1)], np.int16(-1))
-                    rows[k == 0, 0] = VOCAB + OPEN
-                    edges = np.arange(len(d) + 1, dtype=np.int32) * np.int32(rows.itemsize * (WINDOW + 1))
-                    blob = pa.BinaryArray.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(rows.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array((hashes[d] + k * 2654435761) % (1 << 32), pa.int64()), blob], names=["mix", "ids"])
-
-    return docs.mapInArrow(run, "mix long, ids binary")
-
-
-def _windows(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.int16).reshape(-1, WINDOW + 1).astype(np.int64)
-
-
-def train(windows: DataFrame, rounds: int = 2, warm: int = 4096) -> Gru:
-    """The model after a start on the `warm` windows of smallest mix and rounds of averaged local descent on all windows."""
-    spark = windows.sparkSession
-    model = Gru.start()
-    first = windows.orderBy("mix", "ids").limit(warm).toPandas()
-    if not len(first):
-        return model
-    x = _windows(first["ids"])
-    for i in range(4):
-        model.learn(x, 0.1, i, batch=64)
-    for i in range(rounds):
-        shared = spark.sparkContext.broadcast(pickle.dumps(model.w))
-
-        def local(batches: Iterator[pd.DataFrame], i=i, shared=shared) -> Iterator[pd.DataFrame]:
-            mine, n, held = Gru(pickle.loads(shared.value)), 0, []
-            for b in batches:
-                held.append(_windows(b["ids"]))
-                if sum(map(len, held)) >= 1 << 15:
-                    mine.learn(np.concatenate(held), 0.05 / (1 + i), i)
-                    n += sum(map(len, held))
-                    held = []
-            if held:
-                mine.learn(np.concatenate(held), 0.05 / (1 + i), i)
-                n += sum(map(len, held))
-            if n:
-                yield pd.DataFrame({"salt": [n % 8], "n": [n], "w": [pickle.dumps({k: v * n for k, v in mine.w.items()})]})
+                num, cols = num.astype(np.int16), ([], [], [])
+                for i, doc in enumerate(ids):
+                    lo, hi = int(at[i]), int(at[i + 1])
+                    for k, a in enumerate(range(lo, hi, span)):
+                        before = num[a - 1] if k else np.int16(VOCAB + OPEN)
+                        z = min(a + span, hi)
+                        for c, v in zip(cols, (zlib.crc32(f"{doc} {k}".encode()), z - a, np.r_[before, num[a:z]].astype(np.int16).tobytes())):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["mix", "n", "ids"])
+
+    return docs.mapInArrow(run, "mix long, n long, ids binary")
+
+
+def _local(shared, rate: float, seed: int):
+    """A group's own descent from the shared weights: (salt, grp, n, w)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["mix", "ids"], kind="stable")
+        mine, n = Gru(pickle.loads(shared.value)), int(rows["n"].sum())
+        mine.learn([np.frombuffer(x, np.int16) for x in rows["ids"]], rate, seed)
+        return pd.DataFrame({"salt": [key[0] % 16], "grp": [key[0]], "n": [n], "w": [pickle.dumps(mine.w)]})
+
+    return run
+
+
+def train(seqs: DataFrame, model: Gru, total: int, parts: int = PARTS, group: int = GROUP) -> Gru:
+    """The model after one pass of averaged local descent over all sequences, `total` words in all, a part at a time."""
+    groups = max(1, -(-total // group))
+    deal = F.pmod(F.xxhash64("mix"), F.lit(groups * parts))
+    dealt = stored(seqs.withColumn("group", F.floor(deal / parts).cast("int")).withColumn("part", (deal % parts).cast("int")), "sequences")
+    schema = "salt int, grp int, n long, w binary"
+    for i in range(parts):
+        shared = seqs.sparkSession.sparkContext.broadcast(pickle.dumps(model.w))
 
         def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, total = 0, None
+            salt, n, total = None, 0, None
             for b in batches:
-                for m, blob in zip(b["n"], b["w"]):
-                    w = pickle.loads(blob)
-                    n, total = n + int(m), w if total is None else {k: total[k] + w[k] for k in w}
-            if n:
-                yield pd.DataFrame({"salt": [0], "n": [n], "w": [pickle.dumps(total)]})
-
-        schema = "salt long, n long, w binary"
-        n, total = 0, None
-        for r in windows.mapInPandas(local, schema).repartition(8, "salt").mapInPandas(fold, schema).toLocalIterator():
+                for s, m, blob in zip(b["salt"], b["n"], b["w"]):
+                    if s != salt and total is not None:
+                        yield pd.DataFrame({"salt": [salt], "grp": [0], "n": [n], "w": [pickle.dumps(total)]})
+                        n, total = 0, None
+                    w = {k: v.astype(np.float64) * m for k, v in pickle.loads(blob).items()}
+                    salt, n, total = s, n + int(m), w if total is None else {k: total[k] + w[k] for k in w}
+            if total is not None:
+                yield pd.DataFrame({"salt": [salt], "grp": [0], "n": [n], "w": [pickle.dumps(total)]})
+
+        learnt = dealt.filter(F.col("part") == i).drop("part").repartitionByRange(groups, "group").groupBy("group").applyInPandas(_local(shared, 0.1, i), schema)
+        folded = learnt.repartition(16, "salt").sortWithinPartitions("salt", "grp").mapInPandas(fold, schema).collect()  # at most 16 rows
+        n, total_w = 0, None
+        for r in sorted(folded, key=lambda r: r["salt"]):
             w = pickle.loads(r["w"])
-            n, total = n + r["n"], w if total is None else {k: total[k] + w[k] for k in w}
-        model = Gru({k: (v / n).astype(np.float32) for k, v in total.items()})
+            n, total_w = n + r["n"], w if total_w is None else {k: total_w[k] + w[k] for k in w}
+        if n:
+            model = Gru({k: (v / n).astype(np.float32) for k, v in total_w.items()})
+    drop_stored(dealt)
     return model
 
 
@@ -345,7 +387,7 @@ def scored(docs: DataFrame, most_tokens: int = 1 << 21) -> DataFrame:
     counts = stored(word_counts(learn), "word-counts")
     lexi = lexicon(counts)
     lex = spark.sparkContext.broadcast(lexi)
-    model = train(stored(window_table(learn, lex), "windows"))
+    model = train(sequences(learn, lex), Gru.start(lexi), lexi.total)
     shared = spark.sparkContext.broadcast(pickle.dumps(model.w))
     rare = pa.list_(pa.struct([("word", pa.int64()), ("tf", pa.int64())]))
 

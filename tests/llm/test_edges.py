@@ -151,20 +151,55 @@ def test_language_model(docs, none):
     assert recurrent_lm.scored(none).count() == 0
 
 
-def test_language_model_windows_cover_every_word(spark, docs):
+def test_language_model_sequences_cover_every_word(spark, docs):
     import numpy as np
 
-    def numbers(r):
-        return np.frombuffer(bytes(r["ids"]), np.int16)
-
     ids = recurrent_lm.id_text(docs)
     lexi = recurrent_lm.lexicon(recurrent_lm.word_counts(ids))
-    rows = [numbers(r) for r in recurrent_lm.window_table(ids, spark.sparkContext.broadcast(lexi)).collect()]
+    rows = recurrent_lm.sequences(ids, spark.sparkContext.broadcast(lexi)).collect()
+    seqs = [np.frombuffer(bytes(r["ids"]), np.int16) for r in rows]
     counts = {1: 1, 2: 1, 3: 3, 4: 30001, 5: 81, 6: 81, 7: 82, None: 81, 8: 1, 9: 3}
     sizes = [counts[r["doc_id"]] for r in docs.select("doc_id").collect()]
-    assert len(rows) == sum(-(-n // recurrent_lm.WINDOW) for n in sizes)
-    assert sum(int((r[1:] >= 0).sum()) for r in rows) == sum(sizes) == lexi.total
-    assert sum(int(r[0]) == recurrent_lm.VOCAB + recurrent_lm.OPEN for r in rows) == len(sizes)
+    assert len(seqs) == sum(-(-n // recurrent_lm.SPAN) for n in sizes)
+    assert [len(s) - 1 for s in seqs] == [r["n"] for r in rows] and max(len(s) for s in seqs) == recurrent_lm.SPAN + 1
+    assert sum(len(s) - 1 for s in seqs) == sum(sizes) == lexi.total
+    assert sum(int(s[0]) == recurrent_lm.VOCAB + recurrent_lm.OPEN for s in seqs) == len(sizes)
+
+
+def test_language_model_does_not_hang_on_partitions(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(r.randrange(0, 90)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = (by_id(recurrent_lm.scored(x)) for x in (df.coalesce(1), df.repartition(7, F.col("doc_id") % 5)))
+    assert all(abs(one[i]["score"] - other[i]["score"]) < 1e-3 for i in one) and all(abs(one[i]["base_score"] - other[i]["base_score"]) < 1e-9 for i in one)
+
+
+def test_window_gradients_agree_with_differences():
+    """Truncated backpropagation: the step that descend() takes lies along the slope of the window's log-likelihood, from a carried state."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    w = {k: v.astype(np.float64) for k, v in recurrent_lm.Gru.start().w.items()}
+    rows = r.integers(0, 2048, (3, recurrent_lm.WINDOW + 1))
+    rows[1, 20:], rows[2, 9:] = -1, -1
+    h = r.standard_normal((3, recurrent_lm.HIDDEN)).astype(np.float32) * 0.5
+
+    def value(weights):
+        m = recurrent_lm.Gru(weights)
+        live = rows[:, 1:].T >= 0
+        hs, *_ = m.steps(np.maximum(rows[:, :-1].T, 0), h, live.sum(axis=1))
+        return float(m.output(hs[1:][live].astype(np.float64), rows[:, 1:].T[live])[0].sum())
+
+    big = {k: np.full(v.shape, 1e12) for k, v in w.items()}  # so that the step is the gradient times a constant
+    moved = recurrent_lm.Gru({k: v.copy() for k, v in w.items()})
+    moved.descend(rows, h, 1.0, big)
+    for k, at in (("u", (3, 5)), ("u", (1, 60)), ("in", (int(rows[0, 4]), 30)), ("in", (int(rows[2, 2]), 3)), ("wo", (int(rows[0, 5]), 2)), ("bc", (7,))):
+        grad = (moved.w[k][at] - w[k][at]) * 1e6 * 3
+        up, down = ({n: v.copy() for n, v in w.items()} for _ in range(2))
+        up[k][at] += 1e-2
+        down[k][at] -= 1e-2
+        slope = (value(up) - value(down)) / 2e-2
+        assert abs(grad - slope) < 2e-2 * max(1, abs(slope))
 
 
 def test_gru_gradients_agree_with_differences():
