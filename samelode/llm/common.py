@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ LOWER[65:91] += 32
 
 _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Folders made for applications on one machine.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +36,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; on one machine a folder of its own is made where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/samelode-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="samelode-"))
     return base.rstrip("/")
 
 
+def small(df: DataFrame, bound: int = 200_000) -> DataFrame:
+    """df, marked for broadcast if it has at most `bound` rows; beyond it, joins shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samelode.llm.common import small, stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -68,32 +70,40 @@ def blob_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _pair(r: Rule) -> Column:
+    return F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))
+
+
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, kind, version, spans) for every row (blob, text) and rule."""
-    found = blobs.select("blob", *[spans(F.col("text"), r).alias(r.kind) for r in rules])
+    """(blob, kind, version, spans) for every row (blob, text, need) and every rule in its `need`; no other rule is run on it."""
+    wants = lambda r: F.array_contains("need", _pair(r))
+    found = blobs.select("blob", *[F.when(wants(r), spans(F.col("text"), r)).alias(r.kind) for r in rules])
     rows = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])
-    return found.select("blob", F.explode(rows).alias("r")).select("blob", "r.kind", "r.version", "r.spans")
+    return found.select("blob", F.explode(F.filter(rows, lambda x: x["spans"].isNotNull())).alias("r")).select("blob", "r.kind", "r.version", "r.spans")
 
 
 def current(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """The ledger's rows that belong to these rules in their present versions, one for each pair."""
-    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    wanted = F.array(*[_pair(r) for r in rules])
     return ledger.filter(F.array_contains(wanted, F.struct("kind", "version"))).dropDuplicates(["blob", "kind", "version"])
 
 
 def unseen(history: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row (blob, text) of each content that lacks a scan by any of the rules. Copies collapse before the shuffle."""
+    """(blob, text, need) of each content that lacks a scan by any of the rules; `need` lists those (kind, version). Where there is
+    a ledger, it is compared with hashes alone, and only texts of blobs that lack something are moved. Copies collapse before the shuffle."""
+    every = F.array(*[_pair(r) for r in rules])
     blobs = history.select(blob_id(F.col("text")).alias("blob"), "text")
-    if ledger is not None:
-        done = current(ledger, rules).groupBy("blob").count().filter(F.col("count") == len(rules))
-        blobs = blobs.join(done, "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"])
+    if ledger is None:
+        return blobs.dropDuplicates(["blob"]).withColumn("need", every)
+    done = current(ledger, rules).groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
+    need = blobs.select("blob").distinct().join(done, "blob", "left").select("blob", F.array_except(every, F.coalesce("done", F.array().cast("array<struct<kind:string,version:int>>"))).alias("need"))
+    need = stored(need.filter(F.size("need") > 0), "unseen")
+    return blobs.join(small(need), "blob").dropDuplicates(["blob"])
 
 
 def update(history: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """The ledger rows that a run adds: scans of unseen (blob, rule version) pairs."""
-    new = scan(unseen(history, ledger, rules), rules)
-    return new if ledger is None else new.join(current(ledger, rules).select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
+    """The ledger rows that a run adds: scans of just the unseen (blob, rule version) pairs."""
+    return scan(unseen(history, ledger, rules), rules)
 
 
 def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], keys: list[str]) -> DataFrame:
