@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts longer than `chunk` code points are cut into chunks that overlap. Chunks are pre-tokenised in parallel, each
-from its own start; neighbours are stitched at the first pre-token boundary that both found (the pattern looks only
-forward, so from a common boundary on both agree), and the stitched pieces are encoded in parallel. Shorter texts are
-one piece. Decoding concatenates the raw bytes of the ids.
+Every text is cut into chunks of `chunk` code points that overlap by `overlap`; most texts are one chunk. The chunks of a
+longer text are pre-tokenised in parallel, each from its own start, and stitched at the first boundary in their overlap that
+both neighbours found (the pattern looks only forward, so from a common boundary on both agree). Where an overlap holds no
+common boundary, the pattern runs on alone from the last true boundary until it meets one that a later chunk found, so
+one endless pre-token is read once and encoded whole. The stitched pieces are encoded in parallel. Decoding concatenates
+the raw bytes of the ids.
 
 Null and empty texts give no ids and the digest of nothing. Repeated rows give repeated rows; an empty table gives an
-empty table; extra columns are ignored. If two neighbouring chunks share no boundary in their overlap, they are joined
-and pre-tokenised as one piece, so one endless pre-token is still encoded whole.
+empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,23 +46,47 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.finditer(pattern, text)]
 
 
-def stitch(texts: list[str], offsets: list[int], bounds: list[list[int]], pattern: str) -> list[str]:
-    """Pieces of the whole text that begin and end at true boundaries.
+#: A boundary this near a chunk's end may hang on what is cut off.
+GUARD = 8
 
-    texts: chunks from the given offsets; bounds: each chunk's boundaries in the whole text, found from its own start.
-    The last boundary of a chunk may be forced by its end, so it is no candidate. Where two neighbours share none, the
-    second is appended to the first and the run is pre-tokenised again.
+
+def stitch(text: str, offsets: list[int], bounds: list[np.ndarray], size: int, pattern: str) -> list[int]:
+    """True boundaries that cut the whole text into pieces, one for each chunk or fewer.
+
+    bounds: the boundaries in the whole text that each chunk of `size` code points found from its own start, in order. Every
+    code point is matched at most once more, whatever the pre-tokens.
     """
-    pieces, text, at, own = [], texts[0], offsets[0], bounds[0]
-    for more, off, theirs in zip(texts[1:], offsets[1:], bounds[1:]):
-        cut = min(set(own[:-1]) & set(theirs) - {at}, default=None)
-        if cut is None:
-            text += more[at + len(text) - off :]
-            own = [at + x for x in boundaries(text, pattern)]
+    import regex
+
+    compiled = regex.compile(pattern)
+    cuts, true, k = [], bounds[0], 0  # `true`: boundaries of chunk k that are true ones
+    while k + 1 < len(offsets):
+        mine = true[true <= offsets[k] + size - GUARD]
+        common = np.intersect1d(mine, bounds[k + 1], assume_unique=True)
+        common = common[common > offsets[k + 1]]
+        if len(common):
+            at, k = int(common[0]), k + 1
         else:
-            pieces.append(text[: cut - at])
-            text, at, own = more[cut - off :], cut, [x for x in theirs if x > cut]
-    return [*pieces, text]
+            at, found = int(mine[-1]) if len(mine) else (cuts[-1] if cuts else 0), None
+            while found is None and at < len(text):
+                at = compiled.match(text, at).end()
+                # chunks that hold this place well inside
+                for j in range(k + 1, len(offsets)):
+                    if offsets[j] >= at:
+                        break
+                    if at <= offsets[j] + size - GUARD or j + 1 == len(offsets):
+                        i = int(np.searchsorted(bounds[j], at))
+                        if i < len(bounds[j]) and bounds[j][i] == at:
+                            found = j
+                            break
+            if found is None:
+                break
+            k = found
+        if at >= len(text):
+            break
+        cuts.append(at)
+        true = bounds[k][bounds[k] >= at]
+    return cuts
 
 
 def _ids_row(doc_id: int | str | None, ids: np.ndarray, enc) -> tuple:
@@ -93,7 +118,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 60_000, overlap: int = 2_000) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 8192, overlap: int = 256) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every text, long texts by stitched chunks."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     base = id_text(docs).withColumn("key", F.monotonically_increasing_id())
@@ -127,7 +152,10 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 60_000,
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        pieces = stitch(rows["piece"].tolist(), rows["off"].tolist(), [np.frombuffer(x, np.int64).tolist() for x in rows["bounds"]], pattern)
+        parts = rows["piece"].tolist()
+        text = "".join([*(p[:step] for p in parts[:-1]), parts[-1]])
+        cuts = [0, *stitch(text, rows["off"].tolist(), [np.frombuffer(x, np.int64) for x in rows["bounds"]], chunk, pattern), len(text)]
+        pieces = [text[a:z] for a, z in zip(cuts, cuts[1:])]
         return pd.DataFrame({"key": key[0], "doc": rows["doc"].iloc[0], "j": range(len(pieces)), "piece": pieces})
 
     def pieces_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

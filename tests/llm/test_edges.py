@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from samelode.llm import byte_bpe, decontam, line_dedup, ngram_join, pii, quality, recurrent_lm, secrets, suffix_dedup, vptree
+from samelode.llm.common import id_text
 from samelode.llm.q_byte_bpe import vocabulary
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 EXTRA = "n_tokens long, d string, t string, gone string, h long, class long, component_id long, key long, vec_id long, w string, th string, runs string, lang string, n_chars long"
@@ -47,17 +49,37 @@ def test_ngram_join(docs, none):
 
 
 def test_secrets(docs, none):
-    assert secrets.scan(docs.select(secrets.blob_id(F.coalesce("text", F.lit(""))).alias("blob"), F.coalesce("text", F.lit("")).alias("text")), secrets.BASE).filter(F.size("spans") > 0).count() == 0
+    blobs = secrets.unseen(id_text(docs), None, secrets.BASE)
+    assert blobs.count() == 7 and secrets.scan(blobs, secrets.BASE).filter(F.size("spans") > 0).count() == 0
     assert secrets.update(none.select("doc_id", "text"), None, secrets.BASE).count() == 0
 
 
+def test_secret_places(spark):
+    """Positions after emoji, accents and very long texts, by plain patterns."""
+    import re
+
+    texts = ["😀é Password: 'abc.def' x", "z" * 300_000 + "\nAKIA" + "Q" * 20 + " " + "0123456789abcdef" * 2, None, "", "api_key=short api-key = nope_token:longenough1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    history = id_text(df)
+    rows = secrets.findings(history, secrets.update(history, None, secrets.BASE), secrets.BASE, ["doc_id"]).collect()
+    got = {r["doc_id"]: {f["kind"]: [tuple(s) for s in f["spans"]] for f in r["found"] if f["spans"]} for r in rows}
+    for i, t in enumerate(texts):
+        want = {r.kind: [m.span() for m in re.finditer(r.pattern, t or "") if len(m[r.group]) >= r.least] for r in secrets.BASE}
+        assert got[i] == {k: v for k, v in want.items() if v}
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     h = spark.createDataFrame([("a", 1, "password = hunter22"), ("b", 1, "password = hunter22"), ("a", 2, "x AKIA" + "Q" * 20)], "path string, version int, text string")
     ledger = secrets.update(h, None, secrets.BASE).cache()
     assert ledger.count() == 6
     assert secrets.unseen(h, ledger, secrets.BASE).count() == 0
     newer = (*secrets.BASE[:2], secrets.Rule("hex", 2, "[0-9a-f]+", 0, 30, "[0-9a-f]{30}"))
-    assert secrets.update(h, ledger, newer).select("kind", "version").distinct().collect() == [("hex", 2)]
+    # one new version of one rule, one new content: what is scanned are just the pairs that lack
+    more = h.unionByName(spark.createDataFrame([("c", 1, "new text")], h.schema))
+    need = {r["text"]: {tuple(n) for n in r["need"]} for r in secrets.unseen(more, ledger, newer).collect()}
+    assert need == {"password = hunter22": {("hex", 2)}, "x AKIA" + "Q" * 20: {("hex", 2)}, "new text": {("assign", 1), ("access", 1), ("hex", 2)}}
+    added = secrets.update(more, ledger, newer).select("kind", "version").collect()
+    assert sorted(map(tuple, added)) == [("access", 1), ("assign", 1), ("hex", 2), ("hex", 2), ("hex", 2)]
     got = secrets.findings(h, ledger.unionByName(ledger), secrets.BASE, ["path", "version"]).collect()
     assert {(r["path"], r["version"]): [(f["kind"], [tuple(s) for s in f["spans"]]) for f in r["found"]] for r in got} == {("a", 1): [("assign", [(0, 19)])], ("b", 1): [("assign", [(0, 19)])], ("a", 2): [("access", [(2, 26)])]}
 
@@ -281,7 +303,7 @@ def test_state_is_carried_across_blocks():
 def test_byte_bpe(docs, none):
     path, pattern = vocabulary()
     enc = byte_bpe.encoding(path, pattern)
-    for chunk, overlap in ((60_000, 2_000), (400, 60)):
+    for chunk, overlap in ((8192, 256), (400, 60)):
         got = byte_bpe.digests(docs, path, pattern, chunk, overlap).collect()
         assert len(got) == len(ROWS)
         for r in got:
@@ -293,17 +315,38 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).filter(F.col("doc_id") == 9).first()["data"] == bytearray("é😀 naïve".encode())
 
 
+def stitched(text, size, step, pattern):
+    import numpy as np
+
+    offs = list(range(0, max(1, len(text) - size + step), step))
+    bounds = [np.array([o + b for b in byte_bpe.boundaries(text[o : o + size], pattern)], np.int64) for o in offs]
+    cuts = [0, *byte_bpe.stitch(text, offs, bounds, size, pattern), len(text)]
+    return [text[a:z] for a, z in zip(cuts, cuts[1:])]
+
+
 def test_stitching_random_texts():
     path, pattern = vocabulary()
     enc, r = byte_bpe.encoding(path, pattern), random.Random(3)
-    for _ in range(300):
-        text = "".join(r.choice("ab  \n'st9.é!") for _ in range(r.randrange(30, 300)))
-        offs = list(range(0, max(1, len(text) - 5), 20))
-        texts = [text[o : o + 25] if o != offs[-1] else text[o:] for o in offs]
-        pieces = byte_bpe.stitch(texts, offs, [[o + b for b in byte_bpe.boundaries(t, pattern)] for o, t in zip(offs, texts)], pattern)
+    for i in range(600):
+        text = "".join(r.choice("ab  \n'stlve9.é!" if i % 2 else "aaaaaaaaab \n") for _ in range(r.randrange(40, 400)))
+        pieces = stitched(text, 36, 20, pattern)
         assert "".join(pieces) == text and [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_one_endless_pre_token_in_linear_time():
+    import time
+
+    _, pattern = vocabulary()
+    seconds = []
+    for n in (200_000, 1_600_000):
+        text = "a word " + "x" * n + " and more " * 900
+        began = time.time()
+        pieces = stitched(text, 8192, 7936, pattern)
+        seconds.append(time.time() - began)
+        assert "".join(pieces) == text and max(map(len, pieces)) <= n + 8192 + 20
+    assert seconds[1] < 40 * max(seconds[0], 0.02)
+
+
 def test_line_dedup(spark, docs, none):
     got = line_dedup.dedup(docs).select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", "kept").collect()
     want = {1: (0, 0, None), 2: (0, 0, ""), 5: (1, 0, COPY), 6: (1, 1, ""), 7: (1, 1, ""), None: (1, 0, COPY), 8: (2, 0, " \n\t ")}
