@@ -1,10 +1,14 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame expressions only.
 
-The index holds (term, doc_id, pos) of the corpus. For every window of `size` words of an item the two rarest terms, by
-counts over the whole corpus, are its probes: their posting lists, adjusted by their offsets in the item, are
-intersected, rarest first, which leaves alignments (doc_id, item_id, shift); each alignment is then held against the
-whole item, which gives the exact phrase matches. proximity() relaxes the intersection by a slop. Only postings of
-probe terms are stored, as no other list is ever read.
+The index holds (term, doc_id, pos) for every word of the corpus and knows nothing of any benchmark: index() stores it once,
+and any number of benchmarks are then held against it without reading the corpus for terms again. It is cut by document, as each
+task sorts the postings of its own texts by term, so building it shuffles nothing, and a reader skips the parts of each
+file whose range of terms holds none of those asked for.
+
+For every window of `size` words of an item the two rarest terms, by counts over the whole index, are its probes: their
+posting lists, adjusted by their offsets in the item, are intersected, rarest first, which leaves alignments (doc_id,
+item, shift). Alignments within `slop` words are proximity matches; exact ones are then held against the whole item.
+Positions are met by equality on bins of slop + 1, so no posting is paired with a whole list.
 
 Null and empty texts have no words: such documents are clean and such items match nothing. Repeated items and rows count
 once and repeated documents each get their row; with an empty benchmark every document is clean; extra columns are
@@ -18,12 +22,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samelode.llm.common import id_text, stored
+from samelode.llm.common import id_text, small, stored
 
 #: Separators before lower-casing: A-Z stay inside words and are lowered word by word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Most rows that are broadcast; beyond it, joins shuffle.
-SMALL = 200_000
 
 
 def ascii_lower(word: Column) -> Column:
@@ -48,15 +50,15 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("words")).filter(F.size("words") > 0).distinct()
 
 
-def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
-    """df, marked for broadcast if it has at most `bound` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def index(docs: DataFrame) -> DataFrame:
+    """The stored postings (term, doc_id, pos) of every word of docs (doc_id, text), each task's sorted by term."""
+    return stored(terms(docs).select("term", "doc_id", "pos").sortWithinPartitions("term"), "postings")
 
 
-def counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+def counts(postings: DataFrame, items: DataFrame) -> DataFrame:
     """(term, n): occurrences in the whole corpus of the items' terms. Counts are summed before the shuffle."""
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    return terms(docs).join(small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return postings.select("term").join(small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def probes(items: DataFrame, freq: DataFrame, size: int) -> DataFrame:
@@ -74,65 +76,70 @@ def probes(items: DataFrame, freq: DataFrame, size: int) -> DataFrame:
     return ranked.select("item", first["q"].alias("q1"), first["term"].alias("t1"), second["q"].alias("q2"), second["term"].alias("t2")).distinct()
 
 
-def index_of(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Postings (term, doc_id, pos) of the probe terms."""
+def lists_of(postings: DataFrame, plan: DataFrame) -> DataFrame:
+    """The posting lists of the probe terms."""
     wanted = plan.select(F.explode(F.array("t1", "t2")).alias("term")).filter("term is not null").distinct()
-    return terms(docs).join(small(wanted), "term", "left_semi").select("term", "doc_id", "pos")
+    return postings.join(small(wanted), "term", "left_semi")
 
 
-def _intersect(index: DataFrame, plan: DataFrame, slop: int) -> DataFrame:
-    """Alignments (doc_id, item, shift): both probes at their offsets, give or take the slop."""
-    one = index.join(small(plan), F.col("term") == F.col("t1")).select("doc_id", "item", (F.col("pos") - F.col("q1")).alias("shift"), "t2", "q2")
-    other = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("p"))
-    here = F.col("p") - F.col("q2") - F.col("shift")
-    near = here == 0 if not slop else F.abs(here) <= slop
-    if not slop:
-        near = F.col("p") == F.col("shift") + F.col("q2")
-    two = one.filter("t2 is not null").join(other, (F.col("t") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d")) & near).select("doc_id", "item", "shift")
-    return one.filter("t2 is null").select("doc_id", "item", "shift").unionByName(two).distinct()
+def intersect(lists: DataFrame, plan: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, item, shift, exact): alignments whose probes stand within slop words of their distance in the item, and whether some probes stand at just that distance."""
+    one = lists.join(small(plan), F.col("term") == F.col("t1")).select("doc_id", "item", (F.col("pos") - F.col("q1")).alias("shift"), "t2", "q2")
+    width = slop + 1
+    # the second probe's place less its offset is the shift, give or take the slop: equal bins or neighbouring ones
+    at = F.col("p") - F.col("q")
+    asked = plan.filter("t2 is not null").select(F.col("item").alias("i"), F.col("t2").alias("t"), F.col("q2").alias("q")).distinct()
+    other = lists.select(F.col("term"), F.col("doc_id").alias("d"), F.col("pos").alias("p")).join(small(asked), F.col("term") == F.col("t")).drop("term")
+    other = other.select("i", "t", "q", "d", at.alias("s")).withColumn("bin", F.floor(F.col("s") / width))
+    bins = F.floor(F.col("shift") / width)
+    first = one.filter("t2 is not null").withColumn("b", F.explode(F.array(bins - 1, bins, bins + 1) if slop else F.array(bins)))
+    here = (F.col("t") == F.col("t2")) & (F.col("i") == F.col("item")) & (F.col("q") == F.col("q2")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("s") - F.col("shift")) <= slop)
+    two = first.join(other, here).select("doc_id", "item", "shift", (F.col("s") == F.col("shift")).alias("exact"))
+    found = one.filter("t2 is null").select("doc_id", "item", "shift", F.lit(True).alias("exact")).unionByName(two)
+    return found.groupBy("doc_id", "item", "shift").agg(F.max("exact").alias("exact"))
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
-    """(doc_id, item, shift) where the two rarest words of a window stand within `slop` words of their distance in the item."""
-    docs, items = id_text(docs), items_of(benchmark)
-    plan = probes(items, counts(docs, items), size)
-    return _intersect(index_of(docs, plan), plan, slop)
+def found_in(postings: DataFrame, items: DataFrame, size: int, slop: int) -> DataFrame:
+    """Alignments (doc_id, item, shift, exact) of items (item, words) in an index."""
+    plan = stored(probes(items, stored(counts(postings, items), "counts"), size), "probes")
+    return intersect(stored(lists_of(postings, plan), "lists"), plan, slop)
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(doc_id, item, shift, words) that may hold an exact match, from the stored index."""
-    items = stored(items_of(benchmark), "items")
-    plan = stored(probes(items, stored(counts(docs, items), "counts"), size), "probes")
-    index = stored(index_of(docs, plan), "postings")
-    found = _intersect(index, plan, 0)
-    return found.join(small(items), "item").select("doc_id", "item", "shift", "words")
+def proximity(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5) -> DataFrame:
+    """(doc_id, item, shift) where the two rarest words of a window stand within `slop` words of their distance in the item."""
+    return found_in(index(id_text(docs)), items_of(benchmark), size, slop).select("doc_id", "item", "shift")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Each document (doc_id, text) with n_words and found: an array of (item, hits), hits being the positions of the pieces inside occurring windows."""
-    docs = id_text(docs)
-    by_doc = alignments(docs, benchmark, size).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("item", "shift", "words")).alias("cands"))
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5, postings: DataFrame | None = None) -> DataFrame:
+    """Each document (doc_id, text) with n_words, n_near (items with a proximity match) and found: an array of (item, hits), hits being
+    the positions of the pieces inside occurring windows. postings: an index of the same documents, if there is one."""
+    docs, items = id_text(docs), stored(items_of(benchmark), "items")
+    aligned = stored(found_in(index(docs) if postings is None else postings, items, size, slop), "alignments")
+    # an item's words are gathered once for a document, however many alignments it has there
+    by_item = aligned.groupBy("doc_id", "item").agg(F.collect_list(F.when(F.col("exact"), F.col("shift"))).alias("shifts"))
+    by_doc = by_item.join(small(items), "item").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("item", "shifts", "words")).alias("cands"))
     joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "cands")
     # explode makes the words once for each row; a plain column would be worked out anew at every use
     rows = joined.select("doc_id", "text", "cands", F.explode(F.array(pieces(F.col("text")))).alias("p"))
 
-    def hits(c: Column) -> Column:
-        same = F.array_join(F.transform(c["words"], lambda w, i: F.when(ascii_lower(F.get(F.col("p"), c["shift"] + i)) == w, "1").otherwise("0")), "")
+    def at_shift(c: Column, shift: Column) -> Column:
+        same = F.array_join(F.transform(c["words"], lambda w, i: F.when(ascii_lower(F.get(F.col("p"), shift + i)) == w, "1").otherwise("0")), "")
         k = F.least(F.lit(size), F.size(c["words"]))
         starts = F.filter(F.sequence(F.lit(0), F.size(c["words"]) - k), lambda s: F.substring(same, s + 1, k) == F.repeat(F.lit("1"), k))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(c["shift"] + s, c["shift"] + s + k - 1))))
+        return F.flatten(F.transform(starts, lambda s: F.sequence(shift + s, shift + s + k - 1)))
 
+    hits = lambda c: F.array_distinct(F.flatten(F.transform(c["shifts"], lambda shift: at_shift(c, shift))))
     found = F.filter(F.transform(F.coalesce("cands", F.array()), lambda c: F.struct(c["item"].alias("item"), hits(c).alias("hits"))), lambda f: F.size(f["hits"]) > 0)
     n = F.size("p")
     edge = (F.col("p")[0] == "").cast("int") + (F.element_at("p", -1) == "").cast("int")
     n_words = F.when((n == 1) & (F.col("p")[0] == ""), 0).otherwise(n - edge)
-    return rows.select("doc_id", "text", n_words.cast("long").alias("n_words"), found.alias("found"))
+    return rows.select("doc_id", "text", n_words.cast("long").alias("n_words"), F.coalesce(F.size(F.array_distinct(F.transform("cands", lambda c: c["item"]))), F.lit(0)).cast("long").alias("n_near"), found.alias("found"))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    m = matches(docs, benchmark, size)
-    m = m.select("doc_id", "n_words", F.explode(F.array(F.col("found"))).alias("found"))
+def judged(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5, postings: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near for each document."""
+    m = matches(docs, benchmark, size, slop, postings)
+    m = m.select("doc_id", "n_words", "n_near", F.explode(F.array(F.col("found"))).alias("found"))
     hit = F.array_distinct(F.flatten(F.transform("found", lambda f: f["hits"])))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item"])))
     return m.select(
@@ -142,6 +149,5 @@ def judged(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("found") > 0).alias("contaminated"),
+        "n_near",
     )
-
-

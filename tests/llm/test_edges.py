@@ -207,6 +207,36 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in decontam.proximity(docs, bench, slop=3).collect()} == {1}
 
 
+def test_proximity_and_hits_on_random_texts(spark):
+    """One stored index, two benchmarks, against slow counting."""
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    docs = [(i, text(r.randrange(0, 60))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    postings = decontam.index(decontam.id_text(frame))
+    freq = {}
+    for _, t in docs:
+        for w in t.split():
+            freq[w] = freq.get(w, 0) + 1
+    for size, slop in ((4, 2), (3, 0)):
+        items = [(i, text(r.randrange(1, 9))) for i in range(12)]
+        got = by_id(decontam.judged(frame, spark.createDataFrame(items, "item_id long, text string"), size, slop, postings))
+        for i, t in docs:
+            ws, hit, names, near = t.split(), set(), set(), set()
+            for j, x in items:
+                xs = x.split()
+                k = min(size, len(xs))
+                for s in range(len(xs) - k + 1):
+                    at = [p for p in range(len(ws) - k + 1) if ws[p : p + k] == xs[s : s + k]]
+                    hit |= {q for p in at for q in range(p, p + k)}
+                    names |= {j for _ in at}
+                    rare = sorted((freq.get(xs[q], 0), q) for q in range(s, s + k))
+                    a = [p - rare[0][1] for p, w in enumerate(ws) if w == xs[rare[0][1]]]
+                    b = [p - rare[1][1] for p, w in enumerate(ws) if w == xs[rare[1][1]]] if k > 1 else a
+                    near |= {j for p in a for q in b if abs(p - q) <= slop}
+            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["n_near"]) == (len(ws), len(hit), len(names), len(near))
+
+
 def test_language_model(docs, none):
     got = recurrent_lm.scored(docs).collect()
     assert len(got) == len(ROWS) and all(r["score"] < 0 and r["base_score"] < 0 for r in got)
