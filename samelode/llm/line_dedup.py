@@ -1,8 +1,9 @@
 """Line de-duplication by a deletion-neighbourhood join, in DataFrame expressions only.
 
-A line of at least `least` words (pieces between single spaces) goes if an earlier line, by (doc_id, line number), is
-equal or within one word insertion, deletion or substitution; with five words or more that is a similarity of at least
-0.8. Shorter lines stay, or with `short` go if an earlier line is equal, unless they are blank. Being earlier is judged on all lines, whether or not the earlier one itself goes.
+A line goes if an earlier line, by (doc_id, line number), is equal, whatever its length; blank lines stay. A line of at least
+`least` words (pieces between single spaces) also goes if an earlier such line is within one word insertion, deletion or
+substitution; with five words or more that is a similarity of at least 0.8 (1 - 1/n on a line of n words). Being earlier
+is judged on all lines, whether or not the earlier one itself goes.
 
 Lines first collapse to distinct lines. A line can have a neighbour within one edit only if another line has its first
 or its last half, so only lines with such a shared half emit variants: the line itself and the line without each of its
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samelode.llm.common import stored
+from samelode.llm.common import small, stored
 
 #: Most rows that are broadcast; beyond it, joins shuffle.
 SMALL = 200_000
@@ -32,19 +33,14 @@ HALF = 8
 LINE = ["h1", "place"]
 
 
-def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
-    """df, marked for broadcast if it has at most `bound` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(d, t, pos, place, line, n): the lines of `least` words or more. d and t identify a document, t being a hash of its text; place orders lines by doc_id and number."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(d, t, pos, place, line, n): the lines that are not blank, of n words. d and t identify a document, t being a hash of its text; place orders lines by doc_id and number."""
     n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
     return (
         docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .filter(F.col("line").rlike(r"[^\x09-\x0D\x20]"))
         .withColumn("n", n)
-        .filter(F.col("n") >= least)
         .withColumn("place", place.cast("decimal(32,0)"))
     )
 
@@ -53,12 +49,12 @@ def _h1() -> Column:
     return F.xxhash64("line").alias("h1")
 
 
-def facts_of(lines: DataFrame) -> DataFrame:
-    """(h1, h2, place, d, t, pos, p1, s1, p2, s2): each line's hashes and the keys of its first and last halves; for even n also of those it shares with a line one word shorter."""
+def facts_of(lines: DataFrame, least: int) -> DataFrame:
+    """(h1, h2, place, d, t, pos, p1, s1, p2, s2): each line's hashes and, from `least` words on, the keys of its first and last halves; for even n also of those it shares with a line one word shorter."""
     upto = lambda n: F.call_function("substring_index", F.col("line"), F.lit(" "), n)
     a, b = (F.least(F.lit(HALF), F.floor(x / 2).cast("int")) for x in (F.col("n"), F.col("n") - 1))
     again = lambda key: F.when(a != b, key)
-    key = lambda side, h: F.xxhash64(F.lit(side), h, upto(h if side == 0 else -h))
+    key = lambda side, h: F.when(F.col("n") >= least, F.xxhash64(F.lit(side), h, upto(h if side == 0 else -h)))
     return lines.select(_h1(), F.xxhash64(F.lit(1), "line").alias("h2"), "place", "d", "t", "pos", key(0, a).alias("p1"), key(1, a).alias("s1"), again(key(0, b)).alias("p2"), again(key(1, b)).alias("s2"))
 
 
@@ -130,31 +126,21 @@ def near_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     return one.join(two, "witness").filter(within_one(F.col("a"), F.col("b"))).select(*LINE).distinct()
 
 
-def short_repeats(docs: DataFrame, least: int) -> DataFrame:
-    """(d, t, pos) of the non-blank lines of less than `least` words that have an equal earlier line."""
-    lines = lines_of(docs, 1).filter((F.col("n") < least) & F.col("line").rlike(r"\S"))
-    facts = stored(lines.select(_h1(), F.xxhash64(F.lit(1), "line").alias("h2"), "place", "d", "t", "pos"), "short-facts")
-    first = facts.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return facts.join(small(stored(first, "short-repeated")), ["h1", "h2"]).filter(F.col("place") != F.col("first")).select("d", "t", "pos")
-
-
-def removed(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
+def removed(docs: DataFrame, least: int = 5) -> DataFrame:
     """(d, t, gone): the numbers of the lines that go, for each document that loses any."""
-    lines = lines_of(docs, least)
-    facts = stored(facts_of(lines), "facts")
+    lines = lines_of(docs)
+    facts = stored(facts_of(lines, least), "facts")
     known = stored(distinct_lines(facts), "lines")
     near = stored(near_lines(lines, known), "near").withColumn("near", F.lit(True))
     # only lines with several places or an earlier neighbour can go
     bad = stored(known.join(small(near), LINE, "left").filter("c > 1 or near").select("h1", "h2", F.col("place").alias("first"), "near"), "repeated")
     dup = facts.select("h1", "h2", "place", "d", "t", "pos").join(small(bad), ["h1", "h2"]).filter(F.col("near") | (F.col("place") != F.col("first")))
-    if short:
-        dup = dup.select("d", "t", "pos").unionByName(short_repeats(docs, least))
     return dup.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def dedup(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 5) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines, n_removed and kept in front: (n_lines, n_removed, doc)."""
-    gone = stored(removed(docs, least, short), "gone").withColumnsRenamed({"d": "gd", "t": "gt"})
+    gone = stored(removed(docs, least), "gone").withColumnsRenamed({"d": "gd", "t": "gt"})
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 5 * SMALL
     text = F.col("text")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), text)
@@ -174,9 +160,9 @@ def dedup(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, least: int = 5, short: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, least: int = 5) -> DataFrame:
     """docs with the same columns: repeated lines out of text, n_chars (where present) after it, and documents gone that lost every word."""
-    out = dedup(docs, least, short)
+    out = dedup(docs, least)
     lost = (F.col("n_removed") > 0) & (F.trim("kept") == "")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.filter(~F.coalesce(lost, F.lit(False))).select(*[(F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col("doc")[c]) if c in new else F.col("doc")[c]).alias(c) for c in docs.columns])
