@@ -2,20 +2,23 @@
 
 A document's set is its distinct shingles of `n` words as 64-bit hashes; two sets link when 100 * |x & y| >= t * |x | y|.
 
-1. Shingles are counted in a table of fixed size over the whole corpus (hashed buckets). (count, hash) is a total order
-   that puts rare shingles first; the filters hold for any order all documents share.
+1. Shingles are counted over the whole corpus in a sketch of fixed size (two rows of hashed buckets, of which the smaller
+   counts), and (count, hash) is a total order that puts rare shingles first; the filters hold for any order all documents
+   share, so what two shingles share in the sketch costs time at most.
 2. Documents with equal sets form classes; only the class of the smallest doc_id goes on, with its prefix: the first
-   |x| - ceil(t |x| / 100) + 1 shingles. Linked sets share one of these.
-3. Each shared prefix shingle pairs its documents with the one where it stands first (a star, not all pairs), filtered
-   by length, position and suffix and verified on the whole sets, once for each pair.
-4. Components of these links are formed. A second round takes every other pair under a shared shingle whose documents
-   are in different components; pairs inside a component cannot change the result. So a group of many near copies is
-   never expanded into all its pairs, and no link between components is lost.
-
-The suffix filter is a sketch of 512 parities, one for each range of hashes: two sets differ in at least as many shingles
-as their sketches in bits, and linked sets of these sizes may differ in only so many.
-
-Null and empty texts have empty sets and link with nothing; repeated rows are one document; an empty table gives an
+   |x| - ceil(t |x| / 100) + 1 shingles. Linked sets share one of these. Each posting of a prefix also tells, for each of
+   PARTS ranges of hashes, how many of the set's shingles behind it fall there.
+3. Each shared prefix shingle pairs its documents with the one where it stands first (a star, not all pairs). The
+   length filter bounds the sizes, the positional filter the places, and the suffix filter compares what lies behind the
+   shared shingle: two suffixes differ in at least as many shingles as their numbers differ in, added over the ranges. Pairs
+   that are left pass a second bound on whole sets (parities of 512 ranges) and are verified on the sets, once for each pair.
+4. Components of these links are formed. A second round takes pairs under a shared shingle whose documents are in
+   different components; pairs inside a component cannot change the result. They are met by equality on shingle and band
+   of sizes, so a document meets only those whose sizes let it link. A group of many near copies is never expanded into
+   all its pairs, and no link between components is lost.
+
+Null and empty texts have empty sets and link with nothing; repeated rows are one document; rows of a null doc_id link
+with nothing and have no component, but each has its row; a doc_id is taken to name one text; an empty table gives an
 empty table; extra columns are ignored.
 """
 
@@ -31,22 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.llm.common import LOWER, Rolling, combine, id_text, slices, small_batches, stored, word_bounds
+from samelode.llm.common import LOWER, Rolling, combine, id_text, slices, small, small_batches, stored, word_bounds
 from samelode.llm.components import components
 
-BUCKETS = 1 << 21
+BUCKETS = 1 << 22
 CHUNKS = 64
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+#: Ranges of hashes of the suffix filter, four to a long; counts stop at 65,535, which only lowers differences.
+PARTS = 8
 #: Most rows that are broadcast; beyond it, joins shuffle.
 SMALL = 300_000
 
 
-def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
-    """df, marked for broadcast if it has at most `bound` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def shingle_sets(batch: pa.RecordBatch, n: int, rolling: Rolling) -> Iterator[tuple[int, np.ndarray]]:
     """(doc_id, sorted distinct shingles) of each row (doc_id, text)."""
     for ids, data, offs in slices(batch):
@@ -64,12 +64,19 @@ def shingle_sets(batch: pa.RecordBatch, n: int, rolling: Rolling) -> Iterator[tu
                 yield doc, np.zeros(0, np.uint64)
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+def _buckets(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the two rows of the sketch, which has BUCKETS places in all."""
+    half = BUCKETS // 2 - 1
+    return (grams >> np.uint64(40)).astype(np.int64) & half, ((grams >> np.uint64(8)).astype(np.int64) & half) + half + 1
+
+
+def _often(counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    one, two = _buckets(grams)
+    return np.minimum(counts[one], counts[two])
 
 
 def counted(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all documents' shingles in BUCKETS hashed buckets: a table of fixed size, summed by tasks before it reaches the driver."""
+    """Counts of all documents' shingles in the sketch: a table of fixed size, summed by tasks before it reaches the driver."""
     width = BUCKETS // CHUNKS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +91,7 @@ def counted(docs: DataFrame, n: int) -> np.ndarray:
                     for k in range(1, n):
                         cut = at[1:-1] - k
                         inside[cut[(cut >= 0) & (cut < len(grams))]] = False
-                    total += np.bincount(_bucket(grams[inside]), minlength=BUCKETS)
+                    total += np.bincount(np.concatenate(_buckets(grams[inside])), minlength=BUCKETS)
         if total.any():
             blobs = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
@@ -106,27 +113,36 @@ def counted(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(total, (1 << 31) - 1).astype(np.int32)
 
 
+def behind(ranked: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """(len(ranked), PARTS / 4) longs: for each place of a prefix, how many shingles of the set behind it fall into each range of hashes, 16 bits each."""
+    part = (ranked >> np.uint64(61)).astype(np.int64)
+    seen = np.cumsum(part[:, None] == np.arange(PARTS), axis=0)
+    left = np.minimum(np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=PARTS) - seen, 65535)
+    return np.ascontiguousarray(left.astype("<u2")).view("<i8").reshape(len(ranked), PARTS // 4)
+
+
 def records(docs: DataFrame, n: int, t: int, order) -> DataFrame:
-    """(doc_id, size, k1, k2, prefix, sketch) of every document: its set's size, two keys that equal sets share, its prefix in the common order and its parity sketch. order: a broadcast of counted()."""
+    """(doc_id, size, k1, k2, prefix, rest, sketch) of every document: its set's size, two keys that equal sets share, its prefix in the common order, what lies behind each place of it, and the set's parity sketch. order: a broadcast of counted()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, counts = Rolling(), order.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for doc, grams in shingle_sets(b, n, rolling):
                 size = len(grams)
                 keep = size - -(-t * size // 100) + 1 if size else 0
-                ranked = grams[np.argsort(counts[_bucket(grams)], kind="stable")][:keep]
+                ranked = grams[np.argsort(_often(counts, grams), kind="stable")][:keep]
                 mixed = (grams ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 k1, k2 = int(np.bitwise_xor.reduce(grams)) if size else 0, int((mixed ^ (mixed >> np.uint64(31))).sum(dtype=np.uint64))
                 odd = np.bincount((grams >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
                 per = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                for c, v in zip(cols, (doc, size, k1 - (1 << 64) if k1 >> 63 else k1, k2 - (1 << 64) if k2 >> 63 else k2, ranked.view(np.int64), per)):
+                for c, v in zip(cols, (doc, size, k1 - (1 << 64) if k1 >> 63 else k1, k2 - (1 << 64) if k2 >> 63 else k2, ranked.view(np.int64), behind(ranked, grams).ravel(), per)):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=["doc_id", "size", "k1", "k2", "prefix", "sketch"])
+            longs = pa.list_(pa.int64())
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), longs, longs, longs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=["doc_id", "size", "k1", "k2", "prefix", "rest", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, k1 long, k2 long, prefix array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, size long, k1 long, k2 long, prefix array<long>, rest array<long>, sketch array<long>")
 
 
 def _least_overlap(a: Column, b: Column, t: int) -> Column:
@@ -135,16 +151,23 @@ def _least_overlap(a: Column, b: Column, t: int) -> Column:
 
 
 def _filters(a: str, b: str, t: int) -> Column:
-    """Length and positional filters on two postings. Before a common shingle at most as many are common as either document has shared ones there, after it as many as are left."""
+    """Length, positional and suffix filters on two postings. Up to a common shingle at most as many are common as either document has
+    shared ones there; behind it at most half of what both hold there less what they surely differ in, which is no more than
+    the shorter rest holds."""
     c = lambda s, x: F.col(f"{s}.{x}")
     sa, sb, pa_, pb = c(a, "size"), c(b, "size"), c(a, "pos"), c(b, "pos")
     length = 100 * F.least(sa, sb) >= t * F.greatest(sa, sb)
-    bound = F.least(c(a, "before"), c(b, "before")) + 1 + F.least(sa - pa_ - 1, sb - pb - 1)
-    return length & (bound >= _least_overlap(sa, sb, t))
+    upto = F.least(c(a, "before"), c(b, "before")) + 1
+    need = _least_overlap(sa, sb, t) - upto
+    ra, rb = sa - pa_ - 1, sb - pb - 1
+    positional = F.least(ra, rb) >= need
+    count = lambda s, i: F.shiftrightunsigned(c(s, f"r{i // 4}"), 16 * (i % 4)).bitwiseAND(F.lit(65535).cast("long"))
+    differ = reduce(Column.__add__, [F.abs(count(a, i) - count(b, i)) for i in range(PARTS)])
+    return length & positional & (ra + rb - differ >= 2 * need)
 
 
-def _suffix(a: str, b: str, t: int) -> Column:
-    """Suffix filter on two documents: their sketches may not differ in more bits than linked sets differ in shingles."""
+def _parities(a: str, b: str, t: int) -> Column:
+    """A bound on two whole sets: their sketches may not differ in more bits than linked sets differ in shingles."""
     c = lambda s, i: F.col(f"{s}.sketch")[i]
     bits = [F.bit_count(c(a, i).bitwiseXOR(c(b, i))) for i in range(SKETCH)]
     sizes = F.col(f"{a}.size") + F.col(f"{b}.size")
@@ -170,7 +193,7 @@ def _verified(kept: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
                 ok.append(100 * inter >= t * (len(x) + len(y) - inter))
             yield b[["u", "v"]][ok]
 
-    grams = stored(docs.join(small(wanted), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(sets, "w long, grams binary").dropDuplicates(["w"]), "sets")
+    grams = stored(docs.join(small(wanted, SMALL), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(sets, "w long, grams binary").dropDuplicates(["w"]), "sets")
     ux = kept.join(grams.select(F.col("w").alias("u"), F.col("grams").alias("ux")), "u")
     return ux.join(grams.select(F.col("w").alias("v"), F.col("grams").alias("vx")), "v").select("u", "v", "ux", "vx").mapInPandas(overlap, "u long, v long")
 
@@ -182,10 +205,12 @@ def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, D
     order = docs.sparkSession.sparkContext.broadcast(counted(docs, n))
     rec = stored(records(docs, n, t, order), "records")
     equal = ["size", "k1", "k2"]
-    reps = stored(rec.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    reps = stored(rec.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("rest").alias("rest"), F.first("sketch").alias("sketch")), "classes")
     rep = reps.select(*equal, F.col("doc_id").alias("class"))
     member = stored(rec.select("doc_id", *equal).join(rep, equal).select("doc_id", "size", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class")).distinct(), "members")
-    posts = reps.filter("size > 0").select("doc_id", "size", F.posexplode("prefix").alias("pos", "gram"))
+    longs = PARTS // 4
+    rest = [F.get("rest", F.col("pos") * longs + i).alias(f"r{i}") for i in range(longs)]
+    posts = reps.filter("size > 0").select("doc_id", "size", "rest", F.posexplode("prefix").alias("pos", "gram")).select("doc_id", "size", "pos", "gram", *rest)
     shared = posts.select("gram").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     place = Window.partitionBy("doc_id").orderBy("pos")
     posts = stored(posts.join(shared, "gram", "left_semi").withColumn("before", F.row_number().over(place) - 1), "postings")
@@ -193,33 +218,59 @@ def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, D
 
     # first round: under each shared shingle, all documents against the one where it stands first; that one has the
     # fewest rare shingles of its own, so it is the middle of a group of near copies if any is
-    star = posts.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "size", "before")).alias("s")).select("gram", "s.*")
+    star = posts.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "size", "before", *[f"r{i}" for i in range(longs)])).alias("s")).select("gram", "s.*")
     a, b = star.alias("a"), posts.alias("b")
     hit = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") != F.col("b.doc_id")) & _filters("a", "b", t)
     first = b.join(a, hit).select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
     first = first.join(sketches.alias("p"), F.col("u") == F.col("p.doc_id")).join(sketches.alias("q"), F.col("v") == F.col("q.doc_id"))
-    first = stored(first.filter(_suffix("p", "q", t)).select("u", "v"), "first-pairs")
+    first = stored(first.filter(_parities("p", "q", t)).select("u", "v"), "first-pairs")
     links = stored(_verified(first, docs, n, t), "first-links")
 
-    # second round: all other pairs between different components
+    # second round: all other pairs between different components, met in bands of sizes as wide as linked sizes differ:
+    # the smaller set looks into its own band and the next
     comp = stored(components(links), "components")
-    named = posts.join(comp.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").select("gram", "doc_id", "size", "pos", "before", F.coalesce("component", "doc_id").alias("comp"))
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t)) * (1 + 1e-9))).cast("int")
+    named = posts.join(comp.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").select(*posts.columns, F.coalesce("component", "doc_id").alias("comp"), band.alias("band"))
     mixed = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
     left = stored(named.join(mixed, "gram", "left_semi").join(sketches.select("doc_id", "sketch"), "doc_id"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    cond = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & _filters("x", "y", t) & _suffix("x", "y", t)
-    more = x.join(y, cond).select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    x, y = left.withColumn("look", F.explode(F.array("band", F.col("band") + 1))).alias("x"), left.alias("y")
+    smaller = F.struct("x.size", "x.doc_id") < F.struct("y.size", "y.doc_id")
+    cond = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.look") == F.col("y.band")) & smaller & (F.col("x.comp") != F.col("y.comp")) & _filters("x", "y", t) & _parities("x", "y", t)
+    more = x.join(y, cond).select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     return member, links.unionByName(_verified(stored(more, "second-pairs"), docs, n, t))
 
 
+def _without_id(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) of the rows of a null doc_id, one each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for b in batches:
+            sizes = [len(g) for _, g in shingle_sets(b, n, rolling)]
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), none, none], names=["doc_id", "n_shingles", "component_id", "class_id"])
+
+    return id_text(docs).filter("doc_id is null").mapInArrow(run, "doc_id long, n_shingles long, component_id long, class_id long")
+
+
 def joined(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for each document."""
     member, links = link_classes(docs, n, t)
     comp = components(links).withColumnsRenamed({"id": "class", "component": "found"})
-    return member.join(comp, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("found", "class").alias("component_id"), F.col("class").alias("class_id"))
+    named = member.join(comp, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("found", "class").alias("component_id"), F.col("class").alias("class_id"))
+    return named.unionByName(_without_id(docs, n))
 
 
 def one_of_each(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     """docs without those that link, directly or through others, to a document of smaller doc_id; all columns stay, and rows of a null doc_id."""
-    gone = joined(docs, n, t).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = joined(docs, n, t).filter("component_id <> doc_id").select(F.struct(F.col("doc_id").alias("id")).alias(_free("gone", docs))).distinct()
+    key = gone.columns[0]
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(f"{key}.id"), "left_anti")
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -41,13 +41,56 @@ def by_id(df):
 
 def test_ngram_join(docs, none):
     got = by_id(ngram_join.joined(docs))
-    assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9}
-    assert [got[k]["n_shingles"] for k in (1, 2, 3, 5, 7, 8, 9)] == [0, 0, 1, 77, 78, 0, 1]
+    assert {k: r["component_id"] for k, r in got.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9, None: None}
+    assert [got[k]["n_shingles"] for k in (1, 2, 3, 5, 7, 8, 9, None)] == [0, 0, 1, 77, 78, 0, 1, 77]
     assert ngram_join.joined(none).count() == 0
     left = ngram_join.one_of_each(docs)
     assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "3", "4", "5", "8", "9", "None"]
 
 
+def test_ngram_join_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, COPY, 5), (2, COPY, 6)], "doc_id long, text string, _gone long").withColumnRenamed("_gone", "gone").withColumn("_gone", F.lit(1)).withColumn("GONE_", F.lit(2))
+    left = ngram_join.one_of_each(df)
+    assert left.columns == df.columns and [r["doc_id"] for r in left.collect()] == [1]
+
+
+def test_ngram_join_like_brute_force(spark):
+    """Sets of many sizes around the bound, in families, against all pairs."""
+    r = random.Random(12)
+    rows = []
+    for f in range(14):
+        base = [f"w{f}x{i}" if r.random() < 0.7 else f"c{r.randrange(30)}" for i in range(r.choice([5, 12, 40, 160]))]
+        for _ in range(7):
+            words = list(base)
+            for _ in range(r.randrange(0, 1 + len(base) // 15)):
+                words[r.randrange(len(words))] = f"v{r.randrange(400)}"
+            rows.append((len(rows) + 1, " ".join(words[: len(words) - r.randrange(0, 3)])))
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
+    part = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and part[a] != part[b]:
+                lo, hi = sorted((part[a], part[b]))
+                part = {i: lo if c == hi else c for i, c in part.items()}
+    got = by_id(ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: g["component_id"] for i, g in got.items()} == part and {i: g["n_shingles"] for i, g in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert len(set(part.values())) < len(rows)
+
+
+def test_suffix_filter_bounds_what_suffixes_share():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for _ in range(50):
+        grams = np.unique(r.integers(0, 1 << 64, r.integers(1, 300), dtype=np.uint64))
+        ranked = r.permutation(grams)
+        keep = ranked[: len(ranked) // 2 + 1]
+        got = ngram_join.behind(keep, grams).view("<u2").reshape(len(keep), -1)
+        for i in (0, len(keep) // 2, len(keep) - 1):
+            want = np.bincount((ranked[i + 1 :] >> np.uint64(61)).astype(np.int64), minlength=ngram_join.PARTS)
+            assert (got[i] == want).all()
+
+
 def test_secrets(docs, none):
     blobs = secrets.unseen(id_text(docs), None, secrets.BASE)
     assert blobs.count() == 7 and secrets.scan(blobs, secrets.BASE).filter(F.size("spans") > 0).count() == 0
