@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samelode.functions.scalars import block_number, pretty_size
+from samelode.sources.corpus import numbered
+
 
 def keyed_in_batch(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
     """The keys with two members or more up to batch n, of which one is new in it; without n, over all rows at once.
@@ -18,14 +21,15 @@ def keyed_in_batch(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame
     return agg.filter((F.col("n_members") > 1) & (F.col("last") == n))
 
 
-def _members(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+def members_in_batch(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+    """The rows up to batch n, or all, of the keys of keyed_in_batch()."""
     seen = rows if n is None else rows.filter(F.col("dedupe_seq") <= n)
     return seen.join(keyed_in_batch(rows, keys, n).select(*keys), keys, "left_semi")
 
 
 def duplicate_files(files: DataFrame, n: int | None = None) -> DataFrame:
     """(digest, size, fileid, filename) of the files of duplicate groups; inlined files, and those whose flags are unknown, take no part."""
-    return _members(files.filter((F.col("flags").bitwiseAND(1)) == 0), ["digest", "size"], n).select("digest", "size", "fileid", "filename")
+    return members_in_batch(files.filter((F.col("flags").bitwiseAND(1)) == 0), ["digest", "size"], n).select("digest", "size", "fileid", "filename")
 
 
 def with_batch(parts: DataFrame, files: DataFrame, n: int | None) -> DataFrame:
@@ -38,12 +42,12 @@ def duplicate_extents(extents: DataFrame, files: DataFrame, n: int | None = None
     rows = with_batch(extents, files, n)
     if after_whole_file:
         rows = rows.join(duplicate_files(files, n).select("fileid").distinct(), "fileid", "left_anti")
-    return _members(rows, ["digest", "len"], n).select("digest", "len", "fileid", "loff", "poff")
+    return members_in_batch(rows, ["digest", "len"], n).select("digest", "len", "fileid", "loff", "poff")
 
 
 def duplicate_blocks(blocks: DataFrame, files: DataFrame, n: int | None = None) -> DataFrame:
     """(digest, fileid, loff)."""
-    return _members(with_batch(blocks, files, n), ["digest"], n).select("digest", "fileid", "loff")
+    return members_in_batch(with_batch(blocks, files, n), ["digest"], n).select("digest", "fileid", "loff")
 
 
 def nondupe_extents(extents: DataFrame) -> DataFrame:
@@ -71,9 +75,23 @@ def report(members: DataFrame) -> DataFrame:
     return members.join(size, ["digest", "size"]).select("size", "n_files", F.substring("digest", 1, 8).alias("id"), "filename", F.lit(0).cast("long").alias("start"))
 
 
+def ordered_report(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(line, kind, n_members, len, pretty, id, start, pretty_start, filename): the groups of members (kind, len, digest, fileid, loff), shorter
+    ones first, equal lengths by digest, and in each group its members by file and offset; line numbers that order from 1 for each kind."""
+    sizes = members.groupBy("kind", "len", "digest").agg(F.count("*").alias("n_members"))
+    rows = numbered(members.select("kind", "len", "digest", "fileid", "loff"), "len", "digest", "fileid", "loff", name="line", within=("kind",))
+    rows = rows.join(sizes, ["kind", "len", "digest"]).join(files.select("fileid", "filename"), "fileid")
+    return rows.select("line", "kind", "n_members", "len", pretty_size(F.col("len")).alias("pretty"), F.substring("digest", 1, 8).alias("id"), F.col("loff").alias("start"), pretty_size(F.col("loff")).alias("pretty_start"), "filename")
+
+
+def report_header(members: DataFrame) -> DataFrame:
+    """(kind, n_groups, n_members): what stands above the report of each kind."""
+    return members.groupBy("kind", "len", "digest").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_members"))
+
+
 def frequencies(rows: DataFrame) -> DataFrame:
-    """(digest, n) of digests that stand more than once."""
-    return rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    """(digest, n) of digests that stand more than once, the most frequent first, ties by digest."""
+    return rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "digest")
 
 
 def file_counts(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -92,6 +110,21 @@ def places(top: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(top.select("digest"), "digest", "left_semi").join(files.select("fileid", "filename"), "fileid").select("digest", "filename", "loff")
 
 
+def block_places(top: DataFrame, rows: DataFrame, files: DataFrame, blocksize: int) -> DataFrame:
+    """places() of blocks with their counts and logical block numbers: the block listing of the statistics report."""
+    return places(top, rows, files).join(top, "digest").select("digest", "n", "n_files", "filename", "loff", block_number(F.col("loff"), blocksize).alias("lblock"))
+
+
+def header(config: DataFrame, files: DataFrame, blocks: DataFrame, extents: DataFrame) -> DataFrame:
+    """(version, block_size, num_files, num_block_hashes, num_extent_hashes): the head of the statistics report, one row."""
+    key = lambda k: F.max(F.when(F.col("keyname") == k, F.col("keyval")))
+    head = config.agg(F.concat_ws(".", key("version_major"), key("version_minor")).alias("version"), key("block_size").cast("long").alias("block_size"))
+    counts = [df.agg(F.count("*").alias(n)) for df, n in ((files, "num_files"), (blocks, "num_block_hashes"), (extents, "num_extent_hashes"))]
+    for c in counts:
+        head = head.crossJoin(c)
+    return head
+
+
 def blocks_by_file(dups: DataFrame) -> DataFrame:
     """(digest, fileid, n, loffs): places of each duplicate digest in each file, in order."""
     return dups.groupBy("digest", "fileid").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("loff")), lambda x: x.cast("string")), ",").alias("loffs"))
@@ -111,6 +144,14 @@ def verify(members: DataFrame, content: DataFrame) -> DataFrame:
     return members.join(content, "fileid").groupBy("digest", "size").agg(F.countDistinct("proof").alias("n_contents"))
 
 
+def differing(members: DataFrame, content: DataFrame) -> DataFrame:
+    """(len, digest, fileid, loff, status) of members (len, digest, fileid, loff) of groups: 0 where the bytes of content (fileid, loff, data) are those
+    of the group's first member by file and offset, 1 where they differ. Bytes are compared, not digests."""
+    rows = members.select("len", "digest", "fileid", "loff").join(content.select("fileid", "loff", "data"), ["fileid", "loff"])
+    first = rows.groupBy("len", "digest").agg(F.min_by("data", F.struct("fileid", "loff")).alias("target"))
+    return rows.join(first, ["len", "digest"]).select("len", "digest", "fileid", "loff", F.when(F.col("data") == F.col("target"), 0).otherwise(1).alias("status"))
+
+
 def after_dedupe(extents: DataFrame, files: DataFrame, n: int | None = None) -> DataFrame:
     """Extents after a whole-file stage: those of the files that it dealt with are gone."""
     return extents.join(duplicate_files(files, n).select("fileid").distinct(), "fileid", "left_anti").select("fileid", "loff", "len", "poff", "digest")

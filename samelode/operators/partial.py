@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from samelode.sources.corpus import numbered
+
 
 def block_len(size, loff, blocksize: int):
     """Length of a file's block: whole, short at the end, 0 past it."""
@@ -13,8 +15,8 @@ def block_len(size, loff, blocksize: int):
 
 def numbered_blocks(dups: DataFrame, files: DataFrame, blocksize: int) -> DataFrame:
     """(digest, fileid, loff, idx, blen): duplicate blocks with their ordinal in the file."""
-    rows = dups.join(files.select("fileid", "size"), "fileid")
-    return rows.select("digest", "fileid", "loff", F.row_number().over(Window.partitionBy("fileid").orderBy("loff")).alias("idx"), block_len(F.col("size"), F.col("loff"), blocksize).alias("blen"))
+    rows = numbered(dups.join(files.select("fileid", "size"), "fileid"), "loff", name="idx", within=("fileid",))
+    return rows.select("digest", "fileid", "loff", F.col("idx").cast("int").alias("idx"), block_len(F.col("size"), F.col("loff"), blocksize).alias("blen"))
 
 
 def seeds(unique: DataFrame, blk: DataFrame, nosame: bool = False) -> DataFrame:

@@ -1,8 +1,9 @@
 """Lookups by offset: stabbing, as-of and overlap.
 
-An extent of up to 2^v bytes overlaps two bins of that width at most, so lookups are equality joins on file, level and bin:
+An interval of up to 2^v bytes overlaps two bins of that width at most, so lookups are equality joins on file, level and bin:
 a file with a third of all extents and all points is spread over its bins and not paired with itself. Extents of up to 64
-bytes share the finest bins, which hold 64 of them at most.
+bytes share the finest bins, which hold 64 of them at most. Wide ranges are binned by their own level, and two intervals
+meet at the coarser of their levels, so no interval has more than two rows a level, however wide it is.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from samelode.sources.corpus import in_ranges
+
 _LEVEL = "cast(ceil(log2(greatest(len, 64))) as int)"
 
 
@@ -28,19 +31,33 @@ def extent_at(points: DataFrame, extents: DataFrame) -> DataFrame:
 
 
 def extent_asof(points: DataFrame, extents: DataFrame) -> DataFrame:
-    """(fileid, x, loff): the first extent that ends at x or later; it may begin after x. One sort of points and extents by place, no pairs."""
+    """(fileid, x, loff): the first extent that ends at x or later; it may begin after x. Ends and points are put in order in ranges, each a
+    task's, and what lies in later ranges of a file reaches the earlier ones as one number a range; so one file may hold any share."""
     ends = extents.filter("len > 0").select("fileid", (F.col("loff") + F.col("len") - 1).alias("x"), "loff", F.lit(0).alias("side"))
     asked = points.select("fileid", "x", F.lit(None).cast("long").alias("loff"), F.lit(1).alias("side")).distinct()
-    back = Window.partitionBy("fileid").orderBy(F.desc("x"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ends.unionByName(asked).withColumn("loff", F.min("loff").over(back)).filter("side = 1 and loff is not null").select("fileid", "x", "loff")
+    rows = in_ranges(ends.unionByName(asked), F.struct("fileid", "x"))
+    firsts = rows.groupBy("fileid", "_p").agg(F.min("loff").alias("_m"))
+    later = firsts.select("fileid", "_p", F.min("_m").over(Window.partitionBy("fileid").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    back = Window.partitionBy("fileid", "_p").orderBy(F.desc("x"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("loff", F.min("loff").over(back)).filter("side = 1").join(later, ["fileid", "_p"])
+    return found.select("fileid", "x", F.least("loff", "_later").alias("loff")).filter("loff is not null")
+
+
+_BINS = "explode(array_distinct(array(shiftright({0}, {2}), shiftright({1} - 1, {2}))))"
 
 
 def _overlaps(wanted: DataFrame, extents: DataFrame) -> DataFrame:
-    """Rows of wanted (fileid, lo, hi) with each extent that they overlap, once: at the first bin that both touch."""
-    binned, levels = _binned(extents)
-    w = wanted.filter("lo < hi").crossJoin(F.broadcast(levels)).withColumn("v", F.explode("vs")).drop("vs")
-    w = w.withColumn("b", F.expr("explode(sequence(shiftright(lo, v), shiftright(hi - 1, v)))"))
-    hit = w.join(binned, ["fileid", "v", "b"]).filter("loff < hi and loff + len > lo")
+    """Rows of wanted (fileid, lo, hi) with each extent that they overlap, once: at the first bin that both touch, on the coarser of their levels."""
+    ext = extents.filter("len > 0").withColumn("ve", F.expr(_LEVEL))
+    asked = wanted.filter("lo < hi").withColumn("vw", F.expr("cast(ceil(log2(greatest(hi - lo, 64))) as int)"))
+    ext_levels, asked_levels = ext.agg(F.collect_set("ve").alias("vs")), asked.agg(F.collect_set("vw").alias("vs"))  # 64 at most
+    binned = lambda df, lo, hi, v: df.withColumn("v", v).withColumn("b", F.expr(_BINS.format(lo, hi, "v")))
+    up = lambda df, levels, cond: df.crossJoin(F.broadcast(levels)).withColumn("v", F.explode(F.expr(f"filter(vs, v -> {cond})"))).drop("vs")
+    end = "loff + len"
+    # ranges at least as wide as the extents: at the range's level; wider extents: at the extent's
+    wide = binned(asked, "lo", "hi", F.col("vw")).drop("vw").join(binned(up(ext, asked_levels, "v >= ve"), "loff", f"({end})", F.col("v")).drop("ve"), ["fileid", "v", "b"])
+    fine = binned(up(asked, ext_levels, "v > vw"), "lo", "hi", F.col("v")).drop("vw").join(binned(ext, "loff", f"({end})", F.col("ve")).drop("ve"), ["fileid", "v", "b"])
+    hit = wide.unionByName(fine).filter(f"loff < hi and {end} > lo")
     return hit.filter(F.expr("b = greatest(shiftright(lo, v), shiftright(loff, v))")).drop("v", "b")
 
 

@@ -38,6 +38,44 @@ def outcome(planned: DataFrame, blocksize: int) -> DataFrame:
     return planned.filter("rn > 1").select("len", "digest", "fileid", "loff", F.lit(0).alias("status"), rounded_down(F.col("len"), blocksize).cast("long").alias("bytes"))
 
 
+def attempts(planned: DataFrame, files: DataFrame, blocksize: int) -> DataFrame:
+    """(len, digest, fileid, loff, attempt, status, bytes) of each destination if the plan were carried out on a file system that wants whole
+    blocks: a length that is none, and does not end its file, is refused at first (-22) and asked for again rounded down; a member
+    shorter than one block stays refused."""
+    rows = planned.filter("rn > 1").join(files.select("fileid", "size"), "fileid")
+    whole = (F.col("len") % blocksize == 0) | (F.col("loff") + F.col("len") == F.col("size"))
+    tries = F.when(whole, F.array(F.struct(F.lit(1).alias("attempt"), F.lit(0).alias("status"), F.col("len").alias("bytes")))).otherwise(
+        F.array(
+            F.struct(F.lit(1).alias("attempt"), F.lit(-22).alias("status"), F.lit(0).cast("long").alias("bytes")),
+            F.struct(F.lit(2).alias("attempt"), F.when(F.col("len") > blocksize, 0).otherwise(-22).alias("status"), F.when(F.col("len") > blocksize, rounded_down(F.col("len"), blocksize)).otherwise(0).cast("long").alias("bytes")),
+        )
+    )
+    return rows.select("len", "digest", "fileid", "loff", F.explode(tries).alias("t")).select("len", "digest", "fileid", "loff", "t.attempt", "t.status", "t.bytes")
+
+
+def outcome_totals(outcomes: DataFrame) -> DataFrame:
+    """(n_requests, n_failed, bytes) over the outcomes (status, bytes) of all workers."""
+    return outcomes.agg(F.count("*").alias("n_requests"), F.coalesce(F.sum((F.col("status") != 0).cast("long")), F.lit(0)).alias("n_failed"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def moved(planned: DataFrame, extents: DataFrame) -> DataFrame:
+    """(fileid, loff, poff): where the destinations of a plan are stored once it is carried out, which is where their targets are."""
+    place = extents.select("fileid", "loff", "poff")
+    target = planned.filter("rn = 1").join(place, ["fileid", "loff"]).select("len", "digest", "poff")
+    return planned.filter("rn > 1").join(target, ["len", "digest"]).select("fileid", "loff", "poff")
+
+
+def single(places: DataFrame, length: int, content: DataFrame) -> DataFrame:
+    """(ord, fileid, loff, role, status, bytes) of one request by hand over places (ord, fileid, loff): the first is the source; a destination has status
+    0 if its `length` characters of content (fileid, text) are the source's, else 1."""
+    part = places.join(content.select("fileid", "text"), "fileid").select("ord", "fileid", "loff", F.substring(F.col("text"), (F.col("loff") + 1).cast("int"), F.lit(length)).alias("data"))
+    source = part.agg(F.min(F.struct("ord", "data")).alias("s")).select("s.*").withColumnsRenamed({"ord": "first", "data": "source"})
+    rows = part.crossJoin(F.broadcast(source))
+    same = F.col("data") == F.col("source")
+    is_source = F.col("ord") == F.col("first")
+    return rows.select("ord", "fileid", "loff", F.when(is_source, "source").otherwise("dest").alias("role"), F.when(is_source | same, 0).otherwise(1).alias("status"), F.when(~is_source & same, F.length("data")).otherwise(0).cast("long").alias("bytes"))
+
+
 def gained(before: DataFrame, after: DataFrame) -> DataFrame:
     """(bytes): by how much the shared bytes (fileid, lo, hi, shared) of all ranges went up; ranges that lost some count as 0."""
     both = before.join(after.withColumnRenamed("shared", "now"), ["fileid", "lo", "hi"])

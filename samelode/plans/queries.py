@@ -41,6 +41,14 @@ def _sql(ctes: str, body: str) -> str:
     return "with " + ", ".join(_CTE[c] for c in ctes.split()) + " " + body
 
 
+def _every_batch(table: str, keys: str, where: str = "") -> str:
+    """Each group of `keys` in each batch in which it gains a member, with its members up to then, in SQL."""
+    return f"select * from (select dedupe_seq as batch, {keys}, (sum(c) over (partition by {keys} order by dedupe_seq))::bigint as n_members from (select dedupe_seq, {keys}, count(*) as c from {table} {where} group by all)) where n_members > 1"
+
+
+_ZERO = "decode(unhex('00'), 'utf-8')"
+
+
 class Tables:
     """The mapped tables of a folder, made when they are asked for."""
 
@@ -64,6 +72,14 @@ class Tables:
         kept = f.filter("fileid % 11 <> 0").select(F.expr("case when fileid % 7 = 0 then filename || '.new' else filename end").alias("filename"), "ino", "subvol", F.expr("case when fileid % 5 = 0 then size + 1 else size end").alias("size"), "mtime")
         return kept.unionByName(f.filter("fileid % 13 = 0").select(F.concat(F.lit("/added/"), F.col("fileid").cast("string")).alias("filename"), (F.col("ino") + 100000000).alias("ino"), "subvol", "size", "mtime"))
 
+    @property
+    def new_names(self) -> DataFrame:
+        """New names for some files: names of their own, the name of the next file, and one name for two files."""
+        f = self.batched.select("fileid", "filename")
+        following = f.select((F.col("fileid") - 1).alias("fileid"), F.col("filename").alias("next"))
+        name = "case when fileid % 50 = 0 then concat('/moved/', cast(fileid as string)) when fileid % 50 = 1 then next when fileid % 100 in (3, 4) then concat('/both/', cast(fileid div 100 as string)) end"
+        return f.join(following, "fileid", "left").select("fileid", F.expr(name).alias("new_name")).filter("new_name is not null")
+
     @property
     def paths(self) -> DataFrame:
         return self.docs.select(F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("fs"), (F.col("doc_id") % 3).cast("string")).alias("fs_uuid"), F.col("doc_id").alias("ord"))
@@ -75,7 +91,7 @@ class Tables:
 
     def zeroed(self, at: int, n: str) -> DataFrame:
         """The documents; in every ninth, `n` characters from `at` on, as far as it goes, are zeros."""
-        text = f"concat(substring(text, 1, {at}), repeat(decode(unhex('00'), 'utf-8'), cast(least({n}, n_chars - {at}) as int)), substring(text, cast({at} + {n} + 1 as int)))"
+        text = f"concat(substring(text, 1, {at}), repeat({_ZERO}, cast(least({n}, n_chars - {at}) as int)), substring(text, cast({at} + {n} + 1 as int)))"
         return self.docs.withColumn("text", F.expr(f"case when doc_id % 9 = 0 and n_chars > {at} then {text} else text end"))
 
     @property
@@ -117,7 +133,11 @@ query("file_digest", lambda t: t.files.select("fileid", "size", "digest"), _sql(
 query("extent_digest", lambda t: t.extents, _sql("e", "select fileid, loff, len, poff, digest from e"))
 query("block_digest", lambda t: t.blocks, _sql("b", "select * from b"))
 query("block_len", lambda t: t.blocks.join(t.files, "fileid").select("fileid", "loff", partial.block_len(F.col("size"), F.col("loff"), 256).alias("blen")), _sql("f b", "select fileid, loff, (case when loff + 256 <= size then 256 else size % 256 end)::bigint as blen from b join f using (fileid)"))
-query("nonzero_blocks", lambda t: _nonzero(t.zeroed(0, "n_chars"), 64).select(F.col("fileid").alias("doc_id")).distinct(), "select doc_id from documents where doc_id % 9 <> 0")
+query(
+    "nonzero_blocks",
+    lambda t: _nonzero(t.docs.withColumn("text", F.expr(f"case doc_id % 9 when 0 then repeat({_ZERO}, cast(n_chars as int)) when 1 then repeat('a', cast(n_chars as int)) when 2 then concat(repeat({_ZERO}, cast(n_chars - 1 as int)), 'x') else text end")), 64),
+    "with z as (select doc_id, n_chars, case doc_id % 9 when 0 then repeat(chr(0), n_chars) when 1 then repeat('a', n_chars) when 2 then repeat(chr(0), n_chars - 1) || 'x' else text end as text from documents), c as (select doc_id as fileid, (i * 64)::bigint as loff, substring(text, (i * 64 + 1)::bigint, 64) as data from (select doc_id, text, unnest(range((n_chars + 63) // 64)) as i from z)) select fileid, loff from c where replace(data, chr(0), '') <> ''",
+)
 query(
     "nonzero_block_places",
     lambda t: _nonzero(t.zeroed(corpus.BLOCK, "256")),
@@ -180,10 +200,10 @@ query("renamed_files", lambda t: state.changes(t.listing, t.files).filter("statu
 query("deleted_files", lambda t: state.deleted(t.files, t.listing), _sql("f li", "select fileid, filename from f where filename not in (select filename from ls)"))
 query("incremental_scan", lambda t: batches.incremental(t.listing, t.files), _sql("f li", "select ls.ino, ls.subvol, ls.filename, case when f.ino is null then 'new' when f.filename <> ls.filename and f.filename not in (select filename from ls) then 'renamed' else 'changed' end as status from ls left join f using (ino, subvol) where f.ino is null or f.filename <> ls.filename or f.size <> ls.size"))
 query("assign_batches", lambda t: t.batched.select("fileid", "dedupe_seq"), _sql("f", "select fileid, dedupe_seq from f"))
-query("batch_duplicates", lambda t: batches.every_batch(t.batched.filter("flags & 1 = 0"), ["digest", "size"]), _sql("f", "select n::int as batch, digest, size, count(*) as n_members from f, range(1, 5) r(n) where flags & 1 = 0 and dedupe_seq <= n group by all having count(*) > 1 and max(dedupe_seq) = n"))
+query("batch_duplicates", lambda t: batches.every_batch(t.batched.filter("flags & 1 = 0"), ["digest", "size"]), _sql("f", _every_batch("f", "digest, size", "where flags & 1 = 0")))
 # State
-query("upsert_files", lambda t: state.upsert_files(t.files, t.listing), _sql("f li", "select fileid, filename, ino, subvol, size, mtime, digest from f where (ino, subvol) not in (select (ino, subvol) from ls) and filename not in (select filename from ls) union all select (select max(fileid) from f) + row_number() over (order by filename), filename, ino, subvol, size, mtime, null from ls"))
-query("mark_scanned", lambda t: state.mark_scanned(t.files.withColumn("digest", F.lit(None).cast("string")).withColumn("flags", F.lit(None).cast("int")), t.files.filter("fileid % 3 = 0")), _sql("f", "select fileid, case when fileid % 3 = 0 then digest end as digest, case when fileid % 3 = 0 then flags end as flags from f"))
+query("upsert_files", lambda t: state.upsert_files(t.batched, t.listing, 9), _sql("f li", "select * from f where (ino, subvol) not in (select (ino, subvol) from ls) and filename not in (select filename from ls) union all select (select max(fileid) from f) + row_number() over (order by filename), filename, ino, subvol, size, mtime, 9::int, null, null from ls"))
+query("mark_scanned", lambda t: state.mark_scanned(t.batched.withColumn("digest", F.lit(None).cast("string")).withColumn("flags", F.lit(None).cast("int")), t.files.filter("fileid % 3 = 0")), _sql("f", "select * replace (case when fileid % 3 = 0 then digest end as digest, case when fileid % 3 = 0 then flags end as flags) from f"))
 query("prune_unscanned", lambda t: state.prune_unscanned(t.files.withColumn("digest", F.expr("case when fileid % 3 = 0 then digest end"))).select("fileid", "digest"), _sql("f", "select fileid, digest from f where fileid % 3 = 0"))
 query("update_poff", lambda t: state.update_poff(t.extents, t.extents.filter("fileid % 4 = 0").select("fileid", "loff", (F.col("poff") + 7).alias("poff"))), _sql("e", "select fileid, loff, len, case when fileid % 4 = 0 then poff + 7 else poff end as poff, digest from e"))
 query("remove_hashes", lambda t: state.without_files(t.blocks, t.files.filter("fileid % 4 = 0")), _sql("b", "select * from b where fileid % 4 <> 0"))
@@ -194,7 +214,11 @@ query(
     lambda t: state.config(state.config_put(t.docs.limit(0).selectExpr("'' as keyname", "'' as keyval"), t.batched.agg(F.max("dedupe_seq").cast("string").alias("keyval")).select(F.lit("dedupe_sequence").alias("keyname"), "keyval"))),
     _sql("f", "select * from (values ('hash_type', 'md5'), ('block_size', '131072'), ('version_major', '4'), ('version_minor', '1')) v(keyname, keyval) union all select 'dedupe_sequence', max(dedupe_seq)::varchar from f"),
 )
-query("rename_file", lambda t: state.rename(t.files, t.files.filter("fileid % 50 = 0").select("fileid", F.concat(F.lit("/moved/"), F.col("fileid").cast("string")).alias("new_name"))), _sql("f", "select fileid, case when fileid % 50 = 0 then '/moved/' || fileid else filename end as filename from f"))
+query(
+    "rename_file",
+    lambda t: state.rename(t.batched, t.new_names),
+    _sql("f", "select * exclude (nn, k) replace (coalesce(nn, filename) as filename) from (select *, row_number() over (partition by coalesce(nn, filename) order by nn is not null desc, fileid desc) as k from (select f.*, case when f.fileid % 50 = 0 then '/moved/' || f.fileid when f.fileid % 50 = 1 then g.filename when f.fileid % 100 in (3, 4) then '/both/' || (f.fileid // 100) end as nn from f left join f g on g.fileid = f.fileid + 1)) where k = 1"),
+)
 # Partial matches
 query("partial_seeds", lambda t: partial.seeds(_unique(t), t.numbered), None)
 query("partial_nosame", lambda t: partial.seeds(_unique(t), t.numbered, nosame=True), None)

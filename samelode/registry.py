@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from samelode.plans import reports  # noqa: F401  (registers more queries)
 from samelode.plans.queries import ORACLE, QUERIES
 
 

@@ -13,13 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most ranges, and how many of them a coarse step of the search skips.
+RANGES, STEP = 4096, 64
+
+
 def in_ranges(df: DataFrame, key) -> DataFrame:
-    """df with `_p`, the place of `key` (unique, or nearly so) among bounds from a bounded sample of the keys. It hangs on the keys alone,
-    so every scan and every repeated task puts a row into the same range; the sample only balances them. Nulls come first."""
-    n = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """df with `_p`, the place of `key` (unique, or nearly so) among bounds from a bounded sample of the keys, as many ranges as the session
+    has shuffle partitions, RANGES at most. It hangs on the keys alone, so every scan and every repeated task puts a row into
+    the same range; the sample only balances them. Nulls come first."""
+    n = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     picks = df.select(key.alias("_k")).filter("_k is not null").orderBy(F.xxhash64("_k")).limit(32 * n).agg(F.array_sort(F.collect_list("_k")).alias("_s"))
     bounds = picks.select(F.expr("filter(_s, (x, j) -> j > 0 and j % 32 = 0)").alias("_s"))
-    return df.withColumn("_k", key).crossJoin(F.broadcast(bounds)).withColumn("_p", F.expr("size(filter(_s, x -> x <= _k))")).drop("_s", "_k")
+    # every STEP-th bound first, then the bounds between two of those
+    bounds = bounds.withColumn("_c", F.expr(f"filter(_s, (x, j) -> j % {STEP} = {STEP - 1})"))
+    coarse = df.withColumn("_k", key).crossJoin(F.broadcast(bounds)).withColumn("_f", F.expr(f"{STEP} * size(filter(_c, x -> x <= _k))"))
+    return coarse.withColumn("_p", F.expr(f"_f + size(filter(slice(_s, _f + 1, {STEP}), x -> x <= _k))")).drop("_s", "_c", "_f", "_k")
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "rn", within: tuple = ()) -> DataFrame:
@@ -54,22 +62,63 @@ def files(docs: DataFrame, batch: int = BATCH) -> DataFrame:
     return assign_batches(rows, batch=batch)
 
 
+#: Lines whose offsets are added up together; sums of whole groups come next, so the work on n lines grows with n, not with its square.
+GROUP = 512
+
+
+def line_offsets(docs: DataFrame) -> DataFrame:
+    """(fileid, loff, line): every line with its offset in characters, worked out inside the row; a null text has no lines."""
+    one = lambda col, name: F.explode(F.array(col)).alias(name)  # worked out once for each row
+    sums = "aggregate({0}, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    rows = docs.filter("text is not null").select(F.col("doc_id").alias("fileid"), one(F.split("text", "\n"), "ls"))
+    rows = rows.select("fileid", "ls", one(F.expr(f"transform(sequence(0, (size(ls) - 1) div {GROUP}), c -> transform(slice(ls, c * {GROUP} + 1, {GROUP}), l -> cast(length(l) + 1 as bigint)))"), "lens"))
+    rows = rows.select("fileid", "ls", one(F.expr("transform(lens, g -> " + sums.format("g") + ")"), "within"))
+    rows = rows.select("fileid", "ls", "within", one(F.expr(sums.format("transform(within, g -> element_at(g, -1))")), "before"))
+    rows = rows.select("fileid", F.explode(F.arrays_zip(F.col("ls").alias("line"), F.expr("flatten(transform(within, (g, i) -> transform(slice(g, 1, size(g) - 1), o -> o + before[i])))").alias("loff"))).alias("l"))
+    return rows.select("fileid", "l.loff", "l.line")
+
+
 def extents(docs: DataFrame) -> DataFrame:
     """One extent for each non-empty line, with its digest; loff counts characters. Every tenth document shares the storage of equal lines."""
-    lines = docs.select(F.col("doc_id").alias("fileid"), F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("len", F.length("line").cast("long"))
-    order = Window.partitionBy("fileid").orderBy("i")
-    ext = lines.withColumn("loff", (F.sum(F.col("len") + 1).over(order) - F.col("len") - 1).cast("long")).filter("len > 0")
-    ext = ext.select("fileid", "loff", "len", F.md5(F.encode("line", "utf-8")).alias("digest"))
+    ext = line_offsets(docs).filter("line <> ''").select("fileid", "loff", F.length("line").cast("long").alias("len"), F.md5(F.encode("line", "utf-8")).alias("digest"))
     own = F.lit(1) + F.col("fileid") * (1 << 20) + F.col("loff")
     first = ext.groupBy("digest", "len").agg(F.min(F.struct("fileid", "loff")).alias("m")).select("digest", "len", (F.lit(1) + F.col("m.fileid") * (1 << 20) + F.col("m.loff")).alias("first"))
     return ext.join(first, ["digest", "len"]).select("fileid", "loff", "len", F.when(F.col("fileid") % 10 == 0, F.col("first")).otherwise(own).alias("poff"), "digest")
 
 
+def mapped_extents(table: DataFrame) -> DataFrame:
+    """Canonical extents (fileid, loff, len, poff, flags) from a table of a file system's extent maps: names and types are set, empty and null
+    extents left out; flags default to 0 and poff, where it is not known, to 0."""
+    have = set(table.columns)
+    col = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(0)) if name in have else F.lit(0).cast("long")
+    rows = table.select(F.col("fileid").cast("long").alias("fileid"), F.col("loff").cast("long").alias("loff"), F.col("len").cast("long").alias("len"), col("poff").alias("poff"), col("flags").cast("int").alias("flags"))
+    return rows.filter("fileid is not null and loff is not null and len > 0")
+
+
+def digested_extents(extents: DataFrame, content: DataFrame, fold_holes: bool = False) -> DataFrame:
+    """Extents with the digest of their part of content (fileid, text); fold_holes digests the hole before an extent with it, as a
+    scan that reads on through holes does."""
+    end = F.lag(F.col("loff") + F.col("len")).over(Window.partitionBy("fileid").orderBy("loff"))
+    rows = extents.withColumn("_lo", F.least(F.coalesce(end, F.lit(0).cast("long")), F.col("loff")) if fold_holes else F.col("loff"))
+    part = F.substring(F.col("text"), (F.col("_lo") + 1).cast("int"), (F.col("loff") + F.col("len") - F.col("_lo")).cast("int"))
+    return rows.join(content.select("fileid", "text"), "fileid").select(*extents.columns, F.md5(F.encode(part, "utf-8")).alias("digest"))
+
+
 def chunks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(fileid, loff, data): the fixed chunks of whole texts; the last one is short."""
-    n = F.ceil(F.col("n_chars") / size).cast("int")
-    cut = docs.filter("n_chars > 0").select(F.col("doc_id").alias("fileid"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return cut.select("fileid", (F.col("i") * size).cast("long").alias("loff"), F.encode(F.substring("text", F.col("i") * size + 1, F.lit(size)), "utf-8").alias("data"))
+    """(fileid, loff, data): the fixed chunks of whole texts, cut in one pass over each; the last one is short."""
+    cut = docs.select(F.col("doc_id").alias("fileid"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("i", "data"))
+    return cut.select("fileid", (F.col("i").cast("long") * size).alias("loff"), F.encode("data", "utf-8").alias("data"))
+
+
+def stream_digest(parts: DataFrame) -> DataFrame:
+    """(fileid, digest): the digest of each file's parts (fileid, loff, data) in order, which is that of the whole file."""
+    return parts.groupBy("fileid").agg(F.array_sort(F.collect_list(F.struct("loff", F.hex("data").alias("x")))).alias("p")).select("fileid", F.md5(F.unhex(F.array_join(F.transform("p", lambda x: x["x"]), ""))).alias("digest"))
+
+
+def digest_check(stored: DataFrame, content: DataFrame) -> DataFrame:
+    """(fileid, digest, actual, same): stored digests (fileid, digest) next to those of content (fileid, text)."""
+    actual = content.select("fileid", F.md5(F.encode("text", "utf-8")).alias("actual"))
+    return stored.join(actual, "fileid").select("fileid", "digest", "actual", F.col("digest").eqNullSafe(F.col("actual")).alias("same"))
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -80,7 +129,28 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 def real_files(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
     """(filename, size, mtime in ns, digest, content) of files on any store that Spark reads; empty files are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-    return raw.filter("length > 0").select(F.col("path").alias("filename"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime"), F.md5("content").alias("digest"), "content")
+    return raw.filter("length > 0").select(F.col("path").alias("filename"), F.col("length").alias("size"), nanoseconds("modificationTime").alias("mtime"), F.md5("content").alias("digest"), "content")
+
+
+def nanoseconds(ts):
+    """Nanoseconds since 1970 of a timestamp, as whole numbers."""
+    return F.unix_micros(ts) * 1000
+
+
+def clock_nanoseconds(name: str):
+    """The same for a timestamp without a time zone, as a clock at zero would show it; the session's zone has no say."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)") * 1000
+
+
+def listed_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, line) of a file of paths, a line each, in the order of the file; for real_files(), and for closed_groups() with its blank lines."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("ord", "line"))
+    return lines.select(F.col("ord").cast("long").alias("ord"), "line")
+
+
+def listed_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """real_files() of the paths that a file lists; the list itself is handed to the reader by the driver, as a command line would be."""
+    return real_files(spark, [r["line"] for r in listed_paths(spark, path).filter("line <> ''").toLocalIterator()], recursive)
 
 
 def content_blocks(content: DataFrame, size: int) -> DataFrame:

@@ -21,13 +21,26 @@ def every_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def start(stream: DataFrame, state_dir: str, out_dir: str, checkpoint: str):
-    """Run duplicate_files over a stream of files (fileid, filename, size, digest, flags). Batch i writes its files to the
-    partition dedupe_seq = i + 1, over what a lost run left there, and its groups next to it; so a repeated batch changes nothing."""
+    """Run duplicate_files over a stream of files (fileid, filename, size, digest, flags, and ino and subvol if known). Batch i writes its files to the
+    partition dedupe_seq = i + 1, over what a lost run left there, and its groups next to it; so a repeated batch changes nothing.
+    A file that comes again, changed or renamed, puts out its earlier row, which stays in its partition but is read no more."""
 
     def batch(df: DataFrame, i: int) -> None:
         spark, n = df.sparkSession, i + 1
         df.drop("dedupe_seq").write.mode("overwrite").parquet(f"{state_dir}/dedupe_seq={n}")
-        known = spark.read.parquet(state_dir)
+        known = state.latest(spark.read.parquet(state_dir).filter(F.col("dedupe_seq") <= n))
         dupes.duplicate_files(known, n).write.mode("overwrite").parquet(f"{out_dir}/batch={n}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_parts(stream: DataFrame, state_dir: str, out_dir: str, checkpoint: str):
+    """The same for extents (fileid, loff, len, poff, digest) of files that each come in one batch: their groups by digest and length."""
+
+    def batch(df: DataFrame, i: int) -> None:
+        spark, n = df.sparkSession, i + 1
+        df.drop("dedupe_seq").write.mode("overwrite").parquet(f"{state_dir}/dedupe_seq={n}")
+        known = spark.read.parquet(state_dir).filter(F.col("dedupe_seq") <= n)
+        dupes.members_in_batch(known, ["digest", "len"], n).write.mode("overwrite").parquet(f"{out_dir}/batch={n}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
