@@ -7,7 +7,7 @@ broadcast; each document is compared with all of them in blocks, exactly, and th
 grow with their cosine, next to a small prior of the mean label.
 
 Null and empty texts have the zero vector and score the mean label. Repeated documents score alike; of several labels
-of one document the smallest counts; null labels are ignored; without any labels every score is 0.5; an empty table
+of one document the smallest counts, and of several texts under one doc_id the first in order is learnt from; null labels are ignored; without any labels every score is 0.5; an empty table
 gives an empty table; extra columns are ignored.
 """
 
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("double").alias("quality")).dropna()
     known = known.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    text = id_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
+    text = id_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("r")).select("doc_id", "r.text", "r.quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
