@@ -151,3 +151,13 @@ def judged(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5,
         (F.size("found") > 0).alias("contaminated"),
         "n_near",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """docs without the rows that hold any window of the benchmark; all columns stay. Each row is judged on its own text, whatever its doc_id."""
+    m = matches(docs, benchmark, size).filter(F.size("found") > 0)
+    taken = {c.lower() for c in docs.columns}
+    key = next(f"hit{'_' * i}" for i in range(len(taken) + 1) if f"hit{'_' * i}" not in taken)
+    gone = m.select(F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias(key)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{key}.d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f"{key}.t"))
+    return docs.join(gone, same, "left_anti")
