@@ -18,7 +18,7 @@ column-wise construction works on what can repeat at all:
 A block's transform lies in memory (it is as small as `block`), not in files: executors share no local disk.
 
 Null and empty texts and texts shorter than `least` keep all their bytes; repeated rows repeat each other's passages;
-an empty table gives an empty table; extra columns are ignored. Rows are told apart by doc_id and a checksum of the text.
+an empty table gives an empty table; extra columns are ignored. Rows are told apart by doc_id and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -228,13 +228,14 @@ def _counted(strings: DataFrame, least: int) -> DataFrame:
 def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 18, hot: int = 50_000) -> DataFrame:
     """(doc_id, th, runs): for each text (doc_id, text, th) with repeated strings, intervals (lo, hi) in bytes that cover them."""
     every = stored(spans(docs, least), "spans")
-    grams = every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    # counts are stored before they are joined: then both sides of a join are plain shuffles, of which a hot gram's can be split
+    grams = stored(every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "shared-grams")
     rows = stored(every.join(grams, "h", "left_semi"), "shared-spans")
     drop_stored(every)
     equal = rows.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "w", "o")).alias("one"))
     equal = stored(equal, "equal-spans")
     settled = rows.join(equal.filter("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("doc_id", "th", F.col("a").alias("lo"), (F.col("a") + F.col("w") + least).alias("hi"))
-    open_ = equal.filter("c = 1").groupBy("h").agg(F.count("*").alias("n"))
+    open_ = stored(equal.filter("c = 1").groupBy("h").agg(F.count("*").alias("n")), "open-grams")
     wanted = stored(equal.join(open_, "h").select("h", "n", (F.col("c") > 1).alias("copy"), "one.*"), "open-spans")
     asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "copy", "a", "w", "o")).alias("spans"))
     asked = asked.withColumnsRenamed({"doc_id": "d", "th": "t"})
@@ -255,7 +256,7 @@ def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 18, hot: int =
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return id_text(docs).withColumn("th", F.crc32(F.encode("text", "utf-8")))
+    return id_text(docs).withColumn("th", F.xxhash64("text"))
 
 
 def without(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
