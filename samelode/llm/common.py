@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ _MULT = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Folders made for applications on one machine.
 _OWN: dict[str, str] = {}
+#: Folders stored on the way to tables that are being settled, innermost last.
+_PASSING: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +58,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _PASSING:
+        _PASSING[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], label: str, spark: SparkSession) -> DataFrame:
+    """The table that make() describes, stored; the tables that were stored on the way to it are deleted."""
+    _PASSING.append([])
+    try:
+        df = make()
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if len(_PASSING) > 1:
+            _PASSING[-2].append(path)
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        for old in _PASSING.pop():
+            _delete(spark, old)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by stored() once nothing will read it again."""
     spark = df.sparkSession

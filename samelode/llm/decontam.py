@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samelode.llm.common import id_text, small, stored
+from samelode.llm.common import id_text, settled, small, stored
 
 #: Separators before lower-casing: A-Z stay inside words and are lowered word by word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -114,7 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 5
     """Each document (doc_id, text) with n_words, n_near (items with a proximity match) and found: an array of (item, hits), hits being
     the positions of the pieces inside occurring windows. postings: an index of the same documents, if there is one."""
     docs, items = id_text(docs), stored(items_of(benchmark), "items")
-    aligned = stored(found_in(index(docs) if postings is None else postings, items, size, slop), "alignments")
+    aligned = settled(lambda: found_in(index(docs) if postings is None else postings, items, size, slop), "alignments", docs.sparkSession)
     # an item's words are gathered once for a document, however many alignments it has there
     by_item = aligned.groupBy("doc_id", "item").agg(F.collect_list(F.when(F.col("exact"), F.col("shift"))).alias("shifts"))
     by_doc = by_item.join(small(items), "item").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("item", "shifts", "words")).alias("cands"))

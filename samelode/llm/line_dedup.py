@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samelode.llm.common import small, stored
+from samelode.llm.common import settled, small, stored
 
 #: Most rows that are broadcast; beyond it, joins shuffle.
 SMALL = 200_000
@@ -100,7 +100,7 @@ def links(var: DataFrame) -> DataFrame:
     whole, cut = F.when(F.col("j") < 0, F.col("place")), F.when(F.col("j") >= 0, F.col("place"))
     equal = var.groupBy("key", "m").agg(F.count("*").alias("c"), F.min(whole).alias("whole"), F.min(cut).alias("cut")).filter("c > 1").drop("c")
     members = stored(var.join(small(stored(equal, "equal")), ["key", "m"]), "members")
-    spot = members.groupBy("key", "m", "j").agg(F.min("place").alias("least"))
+    spot = stored(members.groupBy("key", "m", "j").agg(F.min("place").alias("least")), "spots")
     against = F.when(F.col("j") >= 0, F.array("least", "whole")).otherwise(F.array("cut"))
     return members.join(small(spot), ["key", "m", "j"]).select(*LINE, F.explode(against).alias("witness")).filter(F.col("witness") < F.col("place")).distinct()
 
@@ -140,7 +140,7 @@ def removed(docs: DataFrame, least: int = 5) -> DataFrame:
 
 def dedup(docs: DataFrame, least: int = 5) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines, n_removed and kept in front: (n_lines, n_removed, doc)."""
-    gone = stored(removed(docs, least), "gone").withColumnsRenamed({"d": "gd", "t": "gt"})
+    gone = settled(lambda: removed(docs, least), "gone", docs.sparkSession).withColumnsRenamed({"d": "gd", "t": "gt"})
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 5 * SMALL
     text = F.col("text")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), text)

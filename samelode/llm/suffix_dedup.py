@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.llm.common import Rolling, drop_stored, id_text, slices, small_batches, stored
+from samelode.llm.common import Rolling, drop_stored, id_text, settled, slices, small_batches, stored
 
 GRAM = 32
 DOC = ["doc_id", "th"]
@@ -252,7 +252,7 @@ def repeats(docs: DataFrame, least: int = 200, block: int = 1 << 18, hot: int =
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = settled.unionByName(edges).withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("lo")).cast("int"))
     one = apart.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*DOC, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return stored(one.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "repeats")
+    return one.groupBy(*DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def cleaned(docs: DataFrame, least: int = 200) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) of each document; kept are the bytes that stay."""
     small_batches(docs.sparkSession)
     docs = keyed(docs)
-    runs = repeats(docs, least).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    runs = settled(lambda: repeats(docs, least), "runs", docs.sparkSession).withColumnsRenamed({"doc_id": "d", "th": "t"})
     joined = docs.join(small(runs, "runs"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
