@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.llm.common import LOWER, Rolling, combine, id_text, slices, small, small_batches, stored, word_bounds
+from samelode.llm.common import LOWER, Rolling, combine, id_text, settled, slices, small, small_batches, stored, word_bounds
 from samelode.llm.components import components
 
 BUCKETS = 1 << 22
@@ -213,15 +213,16 @@ def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, D
     posts = reps.filter("size > 0").select("doc_id", "size", "rest", F.posexplode("prefix").alias("pos", "gram")).select("doc_id", "size", "pos", "gram", *rest)
     shared = posts.select("gram").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     place = Window.partitionBy("doc_id").orderBy("pos")
-    posts = stored(posts.join(shared, "gram", "left_semi").withColumn("before", F.row_number().over(place) - 1), "postings")
-    sketches = reps.select("doc_id", "size", "sketch")
+    # joins of tables that grow with the corpus are shuffles whatever the size
+    posts = stored(posts.join(shared.hint("merge"), "gram", "left_semi").withColumn("before", F.row_number().over(place) - 1), "postings")
+    sketches = reps.select("doc_id", "size", "sketch").hint("merge")
 
     # first round: under each shared shingle, all documents against the one where it stands first; that one has the
     # fewest rare shingles of its own, so it is the middle of a group of near copies if any is
-    star = posts.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "size", "before", *[f"r{i}" for i in range(longs)])).alias("s")).select("gram", "s.*")
+    star = stored(posts.groupBy("gram").agg(F.min(F.struct("pos", "doc_id", "size", "before", *[f"r{i}" for i in range(longs)])).alias("s")).select("gram", "s.*"), "stars")
     a, b = star.alias("a"), posts.alias("b")
     hit = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.doc_id") != F.col("b.doc_id")) & _filters("a", "b", t)
-    first = b.join(a, hit).select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
+    first = b.join(a.hint("merge"), hit).select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
     first = first.join(sketches.alias("p"), F.col("u") == F.col("p.doc_id")).join(sketches.alias("q"), F.col("v") == F.col("q.doc_id"))
     first = stored(first.filter(_parities("p", "q", t)).select("u", "v"), "first-pairs")
     links = stored(_verified(first, docs, n, t), "first-links")
@@ -231,8 +232,8 @@ def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, D
     comp = stored(components(links), "components")
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t)) * (1 + 1e-9))).cast("int")
     named = posts.join(comp.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").select(*posts.columns, F.coalesce("component", "doc_id").alias("comp"), band.alias("band"))
-    mixed = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    left = stored(named.join(mixed, "gram", "left_semi").join(sketches.select("doc_id", "sketch"), "doc_id"), "mixed")
+    mixed = stored(named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram"), "mixed-grams")
+    left = stored(named.join(mixed.hint("merge"), "gram", "left_semi").join(sketches.select("doc_id", "sketch").hint("merge"), "doc_id"), "mixed")
     x, y = left.withColumn("look", F.explode(F.array("band", F.col("band") + 1))).alias("x"), left.alias("y")
     smaller = F.struct("x.size", "x.doc_id") < F.struct("y.size", "y.doc_id")
     cond = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.look") == F.col("y.band")) & smaller & (F.col("x.comp") != F.col("y.comp")) & _filters("x", "y", t) & _parities("x", "y", t)
@@ -255,10 +256,13 @@ def _without_id(docs: DataFrame, n: int) -> DataFrame:
 
 def joined(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for each document."""
-    member, links = link_classes(docs, n, t)
-    comp = components(links).withColumnsRenamed({"id": "class", "component": "found"})
-    named = member.join(comp, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("found", "class").alias("component_id"), F.col("class").alias("class_id"))
-    return named.unionByName(_without_id(docs, n))
+
+    def named() -> DataFrame:
+        member, links = link_classes(docs, n, t)
+        comp = components(links).withColumnsRenamed({"id": "class", "component": "found"})
+        return member.join(comp, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("found", "class").alias("component_id"), F.col("class").alias("class_id"))
+
+    return settled(named, "joined", docs.sparkSession).unionByName(_without_id(docs, n))
 
 
 def one_of_each(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
