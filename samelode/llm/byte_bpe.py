@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 Every text is cut into chunks of `chunk` code points that overlap by `overlap`; most texts are one chunk. The chunks of a
-longer text are pre-tokenised in parallel, each from its own start, and stitched at the first boundary in their overlap that
+longer text are pre-tokenised each from its own start, and stitched at the first boundary in their overlap that
 both neighbours found (the pattern looks only forward, so from a common boundary on both agree). Where an overlap holds no
 common boundary, the pattern runs on alone from the last true boundary until it meets one that a later chunk found, so
-one endless pre-token is read once and encoded whole. The stitched pieces are encoded in parallel. Decoding concatenates
-the raw bytes of the ids.
+one endless pre-token is read once and encoded whole. The stitched pieces are encoded each on its own. A text of at most `row`
+code points goes through all that inside its row, in memory; the chunks and pieces of a longer one are dealt over all
+tasks, as rows that are shuffled. Decoding concatenates the raw bytes of the ids.
 
 Null and empty texts give no ids and the digest of nothing. Repeated rows give repeated rows; an empty table gives an
 empty table; extra columns are ignored.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samelode.llm.common import id_text
+from samelode.llm.common import id_text, small_batches
 
 _ENCODINGS: dict = {}
 
@@ -46,6 +47,8 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.finditer(pattern, text)]
 
 
+#: Most code points of a text whose chunks stay in one row; a batch holds up to 1,000 such rows.
+ROW = 1 << 17
 #: A boundary this near a chunk's end may hang on what is cut off.
 GUARD = 8
 
@@ -89,6 +92,16 @@ def stitch(text: str, offsets: list[int], bounds: list[np.ndarray], size: int, p
     return cuts
 
 
+def ids_of(text: str, enc, pattern: str, size: int, step: int) -> np.ndarray:
+    """The ids of a whole text, by overlapping chunks that start `step` code points apart."""
+    if len(text) <= size:
+        return np.asarray(enc.encode_to_numpy(text), "<u4")
+    offsets = list(range(0, len(text) - size + step, step))
+    bounds = [np.asarray(boundaries(text[o : o + size], pattern), np.int64) + o for o in offsets]
+    cuts = [0, *stitch(text, offsets, bounds, size, pattern), len(text)]
+    return np.concatenate([np.asarray(enc.encode_to_numpy(text[a:z]), "<u4") for a, z in zip(cuts, cuts[1:])])
+
+
 def _ids_row(doc_id: int | str | None, ids: np.ndarray, enc) -> tuple:
     raw = ids.astype("<u4").tobytes()
     return doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(enc.decode_bytes(ids.tolist())).hexdigest()
@@ -118,43 +131,49 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 8192, overlap: int = 256) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 8192, overlap: int = 256, row: int = ROW) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every text, long texts by stitched chunks."""
+    small_batches(docs.sparkSession)
+    row, step = max(row, chunk), chunk - overlap
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     base = id_text(docs).withColumn("key", F.monotonically_increasing_id())
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             for lo in range(0, len(ids), 512):
                 part = texts.slice(lo, 512).to_pylist()
-                rows = [_ids_row(i, np.asarray(enc.encode_to_numpy(t), dtype=np.uint32), enc) for i, t in zip(ids[lo : lo + 512], part)]
+                rows = [_ids_row(i, ids_of(t, enc, pattern, chunk, step), enc) for i, t in zip(ids[lo : lo + 512], part)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    step = chunk - overlap
     n = F.length("text")
-    few = base.filter(n <= chunk).select("doc_id", "text").mapInArrow(short, schema)
-    # chunks of long texts: a row each, dealt over all tasks; ids go as text, as pandas has no null among whole numbers
+    few = base.filter(n <= row).select("doc_id", "text").mapInArrow(inside, schema)
+    # chunks of texts too long for a row: a row each, dealt over all tasks; ids go as text, as pandas has no null among whole numbers
     last = F.ceil((n - chunk) / F.lit(float(step))).cast("int")
     chunks = (
-        base.filter(n > chunk)
+        base.filter(n > row)
         .select("key", F.col("doc_id").cast("string").alias("doc"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
         .select("key", "doc", "k", (F.col("k") * step).cast("long").alias("off"), F.expr(f"substring(text, k * {step} + 1, {chunk})").alias("piece"))
         .repartition(F.col("key"), F.col("k"))
     )
 
+    width = np.uint16 if chunk < 1 << 16 else np.uint32
+
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(np.asarray(boundaries(t, pattern), np.int64) + o) for t, o in zip(b["piece"], b["off"])]
+            # lengths of pre-tokens, which take a quarter of their ends' bytes
+            found = [np.diff(np.asarray(boundaries(t, pattern), np.int64), prepend=0).astype(width) for t in b["piece"]]
             yield pd.DataFrame({"key": b["key"], "doc": b["doc"], "k": b["k"], "off": b["off"], "piece": b["piece"], "bounds": [x.tobytes() for x in found]})
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
         parts = rows["piece"].tolist()
         text = "".join([*(p[:step] for p in parts[:-1]), parts[-1]])
-        cuts = [0, *stitch(text, rows["off"].tolist(), [np.frombuffer(x, np.int64) for x in rows["bounds"]], chunk, pattern), len(text)]
+        offsets = rows["off"].tolist()
+        found = [np.cumsum(np.frombuffer(x, width), dtype=np.int64) + o for x, o in zip(rows["bounds"], offsets)]
+        cuts = [0, *stitch(text, offsets, found, chunk, pattern), len(text)]
         pieces = [text[a:z] for a, z in zip(cuts, cuts[1:])]
         return pd.DataFrame({"key": key[0], "doc": rows["doc"].iloc[0], "j": range(len(pieces)), "piece": pieces})
 

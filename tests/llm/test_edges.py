@@ -388,6 +388,28 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).filter(F.col("doc_id") == 9).first()["data"] == bytearray("é😀 naïve".encode())
 
 
+def test_byte_bpe_shuffles_only_texts_too_long_for_a_row(spark):
+    path, pattern = vocabulary()
+    enc, sc = byte_bpe.encoding(path, pattern), spark.sparkContext._jsc.sc()
+    texts = [LONG[: 20_000 + 1000 * i] + "😀" * (i % 3) for i in range(12)] + ["x" * 40_000, LONG[:8192], LONG[:8193]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shuffled(**row):
+        def now():
+            sc.listenerBus().waitUntilEmpty()
+            return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+        before, got = now(), by_id(byte_bpe.digests(df, path, pattern, **row))
+        for i, t in enumerate(texts):
+            ids = enc.encode_ordinary(t)
+            assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+            assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+        return now() - before
+
+    assert shuffled() < 1000
+    assert shuffled(row=30_000) > 1000  # the longer ones are dealt over tasks, with the same ids
+
+
 def stitched(text, size, step, pattern):
     import numpy as np
 
