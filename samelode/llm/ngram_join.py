@@ -7,7 +7,9 @@ A document's set is its distinct shingles of `n` words as 64-bit hashes; two set
    share, so what two shingles share in the sketch costs time at most.
 2. Documents with equal sets form classes; only the class of the smallest doc_id goes on, with its prefix: the first
    |x| - ceil(t |x| / 100) + 1 shingles. Linked sets share one of these. Each posting of a prefix also tells, for each of
-   PARTS ranges of hashes, how many of the set's shingles behind it fall there.
+   PARTS ranges of hashes, how many of the set's shingles behind it fall there. A posting leaves its document only if its
+   shingle may stand in the prefix of another set of a like size (its band of sizes or a neighbour): a bitmap of fixed
+   size tells, from short hashes of all shingles with their bands. Whatever else it lets through costs time only.
 3. Each shared prefix shingle pairs its documents with the one where it stands first (a star, not all pairs). The
    length filter bounds the sizes, the positional filter the places, and the suffix filter compares what lies behind the
    shared shingle: two suffixes differ in at least as many shingles as their numbers differ in, added over the ranges. Pairs
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.llm.common import LOWER, Rolling, combine, id_text, settled, slices, small, small_batches, stored, word_bounds
+from samelode.llm.common import LOWER, Rolling, _splitmix, combine, id_text, settled, slices, small, small_batches, stored, word_bounds
 from samelode.llm.components import components
 
 BUCKETS = 1 << 22
@@ -43,6 +45,8 @@ CHUNKS = 64
 SKETCH = 8
 #: Ranges of hashes of the suffix filter, four to a long; counts stop at 65,535, which only lowers differences.
 PARTS = 8
+#: The bitmap of shared shingles has 2^BITS places, made in 2^SLICE slices; FLUSH entries are packed at once.
+BITS, SLICE, FLUSH = 28, 8, 1 << 22
 #: Most rows that are broadcast; beyond it, joins shuffle.
 SMALL = 300_000
 
@@ -174,15 +178,100 @@ def _parities(a: str, b: str, t: int) -> Column:
     return reduce(Column.__add__, bits) <= sizes - 2 * _least_overlap(F.col(f"{a}.size"), F.col(f"{b}.size"), t)
 
 
+def _width(t: int) -> float:
+    """Width of a band of logarithms of sizes: the sizes of linked sets are in one band or in neighbours."""
+    return max(float(np.log(100 / t)), 1e-6) * (1 + 1e-9)
+
+
+def _looks(grams: np.ndarray, sizes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (40 bits at the top) of each shingle with its set's band and with the next one; shingles that two sets of one band or of neighbours share have one in common."""
+    band = np.floor(np.log(sizes.astype(np.float64)) / _width(t)).astype(np.uint64)
+    of = lambda b: _splitmix(grams + (b + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(24)
+    return of(band), of(band + np.uint64(1))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, place of each in its prefix, row of each) of rows with a prefix."""
+    prefix = batch.column("prefix")
+    per = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    grams = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    row = np.repeat(np.arange(len(per)), per)
+    return grams, np.arange(len(grams)) - np.repeat(np.cumsum(per) - per, per), row
+
+
+def shared_bits(reps: DataFrame, t: int) -> np.ndarray:
+    """A bitmap with the place of every entry (shingle and band) that several prefixes hold: the entries go as short sorted hashes, three bytes or so each, to the slice that they are in."""
+    low = np.uint64(32)
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held))
+        again = np.zeros(len(x), bool)
+        again[2:] = x[2:] == x[:-2]  # twice is enough to tell that it is shared
+        x = x[~again]
+        edge = np.searchsorted(x, np.arange((1 << SLICE) + 1, dtype=np.uint64) << low)
+        blobs = []
+        for lo, hi in zip(edge, edge[1:]):
+            steps = np.diff(x[lo:hi] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4")
+            blobs.append(zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(range(1 << SLICE), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "entries"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            grams, _, row = _flat(b)
+            held.extend(_looks(grams, b.column("size").to_numpy()[row], t))
+            size += 2 * len(grams)
+            if size > FLUSH:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    def places(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32) for x in rows["entries"]]
+        x = np.sort(np.concatenate(parts))
+        bits = np.zeros(1 << (BITS - SLICE), np.uint8)
+        bits[x[1:][x[1:] == x[:-1]] >> np.uint32(32 - BITS + SLICE)] = 1
+        return pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    found = reps.select("size", "prefix").mapInArrow(entries, "slice int, entries binary").groupBy("slice").applyInPandas(places, "slice int, bits binary")
+    out = np.zeros((1 << SLICE, 1 << (BITS - SLICE - 3)), np.uint8)
+    for r in found.collect():  # 2^BITS bits at most
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def postings(reps: DataFrame, t: int, bits) -> DataFrame:
+    """(doc_id, size, pos, gram, r0, ...) of the prefixes' shingles that may be shared. bits: a broadcast of shared_bits()."""
+    longs = PARTS // 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def known(entry: np.ndarray) -> np.ndarray:
+            place = entry >> np.uint64(40 - BITS)
+            return (bits.value[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+        for b in batches:
+            grams, pos, row = _flat(b)
+            sizes = b.column("size").to_numpy()[row]
+            one, two = _looks(grams, sizes, t)
+            keep = np.flatnonzero(known(one) | known(two))
+            rest = b.column("rest").flatten().to_numpy(zero_copy_only=False).reshape(-1, longs)[keep]
+            cols = [b.column("doc_id").to_numpy()[row[keep]], sizes[keep], pos[keep], grams[keep].view(np.int64), *np.ascontiguousarray(rest.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    names = ["doc_id", "size", "pos", "gram", *[f"r{i}" for i in range(longs)]]
+    return reps.select("doc_id", "size", "prefix", "rest").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def _verified(kept: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets link."""
-    wanted = kept.select(F.explode(F.array("u", "v")).alias("w")).distinct()
+    """The pairs (u, v) whose whole sets link. Both sets go to where their pair is, in one shuffle."""
+    wanted = small(kept.select("u", "v", F.explode(F.array("u", "v")).alias("w")), SMALL)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for b in batches:
             got = list(shingle_sets(b, n, rolling))
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([g.tobytes() for _, g in got], pa.binary())], names=["w", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([g.tobytes() for _, g in got], pa.binary())], names=["id", "grams"])
 
     def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,9 +282,23 @@ def _verified(kept: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
                 ok.append(100 * inter >= t * (len(x) + len(y) - inter))
             yield b[["u", "v"]][ok]
 
-    grams = stored(docs.join(small(wanted, SMALL), F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(sets, "w long, grams binary").dropDuplicates(["w"]), "sets")
-    ux = kept.join(grams.select(F.col("w").alias("u"), F.col("grams").alias("ux")), "u")
-    return ux.join(grams.select(F.col("w").alias("v"), F.col("grams").alias("vx")), "v").select("u", "v", "ux", "vx").mapInPandas(overlap, "u long, v long")
+    own = docs.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(sets, "id long, grams binary")
+    sent = own.join(wanted, F.col("id") == F.col("w")).select("u", "v", "w", "grams")
+    of = lambda x: F.first(F.when(F.col("w") == F.col(x), F.col("grams")), ignorenulls=True).alias(f"{x}x")
+    return sent.groupBy("u", "v").agg(of("u"), of("v")).mapInPandas(overlap, "u long, v long")
+
+
+def _one_of_each_class(rec: DataFrame, copied: DataFrame, equal: list[str]) -> DataFrame:
+    """One record for each set, under the smallest doc_id that has it; copied: the keys of those with several records. Only their records are shuffled, if the keys can be broadcast."""
+
+    def first(df: DataFrame) -> DataFrame:
+        wide = ("prefix", "rest", "sketch")
+        return stored(df.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in wide]), "copied").select(*rec.columns)
+
+    if copied.limit(SMALL + 1).count() > SMALL:
+        return first(rec)
+    copied = F.broadcast(copied)
+    return rec.join(copied, equal, "left_anti").select(*rec.columns).unionByName(first(rec.join(copied, equal, "left_semi")))
 
 
 def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -205,12 +308,12 @@ def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, D
     order = docs.sparkSession.sparkContext.broadcast(counted(docs, n))
     rec = stored(records(docs, n, t, order), "records")
     equal = ["size", "k1", "k2"]
-    reps = stored(rec.groupBy(*equal).agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("rest").alias("rest"), F.first("sketch").alias("sketch")), "classes")
-    rep = reps.select(*equal, F.col("doc_id").alias("class"))
-    member = stored(rec.select("doc_id", *equal).join(rep, equal).select("doc_id", "size", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class")).distinct(), "members")
+    rep = stored(rec.groupBy(*equal).agg(F.min("doc_id").alias("class"), F.count("*").alias("rows")), "classes")
+    member = stored(rec.select("doc_id", *equal).join(rep.drop("rows"), equal).select("doc_id", "size", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class")).distinct(), "members")
+    reps = _one_of_each_class(rec, rep.filter("rows > 1").select(*equal), equal)
+    bits = docs.sparkSession.sparkContext.broadcast(shared_bits(reps, t))
     longs = PARTS // 4
-    rest = [F.get("rest", F.col("pos") * longs + i).alias(f"r{i}") for i in range(longs)]
-    posts = reps.filter("size > 0").select("doc_id", "size", "rest", F.posexplode("prefix").alias("pos", "gram")).select("doc_id", "size", "pos", "gram", *rest)
+    posts = stored(postings(reps, t, bits), "prefixes")
     shared = posts.select("gram").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     place = Window.partitionBy("doc_id").orderBy("pos")
     # joins of tables that grow with the corpus are shuffles whatever the size
@@ -230,7 +333,7 @@ def link_classes(docs: DataFrame, n: int = 4, t: int = 85) -> tuple[DataFrame, D
     # second round: all other pairs between different components, met in bands of sizes as wide as linked sizes differ:
     # the smaller set looks into its own band and the next
     comp = stored(components(links), "components")
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / t)) * (1 + 1e-9))).cast("int")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(_width(t))).cast("int")
     named = posts.join(comp.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left").select(*posts.columns, F.coalesce("component", "doc_id").alias("comp"), band.alias("band"))
     mixed = stored(named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram"), "mixed-grams")
     left = stored(named.join(mixed.hint("merge"), "gram", "left_semi").join(sketches.select("doc_id", "sketch").hint("merge"), "doc_id"), "mixed")

@@ -77,6 +77,41 @@ def test_ngram_join_like_brute_force(spark):
     assert len(set(part.values())) < len(rows)
 
 
+def test_unshared_shingles_are_not_shuffled(spark, monkeypatch):
+    """Of 300 texts that share nothing but one pair's words, only a few bytes for each shingle of a prefix go through shuffles before the postings stand."""
+    r, sc = random.Random(4), spark.sparkContext._jsc.sc()
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(2000))) for i in range(300)]
+    rows.append((300, rows[7][1] + " more"))
+    seen, plain = {}, ngram_join.stored
+
+    def stored(df, label):
+        out = plain(df, label)
+        sc.listenerBus().waitUntilEmpty()
+        seen.setdefault(label, (sc.statusStore().executorList(False).apply(0).totalShuffleWrite(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    got = by_id(ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: g["component_id"] for i, g in got.items()} == {i: 7 if i == 300 else i for i in range(301)}
+    assert seen["postings"][0] - seen["records"][0] < 1_500_000 and 500 < seen["postings"][1] < 700
+
+
+def test_prefixes_keep_what_sets_of_like_sizes_share(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    sizes = [1, 1, 5, 84, 85, 100, 100, 118, 119, 400]
+    prefixes = [r.choice(60, min(s, 20), replace=False).astype(np.int64) * 0x123456789ABCD for s in sizes]
+    rows = [(i, s, [int(x) for x in p], [0] * (len(p) * ngram_join.PARTS // 4)) for i, (s, p) in enumerate(zip(sizes, prefixes))]
+    reps = spark.createDataFrame(rows, "doc_id long, size long, prefix array<long>, rest array<long>").repartition(3)
+    bits = spark.sparkContext.broadcast(ngram_join.shared_bits(reps, 85))
+    got = {(p["doc_id"], p["pos"], p["gram"]) for p in ngram_join.postings(reps, 85, bits).collect()}
+    every = {(i, k, int(g)) for i, p in enumerate(prefixes) for k, g in enumerate(p)}
+    like = lambda a, b: 100 * min(a, b) >= 85 * max(a, b)
+    need = {(i, k, g) for i, k, g in every if any(i != j and g in prefixes[j] and like(sizes[i], sizes[j]) for j in range(len(sizes)))}
+    assert need and need <= got <= every and not any(i == 9 for i, _, _ in got)
+
+
 def test_suffix_filter_bounds_what_suffixes_share():
     import numpy as np
 
