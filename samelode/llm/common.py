@@ -53,11 +53,11 @@ def small(df: DataFrame, bound: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. By the values of columns, it lies in folders of which a filter reads its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     if _PASSING:
         _PASSING[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -90,6 +90,8 @@ def drop_stored(df: DataFrame) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for f in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+        while "=" in folder.getName():
+            folder = folder.getParent()
         folder.getFileSystem(conf).delete(folder, True)
 
 

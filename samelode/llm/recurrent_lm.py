@@ -13,7 +13,8 @@ common weights and reads its sequences in an order that hangs on them alone, and
 words. So the model does not hang on how the rows lie in files or partitions. Scoring reads each whole text; the hidden state is carried from window to
 window, so a text's score is its full log-likelihood.
 
-At most `KNOWN` words' counts, the most frequent, are broadcast; the counts of rarer words reach the texts by a join.
+At most `KNOWN` words' counts, the most frequent, are broadcast; the counts of rarer words reach the texts by a join. Texts are
+read twice, for the counts and for the numbers of their words, which are stored; training and scoring read those.
 
 Null and empty texts are their end token alone; repeated rows each get their score; an empty table gives an empty table,
 and without training texts every word is unknown; extra columns are ignored.
@@ -21,6 +22,8 @@ and without training texts every word is unknown; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -46,6 +49,11 @@ _KIND[[*range(33), *"\"'()-/:;<=>@[\\]^_`{|}~+".encode()]] = 11
 _KIND[128:] = 12
 OPEN = 26
 CLASSES = VOCAB // PER_CLASS
+#: The class of each number, and its place there.
+_CLASS = np.concatenate([np.arange(VOCAB) // PER_CLASS, CLASSES + np.arange(OPEN)]).astype(np.int16)
+_INSIDE = np.arange(VOCAB + OPEN) % PER_CLASS
+#: Memory that the models of a process work in.
+_KEPT: dict[tuple, np.ndarray] = {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,13 +62,14 @@ def held_out(doc_id: Column) -> Column:
 
 def tokens(batch: pa.RecordBatch, rolling: Rolling) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, word hashes, open classes, offsets): the words of each text and its end token."""
-    for ids, data, offs in slices(batch):
+    # slices whose arrays stay in the cache and in memory that is used again
+    for ids, data, offs in slices(batch, 1 << 18):
         data = LOWER[data]
         starts, ends, at = word_bounds(data, offs)
         n = len(starts)
         words = rolling.of(rolling.sums(data), starts, ends) if n else np.zeros(0, np.uint64)
-        wide = np.concatenate([[0], np.cumsum(data > 127)])
-        kinds = _KIND[data[ends - 1]] * 2 + (wide[ends] > wide[starts]) if n else np.zeros(0, np.int64)
+        # from one word's start to the next there are but the word and spaces, which are ASCII
+        kinds = _KIND[data[ends - 1]] * 2 + (np.maximum.reduceat(data, starts) > 127) if n else np.zeros(0, np.int64)
         out = np.full(n + len(ids), END)
         open_ = np.zeros(n + len(ids), np.int64)
         place = np.arange(n) + np.repeat(np.arange(len(ids)), np.diff(at))
@@ -68,6 +77,14 @@ def tokens(batch: pa.RecordBatch, rolling: Rolling) -> Iterator[tuple[list, np.n
         yield ids, out, open_, at + np.arange(len(ids) + 1)
 
 
+def distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, order, first): each word once, the order of all, and where each one's run begins in it; equal words in any order."""
+    order = np.argsort(words)
+    words = words[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    return words[first], order, first
+
+
 def word_counts(docs: DataFrame, flush: int = 1 << 20) -> DataFrame:
     """(word, open, c): how often each word stands in the texts, added up by task first."""
 
@@ -76,13 +93,13 @@ def word_counts(docs: DataFrame, flush: int = 1 << 20) -> DataFrame:
 
         def add() -> pa.RecordBatch:
             w, k, c = (np.concatenate(x) for x in zip(*held))
-            u, first, back = np.unique(w, return_index=True, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(k[first].astype(np.int32)), pa.array(np.bincount(back, c).astype(np.int64))], names=["word", "open", "c"])
+            u, order, first = distinct(w)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(k[order[first]].astype(np.int32)), pa.array(np.add.reduceat(c[order], first))], names=["word", "open", "c"])
 
         for b in batches:
             for _, words, kinds, _ in tokens(b, rolling):
-                u, first, c = np.unique(words, return_index=True, return_counts=True)
-                held.append((u, kinds[first], c))
+                u, order, first = distinct(words)
+                held.append((u, kinds[order[first]], np.diff(first, append=len(words))))
                 size += len(u)
             if size > flush:
                 yield add()
@@ -104,11 +121,25 @@ class Lexicon:
     total: int
     types: int
 
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where the first word of the table that is not less stands (the last one, if all are less): words are hashes, so their first bits tell nearly where."""
+        if not hasattr(self, "starts"):
+            self.shift = np.uint64(63 - len(self.words).bit_length())
+            self.starts = np.r_[0, np.cumsum(np.bincount((self.words >> self.shift).astype(np.int64), minlength=2 << len(self.words).bit_length()))]
+        most = len(self.words) - 1
+        at = np.minimum(self.starts[words >> self.shift], most)
+        less = np.flatnonzero(self.words[at] < words)
+        while len(less):
+            less = less[at[less] < most]
+            at[less] += 1
+            less = less[self.words[at[less]] < words[less]]
+        return at
+
     def look(self, words: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, place, id): whether each word is in the table, where, and its number in the model."""
         if not len(self.words):
             return np.zeros(len(words), bool), np.zeros(len(words), np.int64), VOCAB + kinds
-        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        place = self.places(words)
         known = self.words[place] == words
         rank = self.rank[place]
         return known, place, np.where(known & (rank < VOCAB), rank, VOCAB + kinds)
@@ -142,6 +173,22 @@ class Gru:
     def __init__(self, w: dict[str, np.ndarray]):
         self.w = w
 
+    def room(self, name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
+        """An array of any content in memory that is kept for the next call under this name, of any model: new memory costs more than what is done in it."""
+        size = math.prod(shape)
+        if (name, kind) not in _KEPT or _KEPT[name, kind].size < size:
+            _KEPT[name, kind] = np.empty(size, kind)
+        return _KEPT[name, kind][:size].reshape(shape)
+
+    def by_row(self, name: str, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the rows of (steps, n, size), numbered step by step, those of the numbers `at`."""
+        flat = self.room(name, x.shape, x.dtype)
+        np.copyto(flat, x)
+        return self.taken(name, flat.reshape(-1, x.shape[2]), at)
+
+    def taken(self, name: str, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.take(table, rows, axis=0, out=self.room(name + " taken", (len(rows), table.shape[1]), table.dtype), mode="clip")
+
     @classmethod
     def start(cls, lexi: Lexicon | None = None, seed: int = 3) -> Gru:
         """Small random weights; with a lexicon, the biases make its unigram model."""
@@ -157,135 +204,173 @@ class Gru:
             bo, bc = bo - np.repeat(bo.reshape(CLASSES, PER_CLASS).max(axis=1), PER_CLASS), bc - bc.max()
         return cls({"in": f(VOCAB + OPEN + 1, 3 * h), "u": f(h, 3 * h, k=0.2), "wc": f(h, CLASSES + OPEN), "bc": bc.astype(np.float32), "wo": f(VOCAB, h), "bo": bo.astype(np.float32)})
 
-    def steps(self, xs: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """States before and after each step (steps, n, HIDDEN), the gates z, r, c and the recurrent part of c, of inputs (steps, n); at step t only the first sizes[t] rows go on."""
-        m, k = xs.shape[0], HIDDEN
-        w, u = self.w["in"].take(xs.ravel(), axis=0).reshape(m, xs.shape[1], 3 * k), self.w["u"]
-        hs = np.empty((m + 1, *h.shape), np.float32)
-        hs[0] = h
-        gates, part = np.zeros((m, len(h), 3 * k), np.float32), np.zeros((m, len(h), k), np.float32)
-        for t in range(m):
-            n = sizes[t]
-            old, new, g = hs[t, :n], hs[t + 1, :n], gates[t, :n]
-            hu = old @ u
-            zr = g[:, : 2 * k]
-            np.add(w[t, :n, : 2 * k], hu[:, : 2 * k], out=zr)
-            zr *= 0.5
+    def steps(self, xs: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States before and after each step (steps, n, HIDDEN), the gates z, r and c, and what u makes of the states (steps, n, 3 * HIDDEN), of inputs (steps, n);
+        at step t only the first sizes[t] rows go on. The arrays lie in memory unit by unit, and hold until the next call."""
+        m, k, u = xs.shape[0], HIDDEN, np.ascontiguousarray(self.w["u"].T)
+        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2; the halves are taken of whole arrays, not in each step
+        u[: 2 * k] *= 0.5
+        gates, hus = (self.room(x, (m, 3 * k, len(h)), u.dtype) for x in ("gates", "hus"))
+        np.copyto(gates, self.taken("in", self.w["in"], xs.reshape(-1)).reshape(m, len(h), 3 * k).transpose(0, 2, 1))
+        gates[:, : 2 * k] *= 0.5
+        hs, rh = self.room("hs", (m + 1, k, len(h)), u.dtype), np.empty((k, len(h)), u.dtype)
+        hs[0] = h.T
+        for n, old, new, hu, hzr, hc, zr, z, r, c in zip(sizes, hs, hs[1:], hus, hus[:, : 2 * k], hus[:, 2 * k :], gates[:, : 2 * k], gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]):
+            np.matmul(u, old, out=hu)
+            zr += hzr
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            part[t, :n] = hu[:, 2 * k :]
-            c = g[:, 2 * k :]
-            np.multiply(zr[:, k:], hu[:, 2 * k :], out=c)
-            c += w[t, :n, 2 * k :]
+            np.multiply(r, hc, out=rh)
+            c += rh
             np.tanh(c, out=c)
             np.subtract(old, c, out=new)
-            new *= zr[:, :k]
+            new *= z
             new += c
-            hs[t + 1, n:] = hs[t, n:]
-        return hs, gates[:, :, : 2 * k], gates[:, :, 2 * k :], part
-
-    def output(self, hs: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural logarithms of P(id | state), an open class standing for all its words; with grads, adds the gradients and returns that of hs."""
-        w = self.w
-        cls = np.where(ids < VOCAB, ids // PER_CLASS, ids - VOCAB + CLASSES)
-        rows = np.arange(len(ids))
+            if n < len(h):
+                new[:, n:] = old[:, n:]
+        return tuple(x.transpose(0, 2, 1) for x in (hs, gates, hus))
+
+    def output(self, hs: np.ndarray, ids: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural logarithms of P(id | state), an open class standing for all its words; with grads, puts the gradients there, times scale, and returns that of hs; they hold until the next call."""
+        w, n, k = self.w, len(ids), hs.shape[1]
+        cls = _CLASS[ids]
+        # rows are kept by class from here on, so that what is done within classes is done on one array
+        order = np.argsort(cls, kind="stable")
+        cls, ids = cls[order], ids[order]
+        edge = np.searchsorted(cls, np.arange(CLASSES + 1))
+        inner = int(edge[-1])
+        blocks = [(int(a), int(b), slice(c * PER_CLASS, (c + 1) * PER_CLASS)) for c, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
+        one = self.room("one", (n, k + 1), hs.dtype)
+        one[:, :k], one[:, k] = self.taken("by class", hs, order), 1
         # logits stay within +-60, so that no row needs a maximum of its own
-        p = np.clip(hs @ w["wc"] + w["bc"], -60, 60)
-        logp = p[rows, cls].copy()
+        p = np.matmul(one, np.concatenate([w["wc"], w["bc"][None]]), out=self.room("p", (n, CLASSES + OPEN), hs.dtype))
+        np.clip(p, -60, 60, out=p)
+        told, flat = np.arange(0, p.size, p.shape[1]) + cls, p.reshape(-1)
+        logp = flat[told]
         np.exp(p, out=p)
         s = p @ np.ones(p.shape[1], p.dtype)
         logp -= np.log(s)
-        dh = None
+        wo = self.room("wo", (VOCAB, k + 1), w["wo"].dtype)
+        wo[:, :k], wo[:, k] = w["wo"], w["bo"]
+        e = self.room("e", (inner, PER_CLASS), hs.dtype)
+        for a, b, block in blocks:
+            np.matmul(one[a:b], wo[block].T, out=e[a:b])
+        np.clip(e, -60, 60, out=e)
+        own, inside = np.arange(0, e.size, PER_CLASS) + _INSIDE[ids[:inner]], e.reshape(-1)
+        logp[:inner] += inside[own]
+        np.exp(e, out=e)
+        t = e @ np.ones(PER_CLASS, e.dtype)
+        logp[:inner] -= np.log(t)
+        out, dh = np.empty_like(logp), None
+        out[order] = logp
         if grads is not None:
-            p *= (-1 / s)[:, None]
-            p[rows, cls] += 1
-            grads["wc"] += hs.T @ p
-            grads["bc"] += p.sum(axis=0)
-            dh = p @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        one = np.ones(PER_CLASS, hs.dtype)
-        for c in range(CLASSES):
-            at = order[edge[c] : edge[c + 1]]
-            if len(at):
-                block = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-                mine = hs[at]
-                e = np.clip(mine @ w["wo"][block].T + w["bo"][block], -60, 60)
-                k, own = np.arange(len(at)), ids[at] - c * PER_CLASS
-                x = e[k, own].copy()
-                np.exp(e, out=e)
-                t = e @ one
-                logp[at] += x - np.log(t)
-                if grads is not None:
-                    e *= (-1 / t)[:, None]
-                    e[k, own] += 1
-                    grads["wo"][block] += e.T @ mine
-                    grads["bo"][block] += e.sum(axis=0)
-                    dh[at] += e @ w["wo"][block]
-        return logp, dh
+            p *= (-scale / s)[:, None]
+            flat[told] += hs.dtype.type(scale)
+            both = one.T @ p
+            grads["wc"], grads["bc"] = both[:k], both[k]
+            d = np.matmul(p, w["wc"].T, out=self.room("d", (n, k), hs.dtype))
+            e *= (-scale / t)[:, None]
+            inside[own] += hs.dtype.type(scale)
+            back, both = self.room("back", (inner, k), hs.dtype), self.room("both", wo.shape, wo.dtype)
+            if len(blocks) < CLASSES:
+                both[:] = 0
+            for a, b, block in blocks:
+                np.matmul(e[a:b].T, one[a:b], out=both[block])
+                np.matmul(e[a:b], w["wo"][block], out=back[a:b])
+            grads["wo"], grads["bo"] = both[:, :k], both[:, k]
+            d[:inner] += back
+            dh = self.room("dh", d.shape, d.dtype)
+            dh[order] = d
+        return out, dh
 
     def learn(self, seqs: list[np.ndarray], rate: float, seed: int, batch: int = 128) -> None:
-        """One pass of descent over sequences (the number before, then the numbers to tell): those of like length go side by side, window after window, the state carried on."""
+        """One pass of descent over sequences (the number before, then the numbers to tell), window after window, the state carried on. Sequences go side by side in
+        lanes; where one ends, another starts with the next window. There are as many lanes, `batch` at most, as have sequences until the longest has ended."""
         sq = {k: np.full_like(v, 1e-4) for k, v in self.w.items()}
-        order = np.argsort([-len(s) for s in seqs], kind="stable")
-        parts = np.array_split(order, max(1, -(-len(seqs) // batch)))
-        for p in np.random.default_rng(seed).permutation(len(parts)):
-            part = [seqs[i] for i in parts[p]]
-            sizes = np.array([len(s) - 1 for s in part])
-            h = np.zeros((len(part), HIDDEN), np.float32)
-            for t0 in range(0, int(sizes.max(initial=0)), WINDOW):
-                n = int((sizes > t0).sum())
-                rows = np.full((n, WINDOW + 1), -1, np.int64)
-                for j in range(n):
-                    x = part[j][t0 : t0 + WINDOW + 1]
-                    rows[j, : len(x)] = x
-                h[:n] = self.descend(rows, h[:n], rate, sq)
+        windows = [-(-(len(s) - 1) // WINDOW) for s in seqs]
+        lanes = [(0, i, []) for i in range(min(batch, -(-sum(windows) // max(windows, default=1))))]
+        for i in sorted(range(len(seqs)), key=lambda i: -windows[i]):
+            # the lane of the fewest windows takes the next longest sequence, so that all end together
+            n, lane, mine = lanes[0]
+            heapq.heapreplace(lanes, (n + windows[i], lane, mine))
+            mine.append(i)
+        r = np.random.default_rng(seed)
+        queues = [[seqs[mine[j]] for j in r.permutation(len(mine))] for _, _, mine in sorted(lanes, key=lambda x: x[1])]
+        live = [(q.pop(), 0, np.zeros(HIDDEN, np.float32), q) for q in queues]
+        while live:
+            live.sort(key=lambda x: x[1] - len(x[0]))
+            rows = np.full((len(live), WINDOW + 1), -1, np.int64)
+            for row, (s, at, _, _) in zip(rows, live):
+                x = s[at : at + WINDOW + 1]
+                row[: len(x)] = x
+            after = self.descend(rows, np.stack([h for _, _, h, _ in live]), rate, sq).copy()
+            before, live = live, []
+            for (s, at, _, q), h in zip(before, after):
+                if at + WINDOW < len(s) - 1:
+                    live.append((s, at + WINDOW, h, q))
+                elif q:
+                    live.append((q.pop(), 0, np.zeros(HIDDEN, np.float32), q))
 
     def descend(self, rows: np.ndarray, h: np.ndarray, rate: float, sq: dict[str, np.ndarray]) -> np.ndarray:
         """One step on windows of inputs and targets (n, WINDOW + 1), -1 past the end of a sequence, longest first, from the states h; returns the states behind them."""
-        k, y = HIDDEN, rows[:, 1:]
+        k, y, kind = HIDDEN, rows[:, 1:], self.w["u"].dtype
         sizes = (y >= 0).sum(axis=0)
         m = int((sizes > 0).sum())
-        y, xs, live = np.ascontiguousarray(y[:, :m].T), np.ascontiguousarray(np.maximum(rows[:, :m], 0).T), (y[:, :m] >= 0).T
-        hs, zr, c, part = self.steps(xs, h, sizes)
-        g = {name: np.zeros_like(self.w[name]) for name in ("wc", "bc", "wo", "bo")}
-        _, dh = self.output(hs[1:][live], y[live], g)
-        dhs = np.zeros((m, *h.shape), np.float32)
-        dhs[live] = dh
-        z, r = zr[:, :, :k], zr[:, :, k:]
-        to_c, to_z, to_r = (1 - z) * (1 - c * c), (hs[:-1] - c) * z * (1 - z), part * r * (1 - r)
-        ds, du, u = np.zeros((m, len(h), 3 * k), np.float32), np.zeros((m, len(h), 3 * k), np.float32), np.ascontiguousarray(self.w["u"].T)
-        back = np.zeros_like(h)
-        for t in range(m - 1, -1, -1):
-            n = sizes[t]
-            d = dhs[t, :n] + back[:n]
-            dc = d * to_c[t, :n]
-            one, two = ds[t, :n], du[t, :n]
-            np.multiply(d, to_z[t, :n], out=one[:, :k])
-            np.multiply(dc, to_r[t, :n], out=one[:, k : 2 * k])
-            one[:, 2 * k :] = dc
-            two[:, : 2 * k] = one[:, : 2 * k]
-            np.multiply(dc, r[t, :n], out=two[:, 2 * k :])
-            d *= z[t, :n]
-            d += two @ u
-            back[:n] = d
-        g["u"] = hs[:-1].reshape(-1, k).T @ du.reshape(-1, 3 * k)
-        at = xs[live]
+        y, xs = np.ascontiguousarray(y[:, :m].T).reshape(-1), np.maximum(rows[:, :m].T, 0)
+        hs, gates, hus = self.steps(xs, h, sizes)
+        g: dict[str, np.ndarray] = {}
+        live = np.flatnonzero(y >= 0)
+        _, dh = self.output(self.by_row("states", hs[1:], live), y[live], g, 1 / len(rows))
+        # past the end of a sequence nothing comes back, so all its slopes are zero there
+        flat = self.room("slopes by row", (m * len(h), k), kind)
+        flat[:] = 0
+        flat[live] = dh
+        dhs = self.room("slopes", (m, k, len(h)), kind)
+        np.copyto(dhs, flat.reshape(m, len(h), k).transpose(0, 2, 1))
+        hs, gates, hus = (x.transpose(0, 2, 1) for x in (hs, gates, hus))
+        z, r, c = (gates[:, i * k : (i + 1) * k] for i in range(3))
+        # what a slope of the state is multiplied by to be one of the inputs of c, z and r, of the recurrent part of c, and of the state before by z
+        to, flow = (self.room(x, (m, 5, k, len(h)), kind) for x in ("to", "flow"))
+        to_c, to_z, to_r, to_h = (to[:, i] for i in range(4))
+        rest = np.subtract(1, z, out=self.room("rest", z.shape, kind))
+        np.multiply(c, c, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= rest
+        rest *= z
+        np.subtract(hs[:-1], c, out=to_z)
+        to_z *= rest
+        np.multiply(to_c, r, out=to_h)
+        np.subtract(1, r, out=to_r)
+        to_r *= to_h
+        to_r *= hus[:, 2 * k :]
+        to[:, 4] = z
+        lead = np.concatenate([self.w["u"], np.eye(k, dtype=kind)], axis=1)
+        back = np.zeros((k, len(h)), kind)
+        flat = flow.reshape(m, 5 * k, len(h))
+        for d, x, f, u in zip(dhs[::-1], to[::-1], flow[::-1], flat[::-1, k:]):
+            d += back
+            np.multiply(d, x, out=f)
+            np.matmul(lead, u, out=back)
+        g["u"] = np.matmul(hs[:-1], flat[:, k : 4 * k].transpose(0, 2, 1)).sum(axis=0)
+        at = xs.reshape(-1)[live].astype(np.int16)
         order = np.argsort(at, kind="stable")
         at = at[order]
-        first = np.flatnonzero(np.r_[True, np.diff(at) > 0])
-        inputs = np.add.reduceat(ds[live][order], first, axis=0)
-        scale = np.float32(1 / len(rows))
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        inputs = np.add.reduceat(self.by_row("inputs", flat[:, : 3 * k].transpose(0, 2, 1), live[order]), first, axis=0)
+        inputs = np.concatenate([inputs[:, k:], inputs[:, :k]], axis=1)
         for name, grad in g.items():
-            grad *= scale
-            sq[name] += grad * grad
-            self.w[name] += np.float32(rate) * grad / np.sqrt(sq[name])
-        at, inputs = at[first], inputs * scale
+            square = np.multiply(grad, grad, out=self.room("square", grad.shape, kind))
+            sq[name] += square
+            np.sqrt(sq[name], out=square)
+            np.divide(grad, square, out=square)
+            square *= kind.type(rate)
+            self.w[name] += square
+        at = at[first]
         seen = sq["in"][at] + inputs * inputs
         sq["in"][at] = seen
-        self.w["in"][at] += np.float32(rate) * inputs / np.sqrt(seen)
-        return hs[m]
+        self.w["in"][at] += kind.type(rate) * inputs / np.sqrt(seen)
+        return hs[m].T
 
     def text_scores(self, texts: list[np.ndarray], batch: int = 256, block: int = 32) -> np.ndarray:
         """Natural log-likelihood of each text's numbers, whole; the state goes on from block to block."""
@@ -302,35 +387,78 @@ class Gru:
                 for j in range(n):
                     x = texts[part[j]][t0 : t0 + steps]
                     ids[j, : len(x)] = x
-                live = ids.T >= 0
-                xs = np.concatenate([last[None, :n], np.maximum(ids.T[:-1], 0)])
-                hs, *_ = self.steps(xs, h[:n], live.sum(axis=1))
-                h[:n], last[:n] = hs[steps], ids[:, -1]
-                logp, _ = self.output(hs[1:][live], ids.T[live])
-                out[part[:n]] += np.bincount(np.nonzero(live)[1], logp.astype(np.float64), minlength=n)
+                ids = np.ascontiguousarray(ids.T)
+                xs = np.concatenate([last[None, :n], np.maximum(ids[:-1], 0)])
+                hs, *_ = self.steps(xs, h[:n], (ids >= 0).sum(axis=1))
+                h[:n], last[:n] = hs[steps], ids[-1]
+                live = np.flatnonzero(ids >= 0)
+                logp, _ = self.output(self.by_row("states", hs[1:], live), ids.reshape(-1)[live])
+                out[part[:n]] += np.bincount(live % n, logp.astype(np.float64), minlength=n)
         return out
 
 
-def sequences(docs: DataFrame, lex, span: int = SPAN) -> DataFrame:
-    """(mix, n, ids): the sequences of each text, that tell all its words once: the number before, then at most `span` numbers, as
-    bytes; n counts them; mix is a hash of the id and of the sequence's place."""
+def _as_bytes(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The values from each place in `at` to the next, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def numbered(docs: DataFrame, lex) -> DataFrame:
+    """(doc_id, n, known, logs, inner, rare, ids): each text's tokens, those in the table of words, the sum of their logarithms and of those
+    within open classes, and as bytes the words not in the table and the numbers of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for b in batches:
-            for ids, words, kinds, at in tokens(b, rolling):
-                _, _, num = lex.value.look(words, kinds)
-                num, cols = num.astype(np.int16), ([], [], [])
-                for i, doc in enumerate(ids):
-                    lo, hi = int(at[i]), int(at[i + 1])
-                    for k, a in enumerate(range(lo, hi, span)):
-                        before = num[a - 1] if k else np.int16(VOCAB + OPEN)
-                        z = min(a + span, hi)
-                        for c, v in zip(cols, (zlib.crc32(f"{doc} {k}".encode()), z - a, np.r_[before, num[a:z]].astype(np.int16).tobytes())):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["mix", "n", "ids"])
+            for docs, words, kinds, at in tokens(b, rolling):
+                known, place, num = lex.value.look(words, kinds)
+                logs = np.where(known, lex.value.logs[place], 0.0) if len(lex.value.logs) else np.zeros(len(words))
+                inner = np.where(num >= VOCAB, logs - lex.value.mass[np.maximum(num - VOCAB, 0)], 0.0)
+                lack = ~known
+                # every text has its end token, so no sum is of nothing
+                n, lacks = np.diff(at), np.add.reduceat(lack.astype(np.int64), at[:-1])
+                cols = [pa.array(docs, pa.int64()), *(pa.array(x) for x in (n, n - lacks, np.add.reduceat(logs, at[:-1]), np.add.reduceat(inner, at[:-1])))]
+                cols += [_as_bytes(words[lack], np.concatenate([[0], np.cumsum(lacks)])), _as_bytes(num.astype(np.int16), at)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "known", "logs", "inner", "rare", "ids"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, known long, logs double, inner double, rare binary, ids binary")
 
-    return docs.mapInArrow(run, "mix long, n long, ids binary")
+
+def rare_words(numbers: DataFrame) -> DataFrame:
+    """(key, word, tf): how often each word that is not in the table stands in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = []
+            for key, rare in zip(b.column("key").to_pylist(), b.column("rare").to_pylist()):
+                u, order, first = distinct(np.frombuffer(rare, np.int64))
+                cols.append((np.full(len(u), key), u, np.diff(first, append=len(order))))
+            if cols:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], names=["key", "word", "tf"])
+
+    return numbers.filter(F.length("rare") > 0).select("key", "rare").mapInArrow(run, "key long, word long, tf long")
+
+
+def cut(numbers: DataFrame, span: int = SPAN) -> DataFrame:
+    """(mix, n, ids): the sequences of each numbered text, that tell all its words once: the number before, then at most `span` numbers, as
+    bytes; n counts them; mix is a hash of the id and of the sequence's place."""
+    start = np.int16(VOCAB + OPEN).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = ([], [], [])
+            for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+                for k, a in enumerate(range(0, len(ids), 2 * span)):
+                    told = ids[a : a + 2 * span]
+                    for c, v in zip(cols, (zlib.crc32(f"{doc} {k}".encode()), len(told) // 2, (ids[a - 2 : a] if k else start) + told)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["mix", "n", "ids"])
+
+    return numbers.select("doc_id", "ids").mapInArrow(run, "mix long, n long, ids binary")
+
+
+def sequences(docs: DataFrame, lex, span: int = SPAN) -> DataFrame:
+    """The sequences of texts."""
+    return cut(numbered(docs, lex), span)
 
 
 def _local(shared, rate: float, seed: int):
@@ -349,7 +477,7 @@ def train(seqs: DataFrame, model: Gru, total: int, parts: int = PARTS, group: in
     """The model after one pass of averaged local descent over all sequences, `total` words in all, a part at a time."""
     groups = max(1, -(-total // group))
     deal = F.pmod(F.xxhash64("mix"), F.lit(groups * parts))
-    dealt = stored(seqs.withColumn("group", F.floor(deal / parts).cast("int")).withColumn("part", (deal % parts).cast("int")), "sequences")
+    dealt = stored(seqs.withColumn("group", F.floor(deal / parts).cast("int")).withColumn("part", (deal % parts).cast("int")), "sequences", "part")
     schema = "salt int, grp int, n long, w binary"
     for i in range(parts):
         shared = seqs.sparkSession.sparkContext.broadcast(pickle.dumps(model.w))
@@ -383,47 +511,40 @@ def scored(docs: DataFrame, most_tokens: int = 1 << 21) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = id_text(docs)
-    learn = docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = stored(word_counts(learn), "word-counts")
+    learnt = ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    counts = stored(word_counts(docs.filter(learnt)), "word-counts")
     lexi = lexicon(counts)
-    lex = spark.sparkContext.broadcast(lexi)
-    model = train(sequences(learn, lex), Gru.start(lexi), lexi.total)
+    numbers = stored(numbered(docs, spark.sparkContext.broadcast(lexi)).withColumn("key", F.monotonically_increasing_id()), "numbers")
+    model = train(cut(numbers.filter(learnt)), Gru.start(lexi), lexi.total)
     shared = spark.sparkContext.broadcast(pickle.dumps(model.w))
-    rare = pa.list_(pa.struct([("word", pa.int64()), ("tf", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gru, rolling, held, size = Gru(pickle.loads(shared.value)), Rolling(), [], 0
+        gru, held, size = Gru(pickle.loads(shared.value)), [], 0
 
-        def flush() -> pa.RecordBatch:
-            lm = gru.text_scores([h[-1] for h in held]) / np.log(10)
-            cols = list(zip(*held))
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(lm + np.array(cols[4])), pa.array(cols[5], rare)]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "known", "logs", "lm", "rare"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            lm, at = gru.text_scores([np.frombuffer(x, np.int16) for b in held for x in b.column("ids").to_pylist()]) / np.log(10), 0
+            for b in held:
+                told = pa.array(lm[at : at + b.num_rows] + b.column("inner").to_numpy())
+                at += b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("key", "doc_id", "n", "known", "logs")] + [told], names=["key", "doc_id", "n", "known", "logs", "lm"])
 
         for b in batches:
-            for ids, words, kinds, at in tokens(b, rolling):
-                known, place, num = lex.value.look(words, kinds)
-                logs = np.where(known, lex.value.logs[place], 0.0) if len(lex.value.logs) else np.zeros(len(words))
-                is_open = num >= VOCAB
-                inner = np.where(is_open, logs - lex.value.mass[np.maximum(num - VOCAB, 0)], 0.0)
-                for i, doc in enumerate(ids):
-                    s = slice(int(at[i]), int(at[i + 1]))
-                    u, c = np.unique(words[s][~known[s]].view(np.int64), return_counts=True)
-                    held.append((doc, s.stop - s.start, int(known[s].sum()), float(logs[s].sum()), float(inner[s].sum()), [{"word": int(a), "tf": int(n)} for a, n in zip(u, c)], num[s].astype(np.int16)))
-                    size += s.stop - s.start
-                if size >= most_tokens:
-                    yield flush()
-                    held, size = [], 0
+            held.append(b)
+            size += int(b.column("n").to_numpy().sum())
+            if size >= most_tokens:
+                yield from flush()
+                held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
-    rows = stored(docs.mapInArrow(run, "doc_id long, n long, known long, logs double, lm double, rare array<struct<word:long,tf:long>>").withColumn("key", F.monotonically_increasing_id()), "scores")
-    unknown = rows.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.tf")
+    rows = stored(numbers.drop("rare").mapInArrow(run, "key long, doc_id long, n long, known long, logs double, lm double"), "scores")
+    unknown = stored(rare_words(numbers), "rare-words")
+    drop_stored(numbers)
     looked = unknown.join(counts.select("word", "c"), "word", "left")
     more = looked.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("found"))
     spread = float(np.log10(lexi.total + 0.1 * (lexi.types + 1)))
     more_logs, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return rows.drop("rare").join(more, "key", "left").select(
+    return rows.join(more, "key", "left").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("n").alias("n_tokens"),

@@ -408,6 +408,96 @@ def test_state_is_carried_across_blocks():
     assert np.allclose(m.text_scores(texts, batch=2), [m.text_scores([t])[0] for t in texts], rtol=1e-5)
 
 
+def test_language_model_counts_words_beyond_its_table(spark, monkeypatch):
+    """With a table of few words, the rarer ones' counts reach the texts all the same."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[min(399, int(r.expovariate(0.02)))] for _ in range(r.randrange(0, 60))) + (f" x{i} x{i}" if i % 3 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    full = by_id(recurrent_lm.scored(df))
+    monkeypatch.setattr(recurrent_lm, "lexicon", lambda counts, whole=recurrent_lm.lexicon: whole(counts, 20))
+    part = by_id(recurrent_lm.scored(df))
+    assert set(part) == set(full) and len(full) == 200
+    for i, a in full.items():
+        b = part[i]
+        assert (a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["n_tokens"], b["n_known"], b["train_tokens"])
+        assert abs(a["base_score"] - b["base_score"]) < 1e-6 and b["score"] < 0
+
+
+def test_descent_reads_every_word_once_in_full_windows(monkeypatch):
+    """Each sequence's windows come once and in order, with the state carried on, and few windows hold few rows."""
+    import numpy as np
+
+    w, r = recurrent_lm.WINDOW, random.Random(6)
+    seqs = [np.array([2074, *range(i * 10000, i * 10000 + n)]) for i, n in enumerate([r.randrange(1, 300) for _ in range(400)] + [32, 64, 1500, 1])]
+    told, sizes = {}, []
+
+    def descend(self, rows, h, rate, sq):
+        lengths = (rows[:, 1:] >= 0).sum(axis=1).tolist()
+        assert lengths == sorted(lengths, reverse=True)
+        sizes.append(len(rows))
+        for row, n, state in zip(rows, lengths, h):
+            i, at = divmod(int(row[1]), 10000)
+            assert row[: n + 1].tolist() == seqs[i][at : at + n + 1].tolist() and (n == w or at + n == len(seqs[i]) - 1)
+            assert state.tolist() == [at / w] * len(state) and told.get(i, 0) == at
+            told[i] = at + n
+        return h + 1
+
+    monkeypatch.setattr(recurrent_lm.Gru, "descend", descend)
+    recurrent_lm.Gru.start().learn(seqs, 0.1, 0)
+    assert told == {i: len(s) - 1 for i, s in enumerate(seqs)}
+    windows = [-(-(len(s) - 1) // w) for s in seqs]
+    assert len(sizes) <= max(max(windows), -(-sum(windows) // 128)) + 2 and max(sizes) <= 128
+
+
+def test_gru_works_in_memory_it_keeps():
+    """Training and scoring touch no new memory once they have run on texts of like sizes."""
+    import resource
+
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    seqs = [r.integers(0, recurrent_lm.VOCAB + recurrent_lm.OPEN, n) for n in r.integers(2, 400, 300)]
+    m, words = recurrent_lm.Gru.start(), sum(map(len, seqs))
+    for run in (lambda: m.learn(seqs, 0.1, 0), lambda: m.text_scores(seqs)):
+        run()
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        run()
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < words / 20
+
+
+def test_gru_windows_do_not_hang_on_what_lies_past_their_ends():
+    """A sequence's states end with it, and one that ends in a window moves the weights as it does alone."""
+    import numpy as np
+
+    r, w = np.random.default_rng(2), recurrent_lm.WINDOW
+    rows = r.integers(0, 2048, (3, w + 1))
+    rows[1, 20:], rows[2, 2:] = -1, -1
+    h, start = r.standard_normal((3, recurrent_lm.HIDDEN)) * 0.5, {k: v.astype(np.float64) for k, v in recurrent_lm.Gru.start().w.items()}
+    big = {k: np.full(v.shape, 1e12) for k, v in start.items()}
+
+    def moved(x, state):
+        m = recurrent_lm.Gru({k: v.copy() for k, v in start.items()})
+        after = np.array(m.descend(x, state, 1.0, {k: v.copy() for k, v in big.items()}))
+        return after, {k: (m.w[k] - start[k]) * len(x) for k in start}
+
+    after, step = moved(rows, h)
+    alone = [moved(rows[i : i + 1], h[i : i + 1]) for i in range(3)]
+    assert np.allclose(after, np.concatenate([a for a, _ in alone]))
+    assert all(np.allclose(step[k], sum(s[k] for _, s in alone), rtol=1e-6, atol=1e-14) for k in start)
+
+
+def test_places_of_words():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 100, 5000):
+        words = np.sort(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        lexi = recurrent_lm.Lexicon(words, np.arange(n, dtype=np.int32), np.zeros(n), np.zeros(recurrent_lm.OPEN), 0, 0)
+        asked = np.concatenate([words, words + np.uint64(1), words - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert (lexi.places(asked) == np.minimum(np.searchsorted(words, asked), n - 1)).all()
+
+
 def test_byte_bpe(docs, none):
     path, pattern = vocabulary()
     enc = byte_bpe.encoding(path, pattern)
