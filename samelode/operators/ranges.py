@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.sources.corpus import in_ranges
+from samelode.sources.corpus import dealt, in_ranges
 
 _LEVEL = "cast(ceil(log2(greatest(len, 64))) as int)"
 
@@ -31,16 +31,19 @@ def extent_at(points: DataFrame, extents: DataFrame) -> DataFrame:
 
 
 def extent_asof(points: DataFrame, extents: DataFrame) -> DataFrame:
-    """(fileid, x, loff): the first extent that ends at x or later; it may begin after x. Ends and points are put in order in ranges, each a
-    task's, and what lies in later ranges of a file reaches the earlier ones as one number a range; so one file may hold any share."""
-    ends = extents.filter("len > 0").select("fileid", (F.col("loff") + F.col("len") - 1).alias("x"), "loff", F.lit(0).alias("side"))
-    asked = points.select("fileid", "x", F.lit(None).cast("long").alias("loff"), F.lit(1).alias("side")).distinct()
-    rows = in_ranges(ends.unionByName(asked), F.struct("fileid", "x"))
-    firsts = rows.groupBy("fileid", "_p").agg(F.min("loff").alias("_m"))
-    later = firsts.select("fileid", "_p", F.min("_m").over(Window.partitionBy("fileid").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    back = Window.partitionBy("fileid", "_p").orderBy(F.desc("x"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("loff", F.min("loff").over(back)).filter("side = 1").join(later, ["fileid", "_p"])
-    return found.select("fileid", "x", F.least("loff", "_later").alias("loff")).filter("loff is not null")
+    """(fileid, x, loff): the first extent that ends at x or later; it may begin after x. Ends and points (without loff) are put in order in
+    ranges, each a task's, and what lies in later ranges of a file reaches the earlier ones as one number a range, for the few files that
+    have several; so one file may hold any share. Extents are worked out once and ranges are cut once."""
+    ends = extents.filter("len > 0 and fileid is not null and loff is not null").select("fileid", (F.col("loff") + F.col("len") - 1).alias("x"), "loff")
+    asked = points.filter("fileid is not null and x is not null").select("fileid", "x", F.lit(None).cast("long").alias("loff")).distinct()
+    rows = in_ranges(dealt(ends.unionByName(asked)), F.struct("fileid", "x")).repartition("fileid", "_p")
+    # ranges of a file by their last place, which is their order; so both readers of the rows need the same columns, and share one shuffle
+    firsts = rows.groupBy("fileid", "_p").agg(F.min("loff").alias("_m"), F.max("x").alias("_x"))
+    later = firsts.withColumn("_later", F.min("_m").over(Window.partitionBy("fileid").orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, -1)))
+    later = later.filter("_later is not null").select("fileid", "_p", "_later")
+    back = Window.partitionBy("fileid", "_p").orderBy(F.desc("x"), F.asc_nulls_last("loff")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_here", F.min("loff").over(back)).filter("loff is null").join(later, ["fileid", "_p"], "left")
+    return found.select("fileid", "x", F.least("_here", "_later").alias("loff")).filter("loff is not null")
 
 
 _BINS = "explode(array_distinct(array(shiftright({0}, {2}), shiftright({1} - 1, {2}))))"

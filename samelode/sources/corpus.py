@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Most ranges, and how many of them a coarse step of the search skips.
-RANGES, STEP = 4096, 64
+#: Most ranges.
+RANGES = 4096
 
 
 def in_ranges(df: DataFrame, key) -> DataFrame:
@@ -23,11 +23,18 @@ def in_ranges(df: DataFrame, key) -> DataFrame:
     the same range; the sample only balances them. Nulls come first."""
     n = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     picks = df.select(key.alias("_k")).filter("_k is not null").orderBy(F.xxhash64("_k")).limit(32 * n).agg(F.array_sort(F.collect_list("_k")).alias("_s"))
-    bounds = picks.select(F.expr("filter(_s, (x, j) -> j > 0 and j % 32 = 0)").alias("_s"))
-    # every STEP-th bound first, then the bounds between two of those
-    bounds = bounds.withColumn("_c", F.expr(f"filter(_s, (x, j) -> j % {STEP} = {STEP - 1})"))
-    coarse = df.withColumn("_k", key).crossJoin(F.broadcast(bounds)).withColumn("_f", F.expr(f"{STEP} * size(filter(_c, x -> x <= _k))"))
-    return coarse.withColumn("_p", F.expr(f"_f + size(filter(slice(_s, _f + 1, {STEP}), x -> x <= _k))")).drop("_s", "_c", "_f", "_k")
+    # the bounds are worked out once and stand outside the rows; each row is led to its range by halves
+    bounds = picks.select(F.expr("filter(_s, (x, j) -> j > 0 and j % 32 = 0)")).scalar()
+    out = df.withColumn("_k", key).withColumn("_p", F.lit(0))
+    for half in (1 << i for i in reversed(range(n.bit_length()))):
+        out = out.withColumn("_p", F.when(F.get(bounds, F.col("_p") + (half - 1)) <= F.col("_k"), F.col("_p") + half).otherwise(F.col("_p")))
+    return out.drop("_k")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in a shuffle by all of its columns. Whatever reads it, and however few of the columns, asks for this one shuffle, so that what
+    comes before it is worked out once for all readers; rows of one key are spread."""
+    return df.repartition(*df.columns)
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "rn", within: tuple = ()) -> DataFrame:

@@ -190,3 +190,22 @@ def test_zero_blocks_are_found_anywhere(spark):
     text = "a" * 64 + "\0" * 64 + "b" * 64 + "\0" * 10
     df = spark.createDataFrame([(1, text, len(text)), (2, "\0" * 64 + "c", 65)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, queries._nonzero(df, 64).collect())) == [(1, 0), (1, 128), (2, 64)]
+
+
+def counted(spark, df, column):
+    """df, and a count of the rows in which its column was worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(v):
+        seen.add(1)
+        return v
+
+    return df.withColumn(column, F.udf(same, "long").asNondeterministic()(column)), seen
+
+
+def test_as_of_works_its_extents_out_once(spark):
+    ext, seen = counted(spark, spark.range(3000).select((F.col("id") % 700).alias("fileid"), (F.col("id") * 8).alias("loff"), F.lit(8).cast("long").alias("len")), "loff")
+    pts = spark.createDataFrame([(5, 100), (6, 10**6), (7, None), (None, 1), (8, 0)], "fileid long, x long")
+    got = sorted(map(tuple, ranges.extent_asof(pts, ext).collect()))
+    assert got == [(5, 100, 8 * 705), (8, 0, 64)]
+    assert seen.value == 3000
