@@ -51,9 +51,10 @@ def duplicate_blocks(blocks: DataFrame, files: DataFrame, n: int | None = None)
 
 
 def nondupe_extents(extents: DataFrame) -> DataFrame:
-    """Extents whose digest stands once, whatever its length or batch."""
-    once = extents.groupBy("digest").agg(F.count("*").alias("c")).filter("c = 1").select("digest")
-    return extents.join(once, "digest", "left_semi").select("fileid", "loff", "len", "poff", "digest")
+    """Extents whose digest stands once, whatever its length or batch; the least of one value is the value, so one pass does."""
+    rest = ["fileid", "loff", "len", "poff"]
+    once = extents.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in rest]).filter("c = 1")
+    return once.select(*rest, "digest")
 
 
 def groups(members: DataFrame) -> DataFrame:

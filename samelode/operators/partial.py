@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samelode.sources.corpus import numbered
+from samelode.sources.corpus import dealt, numbered
 
 
 def block_len(size, loff, blocksize: int):
@@ -15,7 +15,7 @@ def block_len(size, loff, blocksize: int):
 
 def numbered_blocks(dups: DataFrame, files: DataFrame, blocksize: int) -> DataFrame:
     """(digest, fileid, loff, idx, blen): duplicate blocks with their ordinal in the file."""
-    rows = numbered(dups.join(files.select("fileid", "size"), "fileid"), "loff", name="idx", within=("fileid",))
+    rows = numbered(dealt(dups.join(files.select("fileid", "size"), "fileid")), "loff", name="idx", within=("fileid",))
     return rows.select("digest", "fileid", "loff", F.col("idx").cast("int").alias("idx"), block_len(F.col("size"), F.col("loff"), blocksize).alias("blen"))
 
 
@@ -68,5 +68,6 @@ def matches(found: DataFrame, blk: DataFrame, blocksize: int, literal: bool = Fa
 
 def members(found: DataFrame) -> DataFrame:
     """(len, digest, fileid, loff, poff): both sides of each match, each place once."""
-    side = lambda s: found.select("len", F.col("match_id").alias("digest"), F.col(f"{s}_file").alias("fileid"), F.col(f"{s}_start").alias("loff"), F.lit(0).cast("long").alias("poff"))
-    return side("o").unionByName(side("w")).distinct()
+    side = lambda s: F.struct(F.col(f"{s}_file").alias("fileid"), F.col(f"{s}_start").alias("loff"))
+    sides = found.select("len", F.col("match_id").alias("digest"), F.explode(F.array(side("o"), side("w"))).alias("s"))
+    return sides.select("len", "digest", "s.fileid", "s.loff", F.lit(0).cast("long").alias("poff")).distinct()

@@ -225,7 +225,7 @@ query("partial_nosame", lambda t: partial.seeds(_unique(t), t.numbered, nosame=T
 query("partial_matches", lambda t: partial.matches(partial.seeds(_unique(t), t.numbered), t.numbered, corpus.BLOCK))
 query("partial_matches_literal", lambda t: partial.matches(partial.seeds(_unique(t), t.numbered), t.numbered, corpus.BLOCK, literal=True))
 query("partial_groups", lambda t: dupes.groups(partial.members(_found(t))))
-query("all_extent_groups", lambda t: dupes.groups(t.dup_extents.select("len", "digest", "fileid", "loff", "poff").unionByName(partial.members(_found(t))).distinct()))
+query("all_extent_groups", lambda t: dupes.groups(t.dup_extents.select("len", "digest", "fileid", "loff").unionByName(partial.members(_found(t)).drop("poff"))))
 # Scalars
 query("parse_size", lambda t: t.docs.select(F.col("doc_id").alias("fileid"), scalars.parse_size(F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(u) for u in ("", "b", "K", "m", "G", "t", "P", "x")]), (F.col("doc_id") % 8 + 1).cast("int")))).alias("bytes")), _sql("f sz", "select fileid, case u when '' then fileid when 'b' then fileid when 'K' then fileid * 1024 when 'm' then fileid * 1048576 when 'G' then fileid * 1073741824 when 't' then fileid * 1099511627776 when 'P' then fileid * 1125899906842624 end::bigint as bytes from st"))
 query("pretty_size", lambda t: t.docs.select("doc_id", scalars.pretty_size(F.col("n_chars") * F.col("doc_id") * F.col("doc_id")).alias("pretty")), "with s as (select doc_id, n_chars * doc_id * doc_id as s from documents) select doc_id, case when s >= 1125899906842624 then printf('%.1fPB', (s // 1099511627776) / 1024.0) when s >= 1099511627776 then printf('%.1fTB', (s // 1073741824) / 1024.0) when s >= 1073741824 then printf('%.1fGB', (s // 1048576) / 1024.0) when s >= 1048576 then printf('%.1fMB', (s // 1024) / 1024.0) when s >= 1024 then printf('%.1fKB', s / 1024.0) else s::varchar end as pretty from s")

@@ -90,7 +90,8 @@ def extents(docs: DataFrame) -> DataFrame:
     ext = line_offsets(docs).filter("line <> ''").select("fileid", "loff", F.length("line").cast("long").alias("len"), F.md5(F.encode("line", "utf-8")).alias("digest"))
     own = F.lit(1) + F.col("fileid") * (1 << 20) + F.col("loff")
     first = ext.groupBy("digest", "len").agg(F.min(F.struct("fileid", "loff")).alias("m")).select("digest", "len", (F.lit(1) + F.col("m.fileid") * (1 << 20) + F.col("m.loff")).alias("first"))
-    return ext.join(first, ["digest", "len"]).select("fileid", "loff", "len", F.when(F.col("fileid") % 10 == 0, F.col("first")).otherwise(own).alias("poff"), "digest")
+    # each extent has its row in `first`; a left join goes where poff is not asked for
+    return ext.join(first, ["digest", "len"], "left").select("fileid", "loff", "len", F.when(F.col("fileid") % 10 == 0, F.col("first")).otherwise(own).alias("poff"), "digest")
 
 
 def mapped_extents(table: DataFrame) -> DataFrame:

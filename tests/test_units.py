@@ -209,3 +209,18 @@ def test_as_of_works_its_extents_out_once(spark):
     got = sorted(map(tuple, ranges.extent_asof(pts, ext).collect()))
     assert got == [(5, 100, 8 * 705), (8, 0, 64)]
     assert seen.value == 3000
+
+
+def test_sides_of_matches_and_lone_extents(spark):
+    found, seen = counted(spark, spark.range(500).select(F.lit("m").alias("match_id"), F.lit(256).cast("long").alias("len"), F.col("id").alias("o_file"), F.lit(0).cast("long").alias("o_start"), (F.col("id") + 1).alias("w_file"), F.lit(0).cast("long").alias("w_start")), "o_file")
+    assert partial.members(found).count() == 501 and seen.value == 500
+    ext, seen = counted(spark, spark.range(500).select("id", (F.col("id") * 256).alias("loff"), F.lit(256).cast("long").alias("len"), F.lit(0).cast("long").alias("poff"), F.expr("case when id < 400 then md5(cast(id div 2 as string)) when id < 499 then md5(cast(id as string)) end").alias("digest")).withColumnRenamed("id", "fileid"), "fileid")
+    assert sorted(r["fileid"] for r in dupes.nondupe_extents(ext).collect()) == list(range(400, 499)) and seen.value == 500
+
+
+def test_blocks_are_numbered_in_one_pass(spark):
+    dups, seen = counted(spark, spark.range(2000).select((F.col("id") % 7).alias("fileid"), (F.col("id") * 256).alias("loff"), F.md5(F.col("id").cast("string")).alias("digest")), "loff")
+    files = spark.range(7).select(F.col("id").alias("fileid"), F.lit(512000).cast("long").alias("size"))
+    got = partial.numbered_blocks(dups, files, 256).collect()
+    assert sorted((r["fileid"], r["idx"], r["loff"]) for r in got) == sorted((i % 7, i // 7 + 1, i * 256) for i in range(2000))
+    assert seen.value == 2000
