@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samelode.functions.scalars import block_number, pretty_size
-from samelode.sources.corpus import numbered
+from samelode.sources.corpus import dealt, numbered
 
 
 def keyed_in_batch(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
@@ -78,10 +78,12 @@ def report(members: DataFrame) -> DataFrame:
 
 def ordered_report(members: DataFrame, files: DataFrame) -> DataFrame:
     """(line, kind, n_members, len, pretty, id, start, pretty_start, filename): the groups of members (kind, len, digest, fileid, loff), shorter
-    ones first, equal lengths by digest, and in each group its members by file and offset; line numbers that order from 1 for each kind."""
-    sizes = members.groupBy("kind", "len", "digest").agg(F.count("*").alias("n_members"))
-    rows = numbered(members.select("kind", "len", "digest", "fileid", "loff"), "len", "digest", "fileid", "loff", name="line", within=("kind",))
-    rows = rows.join(sizes, ["kind", "len", "digest"]).join(files.select("fileid", "filename"), "fileid")
+    ones first, equal lengths by digest, and in each group its members by file and offset; line numbers that order from 1 for each kind. Members are worked out once."""
+    members = dealt(members.select("kind", "len", "digest", "fileid", "loff"))
+    sizes = members.groupBy(F.col("kind").alias("_kind"), F.col("len").alias("_len"), F.col("digest").alias("_digest")).agg(F.count("*").alias("n_members"))
+    rows = numbered(members, "len", "digest", "fileid", "loff", name="line", within=("kind",))
+    # equal by <=>, so that no filter for nulls parts this reading of the members from the others
+    rows = rows.join(sizes, F.expr("kind <=> _kind and len <=> _len and digest <=> _digest")).join(files.select("fileid", "filename"), "fileid")
     return rows.select("line", "kind", "n_members", "len", pretty_size(F.col("len")).alias("pretty"), F.substring("digest", 1, 8).alias("id"), F.col("loff").alias("start"), pretty_size(F.col("loff")).alias("pretty_start"), "filename")
 
 

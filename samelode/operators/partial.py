@@ -15,7 +15,8 @@ def block_len(size, loff, blocksize: int):
 
 def numbered_blocks(dups: DataFrame, files: DataFrame, blocksize: int) -> DataFrame:
     """(digest, fileid, loff, idx, blen): duplicate blocks with their ordinal in the file."""
-    rows = numbered(dealt(dups.join(files.select("fileid", "size"), "fileid")), "loff", name="idx", within=("fileid",))
+    # a shuffle at every size, so that all readings of the plan are planned alike and share it
+    rows = numbered(dealt(dups.join(files.select("fileid", "size").hint("merge"), "fileid")), "loff", name="idx", within=("fileid",))
     return rows.select("digest", "fileid", "loff", F.col("idx").cast("int").alias("idx"), block_len(F.col("size"), F.col("loff"), blocksize).alias("blen"))
 
 

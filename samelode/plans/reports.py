@@ -33,7 +33,8 @@ def _members(t: Tables) -> DataFrame:
     whole = t.dup_files.select(F.lit("files").alias("kind"), F.col("size").alias("len"), "digest", "fileid", F.lit(0).cast("long").alias("loff"))
     parts = t.dup_extents.select(F.lit("extents").alias("kind"), "len", "digest", "fileid", "loff")
     block = partial.block_len(F.col("size"), F.col("loff"), corpus.BLOCK)
-    blocks = t.dup_blocks.join(t.files.select("fileid", "size"), "fileid").select(F.lit("blocks").alias("kind"), block.alias("len"), "digest", "fileid", "loff")
+    # a shuffle at every size, as in numbered_blocks()
+    blocks = t.dup_blocks.join(t.files.select("fileid", "size").hint("merge"), "fileid").select(F.lit("blocks").alias("kind"), block.alias("len"), "digest", "fileid", "loff")
     return whole.unionByName(parts).unionByName(blocks)
 
 

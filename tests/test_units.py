@@ -224,3 +224,12 @@ def test_blocks_are_numbered_in_one_pass(spark):
     got = partial.numbered_blocks(dups, files, 256).collect()
     assert sorted((r["fileid"], r["idx"], r["loff"]) for r in got) == sorted((i % 7, i // 7 + 1, i * 256) for i in range(2000))
     assert seen.value == 2000
+
+
+def test_members_of_a_report_are_worked_out_once(spark):
+    members, seen = counted(spark, spark.range(1500).select(F.lit("files").alias("kind"), F.expr("case when id % 5 > 0 then id % 5 end").alias("len"), F.md5((F.col("id") % 5).cast("string")).alias("digest"), F.col("id").alias("fileid"), F.lit(0).cast("long").alias("loff")), "fileid")
+    files = spark.range(1500).select(F.col("id").alias("fileid"), F.col("id").cast("string").alias("filename"))
+    got = dupes.ordered_report(members, files).collect()
+    want = sorted(range(1500), key=lambda i: (i % 5, i))  # members of unknown length come first
+    assert [(r["line"], int(r["filename"]), r["n_members"]) for r in sorted(got, key=lambda r: r["line"])] == [(k + 1, i, 300) for k, i in enumerate(want)]
+    assert seen.value == 1500
